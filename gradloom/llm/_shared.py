@@ -38,8 +38,8 @@ def unit(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int, key: str = "doc_id", text: str = "text", seed: int = 1) -> DataFrame:
-    """(key, text, label) of about `bound` labelled rows, half of each label where there are as many.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int, key: str = "doc_id", text: str = "text", seed: int = 1, also: list[str] | None = None) -> DataFrame:
+    """(key, text, also, label) of about `bound` labelled rows, half of each label where there are as many.
 
     Rows are chosen by hash of the key at a rate that depends on the label's count, so that the
     sample's size doesn't grow with the table. Only the chosen ids (bounded by `bound`) are broadcast.
@@ -50,4 +50,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     for value, n in counts.items():
         rate = F.when(F.col("label") == value, F.lit(min(1.0, bound / 2 / n))).otherwise(rate)
     chosen = rows.where(unit(key, seed) < rate).groupBy(key).agg(F.max("label").alias("label"))
-    return docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    return docs.select(F.col(key), F.col(text).alias("text"), *(also or [])).join(F.broadcast(chosen), key)

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import langid, mixing, quality
-from gradloom.llm._shared import held_out
+from gradloom.llm import langid, media, mixing, quality, tokenbin, toxicity
+from gradloom.llm._shared import held_out, shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = held_out("doc_id", 5, 0)
+    net = toxicity.fit(docs, _read(spark, sf_dir, "labels"), ~out)
+    return toxicity.detect(docs, net, ["doc_id"]).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -34,8 +42,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model, ["doc_id"]).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.media_column(_read(spark, sf_dir, "documents"))
+    return media.digests(media.audio_features(stored, keep=("n_bytes",)))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenbin.write(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenbin.read_index(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mix": op4_mix, "op5_langid": op5_langid, "op6_quality": op6_quality}
+    return {"op1_toxicity": op1_toxicity, "op4_mix": op4_mix, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_media": op7_media, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
