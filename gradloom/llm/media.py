@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RATE = 16000
 UP, DOWN, TAPS = 3, 4, 8
@@ -191,7 +192,7 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def audio_features(media: DataFrame, key: str = "doc_id", column: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, keep, media, tensors, spans): the Arrow IPC stream of the features and the loud spans, for each stored file."""
-    shape = media.select(key, *keep, column).schema.add("tensors", "binary").add("spans", "array<struct<start_s:double,end_s:double>>")
+    shape = media.select(key, *keep, column).schema.add("tensors", "binary").add("spans", T.ArrayType(T.StructType().add("start_s", "double").add("end_s", "double")))
     return media.select(key, *keep, column).mapInArrow(_analysed(len(keep) + 1), shape)
 
 
