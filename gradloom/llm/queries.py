@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import langid, media, mixing, quality, tokenbin, toxicity
+from gradloom.llm import langid, media, minhash, mixing, quality, tokenbin, toxicity
 from gradloom.llm._shared import held_out, shared_dir
 
 
@@ -23,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(docs, net, ["doc_id"]).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -56,7 +60,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op4_mix": op4_mix, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_media": op7_media, "op10_token_files": op10_token_files}
+    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op4_mix": op4_mix, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_media": op7_media, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
