@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import langid, media, minhash, mixing, quality, tokenbin, toxicity
+from gradloom.llm import embed_dedup, langid, media, minhash, mixing, quality, tokenbin, toxicity
 from gradloom.llm._shared import held_out, shared_dir
 
 
@@ -51,6 +51,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.audio_features(stored, keep=("n_bytes",)))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +64,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op4_mix": op4_mix, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_media": op7_media, "op10_token_files": op10_token_files}
+    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op4_mix": op4_mix, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_media": op7_media, "op8_embeddings": op8_embeddings, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
