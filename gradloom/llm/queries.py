@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import embed_dedup, langid, media, minhash, mixing, quality, tokenbin, toxicity
+from gradloom.llm import embed_dedup, htmlmain, langid, media, minhash, mixing, quality, spm, tokenbin, toxicity
 from gradloom.llm._shared import held_out, shared_dir
 
 
@@ -27,6 +27,16 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = spm.Model.load(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = spm.encode(_read(spark, sf_dir, "documents"), model, ["doc_id", "text"])
+    both = spm.decode(ids, model, ["doc_id", "text", "ids"])
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), same.alias("round_trip"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -55,6 +65,10 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_text(_read(spark, sf_dir, "pages"), htmlmain.train(), ["page_id", "url"])
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +78,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op4_mix": op4_mix, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_media": op7_media, "op8_embeddings": op8_embeddings, "op10_token_files": op10_token_files}
+    return {"op1_toxicity": op1_toxicity, "op2_minhash": op2_minhash, "op3_sentencepiece": op3_sentencepiece, "op4_mix": op4_mix, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_media": op7_media, "op8_embeddings": op8_embeddings, "op9_html": op9_html, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
