@@ -67,8 +67,8 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         own = []
         for i in short:
             v = np.array([size[i]], np.uint64)
-            for w in h[off[i] : off[i + 1]]:
-                v = _text.mix(v) + w * _STEPS[0]
+            for k in range(off[i], off[i + 1]):
+                v = _text.mix(v) + h[k : k + 1] * _STEPS[0]
             own.append(_text.mix(v)[0])
         keys, docs = np.concatenate([keys, np.array(own, np.uint64)]), np.concatenate([docs, short])
     order = np.lexsort((keys, docs))
