@@ -1,20 +1,18 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 A text's set is its distinct shingles of `WORDS` words (A-Z lower-cased); a shorter text is one shingle of all its words.
-The set's signature has `COORDINATES` values, one minimum for each of so many hash functions. Each document is
-posted under each (coordinate, value) that another document has too. Two documents of the least
-wanted similarity collide at about 0.85 * COORDINATES coordinates, and at `MATCHES` or more except in about one case in a
-million; so pairs that collide less often are dropped.
+The set's signature has `COORDINATES` values, one minimum for each of so many hash functions. Texts with equal sets are one
+document from the start.
 
-Counting collisions doesn't need the long posting lists (skip merging): with each document's coordinates ordered
-from the rarest value to the commonest, two that collide at MATCHES coordinates share one among the first
-COORDINATES - MATCHES + 1 of each. Only this prefix is posted; all collisions of the pairs found are
-counted on their whole signatures. Pairs that pass are confirmed on their full sets.
+Each document is posted under its first `POSTED` (coordinate, value) pairs. Two documents of the least wanted similarity, 0.85, collide at
+about 0.85 * POSTED of them, and at fewer than `SHARED` in about two of a million cases; so with each document's pairs ordered
+from the rarest to the commonest, both prefixes of POSTED - SHARED + 1 pairs have one in common (prefix filter), and the
+commonest pairs, with the long posting lists, are never merged (skip). Documents that lists of the prefixes connect form a cluster.
 
-Texts with equal sets are one document from the start. Within a posting list, all members are first
-compared with one hub. In lists that still hold several components, the members outside the list's largest component are
-then compared with all members of other components. So a group of n near copies costs about n comparisons for each list, and
-no pair is made within a component.
+Within a cluster, collisions are counted over all coordinates, in blocks of `BLOCK` documents; pairs that collide at fewer than `MATCHES` (about one
+in a hundred thousand of similarity 0.85) are dropped. Of the rest, first each document's best partner and its block's hub
+are confirmed on full sets; then all pairs that are left between different components. So a group of n near copies confirms about 2n
+pairs and those of its outsiders, and no task makes or gives the pairs within a component.
 
 Defined results: null, empty and blank texts have no set, n_shingles 0, and are linked with nothing. Rows with
 equal ids count as one document with the union of their sets' links. Null ids link with nothing and have a null component.
@@ -35,13 +33,19 @@ from gradloom.llm._shared import cut
 from gradloom.llm.components import components
 
 WORDS = 5
-COORDINATES = 32
-MATCHES = 16
+COORDINATES = 128
+MATCHES = 92
+POSTED = 48
+SHARED = 30
+#: Documents in a block of a large cluster, and about how many of small clusters go to a task together.
+BLOCK = 512
+TOGETHER = 256
 #: Linked: SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (85, 100)
 PIECE = 1 << 17
 
 _rng = np.random.default_rng(20240607)
+_MASKS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 _SEEDS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _STEPS = [np.uint64(x) for x in _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)]
 
@@ -79,21 +83,26 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(docs, np.arange(n + 1)), keys
 
 
-def signatures(off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(COORDINATES minima of each set that isn't empty, 128-bit digest of each)."""
+def digests(off: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """128 bits of each set that isn't empty: sums of mixed keys, which don't depend on order."""
     full = np.flatnonzero(np.diff(off))
-    starts = off[full]
-    out = np.empty((len(full), COORDINATES), np.uint64)
     digest = np.empty((len(full), 2), np.uint64)
     if len(full):
+        for k in range(2):
+            digest[:, k] = np.add.reduceat(_text.mix(keys ^ _SEEDS[k]), off[full]) + np.diff(off)[full].astype(np.uint64)
+    return digest
+
+
+def signatures(off: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """COORDINATES minima, their upper 32 bits, of each set that isn't empty."""
+    full = np.flatnonzero(np.diff(off))
+    out = np.empty((len(full), COORDINATES), np.int32)
+    if len(full):
+        starts = off[full]
         for k in range(COORDINATES):
-            v = keys * _SEEDS[k]
-            v ^= v >> np.uint64(32)
-            v *= np.uint64(0xD6E8FEB86659FD93)
-            out[:, k] = np.minimum.reduceat(v, starts)
-        for k in range(2):  # sums of mixed keys don't depend on order
-            digest[:, k] = np.add.reduceat(_text.mix(keys ^ _SEEDS[k]), starts) + np.diff(off)[full].astype(np.uint64)
-    return out, digest
+            v = (keys ^ _MASKS[k]) * _SEEDS[k]
+            out[:, k] = (np.minimum.reduceat(v, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out
 
 
 def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,7 +113,7 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             texts = _text.plain(batch.column(1))
             for a, b in _text.slices(texts, PIECE):
                 off, keys = shingles(texts.slice(a, b - a))
-                sig, digest = signatures(off, keys)
+                sig, digest = signatures(off, keys), digests(off, keys)
                 n = np.diff(off)
                 at = np.cumsum(n > 0) - 1
                 none = n == 0
@@ -112,10 +121,10 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(a, b - a), "n_shingles": pa.array(n.astype(np.int64)),
                     **{f"d{k}": pa.array(np.ascontiguousarray(digest[:, k]).view(np.int64)).take(pick) for k in range(2)},
-                    "sig": pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * COORDINATES), pa.array(np.ascontiguousarray(sig).view(np.int64).ravel())).take(pick),
+                    "sig": pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * COORDINATES), pa.array(sig.ravel())).take(pick),
                 })
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d0 long, d1 long, sig array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d0 long, d1 long, sig array<int>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -127,7 +136,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             for a, b in _text.slices(texts, PIECE):
                 off, keys = shingles(texts.slice(a, b - a))
                 some = pa.array(np.diff(off) > 0)
-                digest = signatures(off, keys)[1].view(np.int64)
+                digest = digests(off, keys).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a).filter(some), "d0": np.ascontiguousarray(digest[:, 0]), "d1": np.ascontiguousarray(digest[:, 1]), "keys": lists.filter(some)})
 
@@ -135,35 +144,87 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """(doc, n, token): for each class, the prefix of its signature tokens that some other class has too."""
-    mixed = F.transform("sig", lambda v, i: F.xxhash64(v, i))
-    tokens = classes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode(mixed).alias("token"))
+    """(doc, token): for each class, the prefix of its posted tokens that some other class has too."""
+    mixed = F.transform(F.slice("sig", 1, POSTED), lambda v, i: F.xxhash64(v, i))
+    tokens = classes.select(F.col("doc_id").alias("doc"), F.explode(mixed).alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    # Tokens that no other class has come first in each class's order; so of m that others have, m - (MATCHES - 1) are in the prefix.
-    each = tokens.join(often, "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
-    each = each.where(F.size("all") >= MATCHES)
-    return each.select("doc", "n", F.explode(F.slice("all", F.lit(1), F.size("all") - (MATCHES - 1))["token"]).alias("token"))
-
-
-def _sized(a: str, b: str) -> Column:
-    """Whether sets of these sizes can overlap enough."""
-    return SHARE[1] * F.least(a, b) >= SHARE[0] * F.greatest(a, b)
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures collide often enough and whose full sets overlap enough."""
-    side = lambda c: classes.select(F.col("doc_id").alias(c), F.col("sig").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
-    hits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda u, v: u + v)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_sized("na", "nb") & (hits >= MATCHES)).select("a", "b", "na", "nb")
-    keys = lambda c: sets.select(F.col("doc_id").alias(c), F.col("keys").alias(f"k{c}"), F.size("keys").cast("long").alias(f"n{c}"))
-    both = F.size(F.array_intersect("ka", "kb"))
-    return near.join(keys("a"), ["a", "na"]).join(keys("b"), ["b", "nb"]).where(SHARE[1] * both >= SHARE[0] * (F.col("na") + F.col("nb") - both)).select("a", "b")
-
-
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (doc, ...) with comp, the component of doc under links (a, b)."""
+    # Tokens that no other class has come first in each class's order; so of m that others have, m - (SHARED - 1) are in the prefix.
+    each = tokens.join(often, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    each = each.where(F.size("all") >= SHARED)
+    return each.select("doc", F.explode(F.slice("all", F.lit(1), F.size("all") - (SHARED - 1))["token"]).alias("token"))
+
+
+def _candidates(every: bool):  # noqa: ANN202
+    """For a block of clusters' members: with `every`, all pairs of different comp that collide often enough; else each one's best partner and hub."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        got = group.sort_by([("cluster", "ascending"), ("doc", "ascending")])
+        cluster, doc, comp, n, left = (got[c].to_numpy() for c in ("cluster", "doc", "comp", "n", "left"))
+        sig = got["sig"].combine_chunks()
+        sig = sig.flatten().to_numpy().reshape(len(doc), COORDINATES)
+        bounds = np.append(np.flatnonzero(np.diff(cluster, prepend=cluster[:1] - 1)), len(cluster))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            part = np.arange(s, e)
+            rows, cols = (part, part) if left[s:e].all() else (part[left[s:e]], part[~left[s:e]])
+            if not len(rows) or not len(cols):
+                continue
+            if every:  # those of the commonest comp need no comparing with each other
+                values, sizes = np.unique(comp[s:e], return_counts=True)
+                if len(values) == 1:
+                    continue
+            hits = np.zeros((len(rows), len(cols)), np.int16)
+            for k in range(COORDINATES):
+                hits += sig[rows, k][:, None] == sig[cols, k][None]
+            small, large = np.minimum(n[rows][:, None], n[cols][None]), np.maximum(n[rows][:, None], n[cols][None])
+            hits[(hits < MATCHES) | (doc[rows][:, None] == doc[cols][None]) | (SHARE[1] * small < SHARE[0] * large)] = 0
+            if every:
+                hits[comp[rows][:, None] == comp[cols][None]] = 0
+                if rows is cols:
+                    hits = np.triu(hits)
+                i, j = np.nonzero(hits)
+                found.append((doc[rows[i]], doc[cols[j]]))
+                continue
+            for h, x, y in ((hits, rows, cols), (hits.T, cols, rows)):
+                best = h.argmax(1)
+                some = np.flatnonzero(h[np.arange(len(x)), best])
+                found.append((doc[x[some]], doc[y[best[some]]]))
+                hub = int((h > 0).sum(1).argmax())
+                near = np.flatnonzero(h[hub])
+                found.append((np.full(len(near), doc[x[hub]]), doc[y[near]]))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table([pairs[:, 0], pairs[:, 1]], schema=kind)
+
+    return run
+
+
+def _compared(members: DataFrame, every: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b) within the clusters of members (doc, n, sig, cluster, size, comp)."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    total = members.where(F.col("size") <= BLOCK).count()
+    packs = max(1, -(-total // TOGETHER))
+    columns = ["doc", "n", "sig", "cluster", "comp"]
+    small = members.where(F.col("size") <= BLOCK).select(*columns, F.lit(True).alias("left"), F.pmod(F.xxhash64("cluster", F.lit(3)), F.lit(packs)).alias("g"), F.lit(0).alias("i"), F.lit(-1).alias("j"))
+    other = members.where(F.col("size") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    first = (F.col("own") < F.col("other")) | (F.col("own") == F.col("other"))
+    large = other.select(*columns, first.alias("left"), F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return small.union(large).groupBy("g", "i", "j").applyInArrow(_candidates(every), "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets overlap enough."""
+    keys = lambda c: sets.select(F.col("doc_id").alias(c), F.col("keys").alias(f"k{c}"))
+    both, na, nb = F.size(F.array_intersect("ka", "kb")).cast("long"), F.size("ka").cast("long"), F.size("kb").cast("long")
+    return pairs.join(keys("a"), "a").join(keys("b"), "b").where(SHARE[1] * both >= SHARE[0] * (na + nb - both)).select("a", "b")
+
+
+def _labelled(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """nodes (doc, ...) with column `name`, the component of doc under links (a, b)."""
     roots = components(links)
-    return nodes.join(roots, nodes["doc"] == roots["node"], "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "doc").alias("comp"))
+    return nodes.join(roots, nodes["doc"] == roots["node"], "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "doc").alias(name))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,24 +239,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     several = whole.groupBy("doc_id").agg(F.min("d0").alias("lo"), F.max("d0").alias("hi")).where(F.col("lo") != F.col("hi")).select("doc_id")
     twice = whole.drop("sig").join(several, "doc_id").join(of, ["d0", "d1", "n_shingles"]).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
     posted = cut(_prefixes(classes))
+    hubs = posted.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where(F.col("a") < F.col("z")).select("token", "a")
+    joined = posted.join(hubs, "token").where(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b")).distinct()
+    cluster = components(joined).select(F.col("node").alias("doc"), F.col("root").alias("cluster"))
+    sized = cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+    members = cut(sized.join(classes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig"), "doc"))
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    wanted = posted.select(F.col("doc").alias("doc_id")).distinct()
-    sets = _sets(named.join(wanted, "doc_id", "left_semi")).join(classes.select("doc_id", "d0", "d1"), ["doc_id", "d0", "d1"], "left_semi")
-    sets = cut(sets.dropDuplicates(["doc_id", "d0", "d1"]).select("doc_id", "keys"))
-    # First each list's members against its hub, the list's smallest id.
-    hubs = posted.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("h"), F.count("*").alias("size")).where(F.col("size") > 1)
-    hubs = hubs.select("token", F.col("h.doc").alias("a"), F.col("h.n").alias("na"))
-    pairs = posted.join(hubs, "token").where((F.col("doc") != F.col("a")) & _sized("n", "na")).select("a", F.col("doc").alias("b")).distinct()
-    links = cut(_confirmed(pairs, classes, sets))
-    # Then, in lists that still hold several components, the members outside the largest against those of the others.
-    joined = cut(_labelled(posted, links))
-    per = joined.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"))
-    open_ = joined.join(per.where(F.col("comps") > 1).select("token", F.col("top.comp").alias("major")), "token")
-    few = open_.where(F.col("comp") != F.col("major")).select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    all_ = open_.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "major")
-    once = (F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))
-    cross = few.join(all_, "token").where((F.col("ca") != F.col("cb")) & once & _sized("na", "nb")).select("a", "b").distinct()
-    links = cut(links.union(_confirmed(cross, classes, sets)))
+    sets = _sets(named.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sets = cut(sets.join(classes.select("doc_id", "d0", "d1"), ["doc_id", "d0", "d1"], "left_semi").dropDuplicates(["doc_id", "d0", "d1"]).select("doc_id", "keys"))
+    links = cut(_confirmed(_compared(members.withColumn("comp", F.col("doc")), False), sets))
+    links = cut(links.union(_confirmed(_compared(cut(_labelled(members, links, "comp")), True), sets)))
     roots = components(links.union(twice))
     of = of.join(roots, of["class"] == roots["node"], "left").select("d0", "d1", "n_shingles", F.coalesce("root", "class").alias("component_id"))
     found = whole.drop("sig").join(of, ["d0", "d1", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
