@@ -17,6 +17,7 @@ raise ValueError. Models with a character map for normalising, or that drop blan
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -26,13 +27,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradloom.llm import _text
 
 SPACE = "▁"
 #: Places in a worker's tables of words and of pairs, and ids held before it starts anew.
-SLOTS = 1 << 21
-HELD = 1 << 24
+SLOTS = 1 << 20
+HELD = 1 << 23
 PIECE = 1 << 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 _START, _NONE = -2, -1
@@ -281,8 +283,6 @@ def _codec(model: Model, held: dict = {}) -> Codec:  # noqa: B006
 def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", to: str = "ids") -> DataFrame:
     """The columns `keep` of docs, with the ids of their texts in column `to`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(to, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +297,27 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text: str = "text", t
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep` of docs, with ids, the crc32 of the text decoded from them, and whether it is the text (null: empty), in one pass."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(held.value)
+        for batch in batches:
+            texts = _text.plain(batch.column(len(keep)))
+            for a, b in _text.slices(texts, PIECE):
+                own = texts.slice(a, b - a)
+                off, ids = codec.encode(own)
+                back = codec.decode(off, ids.astype(np.int64))
+                same = [x == y for x, y in zip(back, own.to_pylist(), strict=True)]
+                crc = [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in back]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], schema.fieldNames())
+
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
 def decode(rows: DataFrame, model: Model, keep: list[str], ids: str = "ids", to: str = "decoded") -> DataFrame:
     """The columns `keep` of rows, with the texts of their ids in column `to`."""
     held = rows.sparkSession.sparkContext.broadcast(model)
