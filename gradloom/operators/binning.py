@@ -25,6 +25,8 @@ def running(counts: DataFrame) -> DataFrame:
     """counts with upto (rows up to and with the value), hupto, and the feature's distinct, total and htotal."""
     grid = [i / BUCKETS for i in range(1, BUCKETS)]
     bounds = counts.groupBy("feature").agg(F.percentile_approx("value", F.array(*[F.lit(float(p)) for p in grid]), F.lit(2000)).alias("bounds"), F.count("*").alias("distinct"), F.sum("n").alias("total"), F.sum("h").alias("htotal"))
+    # Approximate quantiles may differ when computed again, and both uses below must agree: BUCKETS numbers for each feature go through the driver.
+    bounds = counts.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
     placed = counts.join(bounds, "feature").withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("value"))))
     per = placed.groupBy("feature", "bucket").agg(F.sum("n").alias("bn"), F.sum("h").alias("bh"))
     earlier = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
