@@ -11,8 +11,8 @@ commonest pairs, with the long posting lists, are never merged (skip). Documents
 
 Within a cluster, collisions are counted over all coordinates, in blocks of `BLOCK` documents; pairs that collide at fewer than `MATCHES` (about one
 in a hundred thousand of similarity 0.85) are dropped. Of the rest, first each document's best partner and its block's hub
-are confirmed on full sets; then all pairs that are left between different components. So a group of n near copies confirms about 2n
-pairs and those of its outsiders, and no task makes or gives the pairs within a component.
+are confirmed on full sets. In clusters that still hold several components, the blocks come with their full sets, and all pairs left between
+components are confirmed in place until they are joined. No task gives more pairs than a few for each document.
 
 Defined results: null, empty and blank texts have no set, n_shingles 0, and are linked with nothing. Rows with
 equal ids count as one document with the union of their sets' links. Null ids link with nothing and have a null component.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.llm import _text
@@ -154,64 +154,97 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     return each.select("doc", F.explode(F.slice("all", F.lit(1), F.size("all") - (SHARED - 1))["token"]).alias("token"))
 
 
-def _candidates(every: bool):  # noqa: ANN202
-    """For a block of clusters' members: with `every`, all pairs of different comp that collide often enough; else each one's best partner and hub."""
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(group: pa.Table) -> pa.Table:
-        got = group.sort_by([("cluster", "ascending"), ("doc", "ascending")])
-        cluster, doc, comp, n, left = (got[c].to_numpy() for c in ("cluster", "doc", "comp", "n", "left"))
-        sig = got["sig"].combine_chunks()
-        sig = sig.flatten().to_numpy().reshape(len(doc), COORDINATES)
-        bounds = np.append(np.flatnonzero(np.diff(cluster, prepend=cluster[:1] - 1)), len(cluster))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            part = np.arange(s, e)
-            rows, cols = (part, part) if left[s:e].all() else (part[left[s:e]], part[~left[s:e]])
-            if not len(rows) or not len(cols):
-                continue
-            if every:  # those of the commonest comp need no comparing with each other
-                values, sizes = np.unique(comp[s:e], return_counts=True)
-                if len(values) == 1:
-                    continue
-            hits = np.zeros((len(rows), len(cols)), np.int16)
-            for k in range(COORDINATES):
-                hits += sig[rows, k][:, None] == sig[cols, k][None]
-            small, large = np.minimum(n[rows][:, None], n[cols][None]), np.maximum(n[rows][:, None], n[cols][None])
-            hits[(hits < MATCHES) | (doc[rows][:, None] == doc[cols][None]) | (SHARE[1] * small < SHARE[0] * large)] = 0
-            if every:
-                hits[comp[rows][:, None] == comp[cols][None]] = 0
-                if rows is cols:
-                    hits = np.triu(hits)
-                i, j = np.nonzero(hits)
-                found.append((doc[rows[i]], doc[cols[j]]))
+def _blocks(group: pa.Table) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """(columns, rows, columns' rows, collisions at or over MATCHES, else 0) for each cluster in a group; sizes that can't overlap enough have 0 too."""
+    got = group.sort_by([("cluster", "ascending"), ("doc", "ascending")])
+    col = {c: got[c].to_numpy() for c in ("cluster", "doc", "comp", "n", "left")}
+    sig = got["sig"].combine_chunks()
+    sig = (sig.chunk(0) if isinstance(sig, pa.ChunkedArray) else sig).flatten().to_numpy().reshape(got.num_rows, COORDINATES)
+    if "keys" in got.column_names:
+        col["keys"] = got["keys"].combine_chunks()
+    bounds = np.append(np.flatnonzero(np.diff(col["cluster"], prepend=col["cluster"][:1] - 1)), got.num_rows)
+    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+        part, left = np.arange(s, e), col["left"][s:e]
+        rows, cols = (part, part) if left.all() else (part[left], part[~left])
+        if not len(rows) or not len(cols):
+            continue
+        hits = np.zeros((len(rows), len(cols)), np.int16)
+        for k in range(COORDINATES):
+            hits += sig[rows, k][:, None] == sig[cols, k][None]
+        n = col["n"]
+        small, large = np.minimum(n[rows][:, None], n[cols][None]), np.maximum(n[rows][:, None], n[cols][None])
+        hits[(hits < MATCHES) | (col["doc"][rows][:, None] == col["doc"][cols][None]) | (SHARE[1] * small < SHARE[0] * large)] = 0
+        yield col, rows, cols, hits
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.table([pairs[:, 0], pairs[:, 1]], schema=_PAIR)
+
+
+def _promising(group: pa.Table) -> pa.Table:
+    """For a block of clusters' members: each one's best partner, and the partners of each side's hub."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for col, rows, cols, hits in _blocks(group):
+        doc = col["doc"]
+        for h, x, y in ((hits, rows, cols), (hits.T, cols, rows)):
+            best = h.argmax(1)
+            some = np.flatnonzero(h[np.arange(len(x)), best])
+            found.append((doc[x[some]], doc[y[best[some]]]))
+            hub = int((h > 0).sum(1).argmax())
+            near = np.flatnonzero(h[hub])
+            found.append((np.full(len(near), doc[x[hub]]), doc[y[near]]))
+    return _pairs(found)
+
+
+def _joining(group: pa.Table) -> pa.Table:
+    """For a block of clusters' members with their full sets: confirmed links that join components, none between those already joined here."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for col, rows, cols, hits in _blocks(group):
+        comp, doc, keys = col["comp"], col["doc"], col["keys"]
+        hits[comp[rows][:, None] == comp[cols][None]] = 0
+        i, j = np.nonzero(np.triu(hits) if rows is cols else hits)
+        top: dict[int, int] = {}
+
+        def root(c: int, top: dict[int, int] = top) -> int:
+            while (up := top.get(c, c)) != c:
+                c = up
+            return c
+
+        held: dict[int, np.ndarray] = {}
+
+        def set_of(k: int, held: dict[int, np.ndarray] = held, keys: pa.Array = keys) -> np.ndarray:
+            if k not in held:
+                held[k] = np.asarray(keys[k].values)
+            return held[k]
+
+        for k in np.argsort(-hits[i, j], kind="stable"):  # the likeliest first
+            x, y = int(rows[i[k]]), int(cols[j[k]])
+            a, b = root(int(comp[x])), root(int(comp[y]))
+            if a == b:
                 continue
-            for h, x, y in ((hits, rows, cols), (hits.T, cols, rows)):
-                best = h.argmax(1)
-                some = np.flatnonzero(h[np.arange(len(x)), best])
-                found.append((doc[x[some]], doc[y[best[some]]]))
-                hub = int((h > 0).sum(1).argmax())
-                near = np.flatnonzero(h[hub])
-                found.append((np.full(len(near), doc[x[hub]]), doc[y[near]]))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table([pairs[:, 0], pairs[:, 1]], schema=kind)
-
-    return run
-
-
-def _compared(members: DataFrame, every: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) within the clusters of members (doc, n, sig, cluster, size, comp)."""
+            kx, ky = set_of(x), set_of(y)
+            both = len(np.intersect1d(kx, ky, assume_unique=True))
+            if SHARE[1] * both >= SHARE[0] * (len(kx) + len(ky) - both):
+                top[max(a, b)] = min(a, b)
+                found.append((doc[x : x + 1], doc[y : y + 1]))
+    return _pairs(found)
+
+
+def _compared(members: DataFrame, by, *more: str) -> DataFrame:  # noqa: ANN001
+    """What `by` makes of the clusters of members (doc, n, sig, cluster, size, comp, more), block by block: distinct pairs (a, b)."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     total = members.where(F.col("size") <= BLOCK).count()
     packs = max(1, -(-total // TOGETHER))
-    columns = ["doc", "n", "sig", "cluster", "comp"]
+    columns = ["doc", "n", "sig", "cluster", "comp", *more]
     small = members.where(F.col("size") <= BLOCK).select(*columns, F.lit(True).alias("left"), F.pmod(F.xxhash64("cluster", F.lit(3)), F.lit(packs)).alias("g"), F.lit(0).alias("i"), F.lit(-1).alias("j"))
-    other = members.where(F.col("size") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    first = (F.col("own") < F.col("other")) | (F.col("own") == F.col("other"))
-    large = other.select(*columns, first.alias("left"), F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return small.union(large).groupBy("g", "i", "j").applyInArrow(_candidates(every), "a long, b long").distinct()
+    other = members.where(F.col("size") > BLOCK).withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = other.select(*columns, (F.col("own") <= F.col("other")).alias("left"), F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return small.union(large).groupBy("g", "i", "j").applyInArrow(by, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,8 +280,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = _sets(named.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     sets = cut(sets.join(classes.select("doc_id", "d0", "d1"), ["doc_id", "d0", "d1"], "left_semi").dropDuplicates(["doc_id", "d0", "d1"]).select("doc_id", "keys"))
-    links = cut(_confirmed(_compared(members.withColumn("comp", F.col("doc")), False), sets))
-    links = cut(links.union(_confirmed(_compared(cut(_labelled(members, links, "comp")), True), sets)))
+    links = cut(_confirmed(_compared(members.withColumn("comp", F.col("doc")), _promising), sets))
+    labelled = cut(_labelled(members, links, "comp"))
+    split = labelled.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("cluster")
+    whole_sets = sets.select(F.col("doc_id").alias("doc"), F.size("keys").cast("long").alias("n"), "keys")
+    links = cut(links.union(_compared(labelled.join(split, "cluster").join(whole_sets, ["doc", "n"]), _joining, "keys")))
     roots = components(links.union(twice))
     of = of.join(roots, of["class"] == roots["node"], "left").select("d0", "d1", "n_shingles", F.coalesce("root", "class").alias("component_id"))
     found = whole.drop("sig").join(of, ["d0", "d1", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
