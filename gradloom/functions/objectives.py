@@ -161,6 +161,8 @@ def _exp(x: Any, m: Any) -> Any:
 def create(params: TrainingParams) -> Objective:
     """The objective that params name."""
     name = params.objective
+    if params.num_class > 1 and not name.startswith("multi:"):
+        raise InvalidParameter(f"{name} has one output; num_class is for the softmax objectives")
     if name in ("reg:squarederror", "reg:linear"):
         return Objective("reg:squarederror", "rmse", _squared)
     if name == "reg:pseudohubererror":
@@ -172,8 +174,6 @@ def create(params: TrainingParams) -> Objective:
         if params.num_class < 2:
             raise InvalidParameter("the softmax objectives need num_class of at least 2")
         return Objective(name, "mlogloss", None, outputs=params.num_class)
-    if params.num_class > 1:
-        raise InvalidParameter(f"{name} has one output; num_class is for the softmax objectives")
     if name in ("count:poisson", "reg:gamma", "reg:tweedie"):
         grad, metric = {"count:poisson": (_poisson, "poisson-nloglik"), "reg:gamma": (_gamma, "gamma-nloglik"), "reg:tweedie": (_tweedie(params.tweedie_variance_power), "tweedie-nloglik")}[name]
         return Objective(name, metric, grad, _exp, _log_mean)

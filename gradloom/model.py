@@ -215,7 +215,7 @@ class BoostedModel:
         try:
             objectives.create(self.params)
         except UnknownName:  # an objective of one's own is kept as code
-            import cloudpickle
+            from pyspark import cloudpickle
 
             own["code"] = cloudpickle.dumps(self.objective).hex()
         return json.dumps(own, indent=1)
