@@ -23,6 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let the session hand at most `rows` rows at once to Python: for operators whose rows carry binary columns, several workers deep."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradloom.llm._shared import small_batches
+
 RATE = 16000
 UP, DOWN, TAPS = 3, 4, 8
 WINDOW, HOP, FFT, MELS = 300, 120, 512, 32
@@ -173,6 +175,7 @@ def _in_batches(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator
 
 def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media): each text's UTF-8 bytes, padded, as a WAV file."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +195,7 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def audio_features(media: DataFrame, key: str = "doc_id", column: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, keep, media, tensors, spans): the Arrow IPC stream of the features and the loud spans, for each stored file."""
+    small_batches(media.sparkSession)
     shape = media.select(key, *keep, column).schema.add("tensors", "binary").add("spans", T.ArrayType(T.StructType().add("start_s", "double").add("end_s", "double")))
     return media.select(key, *keep, column).mapInArrow(_analysed(len(keep) + 1), shape)
 
