@@ -69,9 +69,11 @@ def rates(counts: DataFrame, goals: DataFrame) -> DataFrame:
     words = F.col("size").cast("double")
     per = counts.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("filled"))
     g, p = goals.alias("g"), per.alias("p")
+    mean = F.greatest(F.col("g.source_size") / F.greatest(F.col("p.filled"), F.lit(1)), F.lit(1.0))
     state = g.join(p, F.col("g.source").eqNullSafe(F.col("p.source"))).select(
-        "g.source", "g.source_size", "g.target", (F.col("g.source_size") / F.greatest(F.col("p.filled"), F.lit(1))).alias("mean"),
-        F.lit(0.0).alias("lam"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"),
+        "g.source", "g.source_size", "g.target", mean.alias("mean"),
+        # at the upper bound a document of one word is taken MOST times, at the lower one hardly ever
+        F.lit(0.0).alias("lam"), (-40.0 * mean).alias("low"), (LN_MOST * mean + 1.0).alias("high"),
         # nothing to balance: no words, or every document twice
         ((F.col("g.source_size") == 0) | (F.col("g.target") >= MOST * F.col("g.source_size"))).alias("done"),
     )
