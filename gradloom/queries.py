@@ -6,6 +6,8 @@ a margin, labels of several kinds and a weight) and LI (line items as features w
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -21,6 +23,7 @@ from gradloom.params import TrainingParams
 from gradloom.plans import boost, cv
 from gradloom.plans.kernel import Tree
 from gradloom.plans.linear import sums, sweep
+from gradloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -132,6 +135,34 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return li(spark, sf).agg(F.count("f2").alias("present"), (F.count("*") - F.count("f2")).alias("missing"))
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the folder that executors share; a temporary one only where none is set."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/gradloom-{uuid.uuid4().hex}"
+
+
+_FILE_SQL = "SELECT count(*)::BIGINT AS n, round(sum((event_id % 3)::DOUBLE), 2) AS labels, round(sum(user_id::DOUBLE), 2) AS f0, count(nullif(event_id % 5, 0))::BIGINT AS present FROM events"
+
+
+def _file_sums(frame: DataFrame) -> DataFrame:
+    total = lambda c: F.round(F.sum(F.col(c).cast("double")), 2)
+    return frame.agg(F.count("*").alias("n"), total("label").alias("labels"), total("f0").alias("f0"), F.count("f1").alias("present"))
+
+
+@query("csv_source", _FILE_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    path, i = _scratch(spark), F.col("event_id")
+    _t(spark, sf, "events").select((i % 3).alias("y"), "user_id", F.nullif(i % 5, F.lit(0)).alias("f1")).write.csv(path, nullValue="NA")
+    return _file_sums(files.read_csv(spark, path).frame)
+
+
+@query("libsvm_source", _FILE_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    path, i = _scratch(spark), F.col("event_id")
+    line = F.concat_ws(" ", i % 3, F.concat(F.lit("0:"), F.col("user_id")), F.when(i % 5 != 0, F.concat(F.lit("1:"), i % 5)))
+    _t(spark, sf, "events").select(line.cast("string").alias("value")).write.text(path)
+    return _file_sums(files.read_libsvm(spark, path).frame)
+
+
 # objectives
 
 
