@@ -35,6 +35,8 @@ ONE = 30
 GROUP = 1000
 STEPS = 60
 CLOSE = 1e-7
+#: Sums of words are of whole parts of a word, this many.
+FINE = float(1 << 24)
 LN_MOST = math.log(MOST)
 
 
@@ -82,28 +84,28 @@ def rates(counts: DataFrame, goals: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         s, c = state.alias("s"), counts.alias("c")
         x = F.least(F.col("s.lam") * words / F.col("s.mean"), F.lit(limit))
-        scaled = lambda v: F.sum(F.round(v * F.col("c.n") * 1024.0).cast("decimal(38,0)"))
+        scaled = lambda v: F.sum(F.round(v * F.col("c.n") * FINE).cast("decimal(38,0)"))
         free = F.when(x < limit, F.exp(x) * words * words / F.col("s.mean")).otherwise(0.0)
         sums = (
             c.join(s, F.col("c.source").eqNullSafe(F.col("s.source")) & ~F.col("s.done"))
             .groupBy(F.col("s.source").alias("source"))
-            .agg((scaled(F.exp(x) * words) / 1024.0).cast("double").alias("got"), (scaled(free) / 1024.0).cast("double").alias("curve"))
+            .agg((scaled(F.exp(x) * words).cast("double") / FINE).alias("got"), (scaled(free).cast("double") / FINE).alias("curve"))
         )
         m = sums.alias("m")
         joined = s.join(m, F.col("s.source").eqNullSafe(F.col("m.source")), "left")
         got, goal, lam = F.coalesce(F.col("m.got"), F.col("s.target")), F.col("s.target"), F.col("s.lam")
-        close = F.abs(got - goal) <= CLOSE * goal
         low = F.when(got < goal, lam).otherwise(F.col("s.low"))
         high = F.when(got > goal, lam).otherwise(F.col("s.high"))
         newton = lam + (goal - got) / F.greatest(F.coalesce(F.col("m.curve"), F.lit(0.0)), F.lit(1e-12))
         # for an exponential sum the step on the logarithm is the better one below the goal
         newton = F.when((got > 0) & (F.col("m.curve") > 0), lam + got * F.ln(goal / got) / F.col("m.curve")).otherwise(newton)
         inside = (newton > low) & (newton < high)
-        step = F.when(inside, newton).otherwise((low + high) / 2)
+        step = F.round(F.when(inside, newton).otherwise((low + high) / 2), 12)
+        close = (F.abs(got - goal) <= CLOSE * goal) | (step == lam)
         state = cut(
             joined.select(
                 "s.source", "s.source_size", "s.target", "s.mean",
-                F.when(F.col("s.done") | close, lam).otherwise(F.round(step, 12)).alias("lam"), low.alias("low"), high.alias("high"), (F.col("s.done") | close).alias("done"),
+                F.when(F.col("s.done") | close, lam).otherwise(step).alias("lam"), low.alias("low"), high.alias("high"), (F.col("s.done") | close).alias("done"),
             )
         )
         if not state.where(~F.col("done")).limit(1).count():
