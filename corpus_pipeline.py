@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from gradloom.llm import langid, minhash, mixing, quality, spm
 from gradloom.llm._shared import held_out, shared_dir
 
+#: Documents of at least this Jaccard similarity on five-word shingles are near duplicates.
+SIMILARITY = 0.8
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose most probable language has a probability under one half, go."""
@@ -29,7 +32,7 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
-    return minhash.keep_first(docs)
+    return minhash.keep_first(docs, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,13 @@ A text's set is its distinct shingles of `WORDS` words (A-Z lower-cased); a shor
 The set's signature has `COORDINATES` values, one minimum for each of so many hash functions. Texts with equal sets are one
 document from the start.
 
-Each document is posted under its first `POSTED` (coordinate, value) pairs. Two documents of the least wanted similarity, 0.85, collide at
-about 0.85 * POSTED of them, and at fewer than `SHARED` in about two of a million cases; so with each document's pairs ordered
-from the rarest to the commonest, both prefixes of POSTED - SHARED + 1 pairs have one in common (prefix filter), and the
+Each document is posted under its first `POSTED` (coordinate, value) pairs. Two documents of the least wanted similarity s collide at
+about s * POSTED of them, and at fewer than `shared` in at most a share `LOSS` of cases; so with each document's pairs ordered
+from the rarest to the commonest, both prefixes of POSTED - shared + 1 pairs have one in common (prefix filter), and the
 commonest pairs, with the long posting lists, are never merged (skip). Documents that lists of the prefixes connect form a cluster.
 
-Within a cluster, collisions are counted over all coordinates, in blocks of `BLOCK` documents; pairs that collide at fewer than `MATCHES` (about one
-in a hundred thousand of similarity 0.85) are dropped. Of the rest, first each document's best partner and its block's hub
+Within a cluster, collisions are counted over all coordinates, in blocks of `BLOCK` documents; pairs that collide at fewer than `matches` (again at most
+a share `LOSS` of similarity s) are dropped. Of the rest, first each document's best partner and its block's hub
 are confirmed on full sets. In clusters that still hold several components, the blocks come with their full sets, and all pairs left between
 components are confirmed in place until they are joined. No task gives more pairs than a few for each document.
 
@@ -21,7 +21,10 @@ An empty table gives an empty result. Other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +37,12 @@ from gradloom.llm.components import components
 
 WORDS = 5
 COORDINATES = 128
-MATCHES = 92
 POSTED = 48
-SHARED = 30
+#: Each of the two filters drops at most this share of the pairs that are just similar enough.
+LOSS = 5e-5
 #: Documents in a block of a large cluster, and about how many of small clusters go to a task together.
 BLOCK = 512
 TOGETHER = 256
-#: Linked: SHARE[1] * intersection >= SHARE[0] * union.
-SHARE = (85, 100)
 PIECE = 1 << 17
 
 _rng = np.random.default_rng(20240607)
@@ -50,6 +51,34 @@ _SEEDS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _STEPS = [np.uint64(x) for x in _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)]
 
 
+class Limits(NamedTuple):
+    """Linked: whole * intersection >= part * union. Such pairs collide at `shared` of POSTED and `matches` of COORDINATES coordinates, but for LOSS of them."""
+
+    shared: int
+    matches: int
+    part: int
+    whole: int
+
+
+def limits(similarity: float) -> Limits:
+    """What links and filters follow from the least similarity of a link."""
+    share = Fraction(str(similarity))
+    if not 0 < share <= 1:
+        raise ValueError(f"similarity {similarity} isn't in (0, 1]")
+    s = float(share)
+
+    def least(n: int) -> int:
+        """The most collisions of n that all but LOSS of the pairs reach."""
+        below = 0.0
+        for k in range(n + 1):
+            below += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+            if below > LOSS:
+                return max(k, 1)
+        return n
+
+    return Limits(least(POSTED), least(COORDINATES), share.numerator, share.denominator)
+
+
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of the texts, their distinct shingles' hashes in ascending order) of a plain() array."""
     _, off, _, _, h = _text.words(texts, _text.SPACE, lower=True)
@@ -143,19 +172,19 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d0 long, d1 long, keys array<long>")
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
+def _prefixes(classes: DataFrame, shared: int) -> DataFrame:
     """(doc, token): for each class, the prefix of its posted tokens that some other class has too."""
     mixed = F.transform(F.slice("sig", 1, POSTED), lambda v, i: F.xxhash64(v, i))
     tokens = classes.select(F.col("doc_id").alias("doc"), F.explode(mixed).alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    # Tokens that no other class has come first in each class's order; so of m that others have, m - (SHARED - 1) are in the prefix.
+    # Tokens that no other class has come first in each class's order; so of m that others have, m - (shared - 1) are in the prefix.
     each = tokens.join(often, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
-    each = each.where(F.size("all") >= SHARED)
-    return each.select("doc", F.explode(F.slice("all", F.lit(1), F.size("all") - (SHARED - 1))["token"]).alias("token"))
+    each = each.where(F.size("all") >= shared)
+    return each.select("doc", F.explode(F.slice("all", F.lit(1), F.size("all") - (shared - 1))["token"]).alias("token"))
 
 
-def _blocks(group: pa.Table) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
-    """(columns, rows, columns' rows, collisions at or over MATCHES, else 0) for each cluster in a group; sizes that can't overlap enough have 0 too."""
+def _blocks(group: pa.Table, least: Limits) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """(columns, rows, columns' rows, collisions at or over least.matches, else 0) for each cluster in a group; sizes that can't overlap enough have 0 too."""
     got = group.sort_by([("cluster", "ascending"), ("doc", "ascending")])
     col = {c: got[c].to_numpy() for c in ("cluster", "doc", "comp", "n", "left")}
     sig = got["sig"].combine_chunks()
@@ -173,7 +202,7 @@ def _blocks(group: pa.Table) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray
             hits += sig[rows, k][:, None] == sig[cols, k][None]
         n = col["n"]
         small, large = np.minimum(n[rows][:, None], n[cols][None]), np.maximum(n[rows][:, None], n[cols][None])
-        hits[(hits < MATCHES) | (col["doc"][rows][:, None] == col["doc"][cols][None]) | (SHARE[1] * small < SHARE[0] * large)] = 0
+        hits[(hits < least.matches) | (col["doc"][rows][:, None] == col["doc"][cols][None]) | (least.whole * small < least.part * large)] = 0
         yield col, rows, cols, hits
 
 
@@ -186,10 +215,10 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.table([pairs[:, 0], pairs[:, 1]], schema=_PAIR)
 
 
-def _promising(group: pa.Table) -> pa.Table:
+def _promising(group: pa.Table, least: Limits) -> pa.Table:
     """For a block of clusters' members: each one's best partner, and the partners of each side's hub."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for col, rows, cols, hits in _blocks(group):
+    for col, rows, cols, hits in _blocks(group, least):
         doc = col["doc"]
         for h, x, y in ((hits, rows, cols), (hits.T, cols, rows)):
             best = h.argmax(1)
@@ -201,10 +230,10 @@ def _promising(group: pa.Table) -> pa.Table:
     return _pairs(found)
 
 
-def _joining(group: pa.Table) -> pa.Table:
+def _joining(group: pa.Table, least: Limits) -> pa.Table:
     """For a block of clusters' members with their full sets: confirmed links that join components, none between those already joined here."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for col, rows, cols, hits in _blocks(group):
+    for col, rows, cols, hits in _blocks(group, least):
         comp, doc, keys = col["comp"], col["doc"], col["keys"]
         hits[comp[rows][:, None] == comp[cols][None]] = 0
         i, j = np.nonzero(np.triu(hits) if rows is cols else hits)
@@ -229,13 +258,13 @@ def _joining(group: pa.Table) -> pa.Table:
                 continue
             kx, ky = set_of(x), set_of(y)
             both = len(np.intersect1d(kx, ky, assume_unique=True))
-            if SHARE[1] * both >= SHARE[0] * (len(kx) + len(ky) - both):
+            if least.whole * both >= least.part * (len(kx) + len(ky) - both):
                 top[max(a, b)] = min(a, b)
                 found.append((doc[x : x + 1], doc[y : y + 1]))
     return _pairs(found)
 
 
-def _compared(members: DataFrame, by, *more: str) -> DataFrame:  # noqa: ANN001
+def _compared(members: DataFrame, by: Callable[[pa.Table, Limits], pa.Table], least: Limits, *more: str) -> DataFrame:
     """What `by` makes of the clusters of members (doc, n, sig, cluster, size, comp, more), block by block: distinct pairs (a, b)."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     total = members.where(F.col("size") <= BLOCK).count()
@@ -244,14 +273,14 @@ def _compared(members: DataFrame, by, *more: str) -> DataFrame:  # noqa: ANN001
     small = members.where(F.col("size") <= BLOCK).select(*columns, F.lit(True).alias("left"), F.pmod(F.xxhash64("cluster", F.lit(3)), F.lit(packs)).alias("g"), F.lit(0).alias("i"), F.lit(-1).alias("j"))
     other = members.where(F.col("size") > BLOCK).withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     large = other.select(*columns, (F.col("own") <= F.col("other")).alias("left"), F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return small.union(large).groupBy("g", "i", "j").applyInArrow(by, "a long, b long").distinct()
+    return small.union(large).groupBy("g", "i", "j").applyInArrow(lambda group: by(group, least), "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: Limits) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough."""
     keys = lambda c: sets.select(F.col("doc_id").alias(c), F.col("keys").alias(f"k{c}"))
     both, na, nb = F.size(F.array_intersect("ka", "kb")).cast("long"), F.size("ka").cast("long"), F.size("kb").cast("long")
-    return pairs.join(keys("a"), "a").join(keys("b"), "b").where(SHARE[1] * both >= SHARE[0] * (na + nb - both)).select("a", "b")
+    return pairs.join(keys("a"), "a").join(keys("b"), "b").where(least.whole * both >= least.part * (na + nb - both)).select("a", "b")
 
 
 def _labelled(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -260,8 +289,9 @@ def _labelled(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return nodes.join(roots, nodes["doc"] == roots["node"], "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "doc").alias(name))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of docs."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.85) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for each row of docs; sets of at least this Jaccard similarity are linked."""
+    least = limits(similarity)
     rows = cut(signed(docs, key, text))
     whole = rows.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
     # One class for equal sets: its smallest id stands for it.
@@ -271,7 +301,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # An id of several texts joins their classes.
     several = whole.groupBy("doc_id").agg(F.min("d0").alias("lo"), F.max("d0").alias("hi")).where(F.col("lo") != F.col("hi")).select("doc_id")
     twice = whole.drop("sig").join(several, "doc_id").join(of, ["d0", "d1", "n_shingles"]).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
-    posted = cut(_prefixes(classes))
+    posted = cut(_prefixes(classes, least.shared))
     hubs = posted.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where(F.col("a") < F.col("z")).select("token", "a")
     joined = posted.join(hubs, "token").where(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b")).distinct()
     cluster = components(joined).select(F.col("node").alias("doc"), F.col("root").alias("cluster"))
@@ -280,11 +310,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = _sets(named.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     sets = cut(sets.join(classes.select("doc_id", "d0", "d1"), ["doc_id", "d0", "d1"], "left_semi").dropDuplicates(["doc_id", "d0", "d1"]).select("doc_id", "keys"))
-    links = cut(_confirmed(_compared(members.withColumn("comp", F.col("doc")), _promising), sets))
+    links = cut(_confirmed(_compared(members.withColumn("comp", F.col("doc")), _promising, least), sets, least))
     labelled = cut(_labelled(members, links, "comp"))
     split = labelled.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("cluster")
     whole_sets = sets.select(F.col("doc_id").alias("doc"), F.size("keys").cast("long").alias("n"), "keys")
-    links = cut(links.union(_compared(labelled.join(split, "cluster").join(whole_sets, ["doc", "n"]), _joining, "keys")))
+    links = cut(links.union(_compared(labelled.join(split, "cluster").join(whole_sets, ["doc", "n"]), _joining, least, "keys")))
     roots = components(links.union(twice))
     of = of.join(roots, of["class"] == roots["node"], "left").select("d0", "d1", "n_shingles", F.coalesce("root", "class").alias("component_id"))
     found = whole.drop("sig").join(of, ["d0", "d1", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
@@ -292,7 +322,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return found.union(rest).select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.85) -> DataFrame:
     """The rows of docs, all columns, whose id is the smallest of its component; rows with a null id stay."""
-    gone = near_duplicates(docs, key, text).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_gone")).distinct()
+    gone = near_duplicates(docs, key, text, similarity).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), similarity=0.85)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

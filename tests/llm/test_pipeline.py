@@ -1,5 +1,8 @@
 """The pipeline's stages: columns, and what each may and may not drop."""
 
+import random
+from fractions import Fraction
+
 import corpus_pipeline
 from gradloom.llm import langid, minhash, mixing
 
@@ -28,3 +31,46 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def brute_groups(texts, least):
+    """The smallest id of each id's group, by comparing all pairs of sets of five words; texts have five words at least."""
+    sets = {}
+    for d, t in texts.items():
+        w = t.lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) >= least:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {d: root(d) for d in ids}
+
+
+def edited(rng, words, at):
+    return " ".join(f"n{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words))
+
+
+def test_near_duplicates_from_eight_tenths_on(spark):
+    rng = random.Random(8)
+    texts = {}
+    for i in range(0, 200, 2):  # three words far apart: 131 of 161 shingles are common, 0.81; four: 126 of 166, 0.76
+        words = [f"w{rng.randrange(4000)}" for _ in range(150)]
+        texts[i], texts[i + 1] = " ".join(words), edited(rng, words, (20, 70, 120) if i % 4 else (20, 50, 80, 120))
+    words = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    for i in range(200, 300):
+        texts[i] = edited(rng, words, rng.sample(range(150), rng.randrange(6)))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    groups = brute_groups(texts, Fraction(8, 10))
+    assert groups != brute_groups(texts, Fraction(85, 100))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()) == sorted(set(groups.values()))
+    got = minhash.near_duplicates(rows, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups
