@@ -39,7 +39,7 @@ WORDS = 5
 COORDINATES = 128
 POSTED = 48
 #: Each of the two filters drops at most this share of the pairs that are just similar enough.
-LOSS = 5e-5
+LOSS = 1e-6
 #: Documents in a block of a large cluster, and about how many of small clusters go to a task together.
 BLOCK = 512
 TOGETHER = 256

@@ -1,10 +1,12 @@
 """The training-data operators against brute force, libraries and held-out labels, and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -150,6 +152,13 @@ def test_near_duplicates_on_awkward_rows(spark):
     assert sorted(r["doc_id"] for r in minhash.keep_first(d).collect() if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_filters_lose_at_most_two_links_of_a_million(similarity):
+    least, s = minhash.limits(similarity), Fraction(str(similarity))
+    below = lambda n, k: sum(math.comb(n, i) * s**i * (1 - s) ** (n - i) for i in range(k))
+    assert below(minhash.POSTED, least.shared) + below(minhash.COORDINATES, least.matches) <= Fraction(2, 10**6)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 50), (7, 7), (60, 61)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
