@@ -3,9 +3,9 @@
 Equal vectors are one class from the start, however many rows they have. Spherical k-means on a bounded
 sample of about `SAMPLE` classes, spread over the table by hash, gives the cells' centres; their number grows with the square root of
 the classes up to `CELLS`. Every class lives in the cell of its nearest centre (its home) and visits the other cells
-whose centre is at most `REACH` less similar to it, unless it is further from the border than a linked
-vector can be. Home and visits are computed for every class; recall against brute force is measured in the tests. A linked pair
-is missed only if neither side visits the other's home.
+whose border is so near that the closer side of a linked pair across it can be there. Home and visits are computed for every class.
+No linked pair is missed: of two homes' centres a and b, (a - b)(x - y) is the sum of the two sides' gaps and at most |a - b| |x - y|, so the
+side of the smaller gap is within half of that and visits the other's home.
 
 Cells are cut into blocks of about `BLOCK` classes by hash; a task multiplies a block of a cell's residents with a block of its
 residents and visitors, in double precision. It gives each vector's count of links and one row to its local component's root,
@@ -30,7 +30,6 @@ from gradloom.llm.components import components
 
 SAMPLE = 8192
 CELLS = 4096
-REACH = 0.15
 BLOCK = 1024
 LEAST = 0.9
 
@@ -57,13 +56,13 @@ def spherical_kmeans(x: np.ndarray, k: int, steps: int = 10, seed: int = 11) ->
     return c
 
 
-def cells_of(x: np.ndarray, c: np.ndarray, least: float = LEAST, reach: float = REACH) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(x: np.ndarray, c: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(home of each unit row of x, which cells it is in)."""
     s = x @ c.T
     home = s.argmax(1)
     gap = s[np.arange(len(x)), home][:, None] - s
-    border = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[home] * np.sqrt(2 - 2 * least)
-    return home, (gap <= reach) & (gap <= border + 1e-12)
+    border = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[home] * np.sqrt(2 - 2 * least) / 2
+    return home, gap <= border + 1e-6
 
 
 def _unit_rows(a: pa.Array) -> np.ndarray:

@@ -326,6 +326,25 @@ def test_vectors_by_brute_force(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("length", [2, 4, 8, 16])
+def test_one_side_of_each_link_visits_the_others_home(length):
+    rng = np.random.default_rng(length)
+    x = rng.normal(size=(3000, length))
+    x[1500:] = x[:1500] + 0.35 * rng.normal(size=(1500, length)) * np.linalg.norm(x[:1500], axis=1)[:, None] / length**0.5
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    home, member = embed_dedup.cells_of(x, embed_dedup.spherical_kmeans(x, 27))
+    visits = member[:, home]
+    assert member[np.arange(len(x)), home].all()
+    assert not ((x @ x.T >= embed_dedup.LEAST) & ~visits & ~visits.T).any()
+
+
+def test_short_vectors_by_brute_force(spark):
+    x = np.random.default_rng(4).normal(size=(3000, 5)).astype(np.float32)
+    got = embed_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    assert [n for _, n in sorted((r["vec_id"], r["n_links"]) for r in got)] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+
+
 def test_recall_on_the_table(spark):
     path = "/root/testdata/check_s/embeddings.parquet"
     got = embed_dedup.near_vectors(spark.read.parquet(path)).agg(F.sum("n_links")).collect()[0][0]
