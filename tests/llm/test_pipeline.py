@@ -74,3 +74,18 @@ def test_near_duplicates_from_eight_tenths_on(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()) == sorted(set(groups.values()))
     got = minhash.near_duplicates(rows, similarity=0.8).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == groups
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(9)
+    a, b, c = ([f"{x}{rng.randrange(4000)}" for _ in range(100)] for x in "abc")
+    text = " ".join
+    rows = [(3, text(a), "x"), (3, text(a), "y"), (3, text(a), "x"), (4, edited(rng, a, (50,)), "x"), (None, text(a), "x"), (None, edited(rng, a, (20,)), "x")]
+    rows += [(None, text(b), "x"), (None, text(b), "x"), (None, edited(rng, b, (20,)), "x"), (9, text(c), "x"), (9, text(c), "x"), (8, "", "x"), (None, "", "x"), (None, None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_duplicates(spark, d, "")
+    assert got.columns == d.columns
+    got = got.collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [3, 8, 9]
+    none = [r["text"] for r in got if r["doc_id"] is None]
+    assert len(none) == 3 and None in none and "" in none and max(none, key=lambda t: len(t or ""))[:1] == "b"
