@@ -597,8 +597,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dart_weights", "SELECT 2 AS dropped, round(1e0 / 3, 9) AS new_weight, round(2e0 / 3, 9) AS kept_share")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    k = 2
-    return spark.range(1).select(F.lit(k).alias("dropped"), _r(F.lit(1.0 / (k + 1)), 9).alias("new_weight"), _r(F.lit(k * 1.0 / (k + 1)), 9).alias("kept_share"))
+    # Every tree is dropped in every round, so the third round drops two.
+    data = Dataset.of(spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(12)], "row_id long, f0 double, y double"), ["f0"], "row_id", label="y")
+    p = TrainingParams(booster="dart", rate_drop=1.0)
+    was, now = (boost.train(p, data, n).model.weights for n in (2, 3))
+    dropped = sum(a != b for a, b in zip(was, now))
+    return spark.createDataFrame([(dropped, now[2], now[0] / was[0])], "dropped int, new_weight double, kept_share double").select("dropped", _r(F.col("new_weight"), 9).alias("new_weight"), _r(F.col("kept_share"), 9).alias("kept_share"))
 
 
 # prediction by a model written down here: two trees on (f0, f1, f2)

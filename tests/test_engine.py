@@ -287,3 +287,13 @@ def test_importance_and_classes(spark, data):
     with pytest.raises(UnknownName):
         m.importance(spark, "none")
     assert {r["class"] for r in boost.train(TrainingParams(objective="multi:softmax", num_class=3, max_depth=2), data.with_(label="k"), 3).model.predict_class(data).collect()} == {0, 1, 2}
+
+
+def test_dart_weights_come_from_training(spark, sf, monkeypatch):
+    from gradloom import queries
+
+    calls, train = [], boost.train
+    monkeypatch.setattr(boost, "train", lambda p, *a: calls.append(p.booster) or train(p, *a))
+    row = queries.queries()["dart_weights"](spark, sf).collect()[0]
+    assert calls == ["dart", "dart"]
+    assert (row["dropped"], row["new_weight"], row["kept_share"]) == (2, round(1 / 3, 9), round(2 / 3, 9))
