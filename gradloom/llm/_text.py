@@ -70,13 +70,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `size` bytes; a longer text is alone."""
+def slices(texts: pa.Array, size: int = SLICE, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `rows` rows of about `size` bytes; a longer text is alone."""
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     at, n = 0, len(texts)
     while at < n:
         to = int(np.searchsorted(off, off[at] + size, "right")) - 1
-        to = min(n, max(at + 1, to))
+        to = min(n, max(at + 1, to), at + (rows or n))
         yield at, to
         at = to
 

@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that it can reach.
 
     Each round, a node's label becomes the least of its own and its neighbours' (aggregated before the
-    shuffle, so that a hub costs one row for each task), then the label of its label. Nothing is collected;
+    shuffle, so that a hub costs one row for each task), then what that node's label was. Nothing is collected;
     each round's labels are stored in the shared folder. No edges give no rows.
     """
     both = edges.where(F.col("a") != F.col("b")).select("a", "b")
@@ -24,8 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("m"))
         low = label.join(near, label["node"] == near["a"], "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("m", "root")).alias("root"))
-        low = cut(low)
-        up = low.select(F.col("node").alias("at"), F.col("root").alias("top"))
+        up = label.select(F.col("node").alias("at"), F.col("root").alias("top"))
         new = cut(low.join(up, low["root"] == up["at"]).select("node", "was", F.least("root", "top").alias("root")))
         label = new.select("node", "root")
         if not new.where(F.col("root") != F.col("was")).limit(1).count():

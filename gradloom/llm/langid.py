@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ from gradloom.llm._shared import unit
 DIMS = 1 << 13
 PER_LANGUAGE = 1000
 UND = "und"
-#: Bytes of text whose n-grams are counted at once.
+#: Bytes and rows of text whose n-grams are counted at once; a count is held for each row and column.
 PIECE = 1 << 16
+ROWS = 64
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ class LanguageModel:
         """Languages and their probabilities; ties go to the first language in order."""
         names, scores = [], []
         texts = _text.plain(texts)
-        for a, b in _text.slices(texts, PIECE):
+        for a, b in _text.slices(texts, PIECE, ROWS):
             z, lettered = self.logits(texts.slice(a, b - a))
             if not self.languages:
                 names += [UND] * (b - a)
@@ -158,7 +160,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
         total, df = 0, np.zeros(DIMS, np.int64)
         for batch in batches:
             texts = _text.plain(batch.column(0))
-            for a, b in _text.slices(texts, PIECE):
+            for a, b in _text.slices(texts, PIECE, ROWS):
                 df += np.bincount(ngrams(texts.slice(a, b - a))[1], minlength=DIMS)
             total += len(texts)
         at = np.append(np.flatnonzero(df), DIMS)
@@ -188,28 +190,43 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _text.plain(batch.column(0))
-            for a, b in _text.slices(texts, PIECE):
+            for a, b in _text.slices(texts, PIECE, ROWS):
                 r, c, n, lettered = ngrams(texts.slice(a, b - a))
-                bounds = np.searchsorted(r, np.arange(b - a + 1))
-                keep = np.flatnonzero(lettered)
-                yield pa.RecordBatch.from_pydict({
-                    "label": batch.column(1).slice(a, b - a).take(pa.array(keep)),
-                    "order": batch.column(2).slice(a, b - a).take(pa.array(keep)),
-                    "cols": pa.array([c[bounds[i] : bounds[i + 1]].astype(np.int32) for i in keep], pa.list_(pa.int32())),
-                    "counts": pa.array([n[bounds[i] : bounds[i + 1]].astype(np.int32) for i in keep], pa.list_(pa.int32())),
-                })
+                bounds = pa.array(np.searchsorted(r, np.arange(b - a + 1)).astype(np.int32))
+                part = {"label": batch.column(1).slice(a, b - a), "order": batch.column(2).slice(a, b - a), **{k: pa.ListArray.from_arrays(bounds, pa.array(v.astype(np.int32))) for k, v in (("cols", c), ("counts", n))}}
+                yield pa.RecordBatch.from_pydict(part).filter(pa.array(lettered))
+
+    n_languages = len(languages)
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if not found:
+            return
+        got = pa.Table.from_batches(found).sort_by([("order", "ascending"), ("label", "ascending")])
+        w, bias, t = _weights(got, idf, n_languages)
+        yield pa.RecordBatch.from_pydict({"weights": [w.tobytes()], "bias": [bias.tobytes()], "temperature": [t]})
 
     sample = rows.where(unit(key, 5) < rate).select(F.col(text), number.alias("label"), F.xxhash64(F.col(text)).alias("order"))
-    got = sample.mapInArrow(extract, "label int, order long, cols array<int>, counts array<int>").toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
-    labels = got["label"].to_numpy().astype(np.int64)
-    examples = []
-    for c, n in zip(got["cols"].to_pylist(), got["counts"].to_pylist(), strict=True):
-        cols = np.asarray(c, np.int64)
-        examples.append((cols, _features(np.zeros(len(cols), np.int64), cols, np.asarray(n, float), idf, 1)))
+    features = sample.mapInArrow(extract, "label int, order long, cols array<int>, counts array<int>")
+    # One task learns from the bounded sample, so that the driver gets the weights only.
+    found = features.repartition(1).mapInArrow(learnt, "weights binary, bias binary, temperature double").collect()
+    if not found:  # no text with a letter
+        return LanguageModel(languages, idf, np.zeros((DIMS, n_languages)), np.zeros(n_languages))
+    w, bias = (np.frombuffer(found[0][c], float) for c in ("weights", "bias"))
+    return LanguageModel(languages, idf, w.reshape(DIMS, n_languages), bias, found[0]["temperature"])
+
+
+def _weights(sample: pa.Table, idf: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, bias and temperature from (label, cols, counts) in their order; every fifth row is for the temperature alone."""
+    labels = sample["label"].to_numpy().astype(np.int64)
+    cols, counts = (np.concatenate([c.flatten().to_numpy() for c in sample[n].chunks] or [np.zeros(0, np.int32)]) for n in ("cols", "counts"))
+    off = np.append(0, np.cumsum(pc.list_value_length(sample["cols"]).to_numpy())).astype(np.int64)
+    values = _features(np.repeat(np.arange(len(labels)), np.diff(off)), cols, counts, idf, len(labels))
+    examples = [(cols[a:b].astype(np.int64), values[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
     check = np.arange(len(labels)) % 5 == 4
-    w, bias = ftrl([e for e, c in zip(examples, check, strict=True) if not c], labels[~check], len(languages), DIMS)
-    logits = np.array([v @ w[c] + bias for (c, v), k in zip(examples, check, strict=True) if k]).reshape(-1, len(languages))
-    return LanguageModel(languages, idf, w, bias, temperature(logits, labels[check]))
+    w, bias = ftrl([e for e, c in zip(examples, check, strict=True) if not c], labels[~check], classes, DIMS)
+    logits = np.array([v @ w[c] + bias for (c, v), k in zip(examples, check, strict=True) if k]).reshape(-1, classes)
+    return w, bias, temperature(logits, labels[check])
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
