@@ -117,11 +117,29 @@ def rates(counts: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def _extra(done: Column, at: Column) -> Column:
-    """One step along the sizes: (words still owed, extra copies by size so far)."""
+    """One step along the sizes: (words still owed, extra copies by size in this stretch, those of the stretches before)."""
     size = at["size"].cast("double")
     owed = (at["rate"] % (1 << ONE)) / float(1 << ONE) * at["n"] * size + done["carry"]
     extra = F.when(size > 0, F.least(F.greatest(F.round(owed / size), F.lit(0.0)), at["n"].cast("double"))).otherwise(F.lit(0.0))
-    return F.struct((owed - extra * size).alias("carry"), F.concat(done["extra"], F.array(extra.cast("long"))).alias("extra"))
+    return F.struct((owed - extra * size).alias("carry"), F.concat(done["extra"], F.array(extra.cast("long"))).alias("extra"), done["before"].alias("before"))
+
+
+def _extras(sizes: str) -> Column:
+    """The extra copies of each of the sizes (size, n, rate), from the first on.
+
+    An array is copied as it grows; so stretches as long as the root of all are filled one by one.
+    """
+    long = F.greatest(F.ceil(F.sqrt(F.size(sizes))).cast("int"), F.lit(1))
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / long).cast("int")), lambda i: F.slice(sizes, i * long + 1, long))
+    none = F.array().cast("array<bigint>")
+    fill = lambda done, stretch: F.aggregate(
+        stretch,
+        F.struct(done["carry"].alias("carry"), none.alias("extra"), done["before"].alias("before")),
+        _extra,
+        lambda end: F.struct(end["carry"].alias("carry"), F.concat(end["before"], F.array(end["extra"])).alias("before")),
+    )
+    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<array<bigint>>").alias("before"))
+    return F.flatten(F.aggregate(stretches, start, fill, lambda end: end["before"]))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -133,7 +151,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # words so far closest to what the rates ask for; the smallest documents settle what is left.
     listed = rated.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("sizes"))
     plan = (
-        listed.withColumn("extra", F.aggregate("sizes", F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<bigint>").alias("extra")), _extra)["extra"])
+        listed.withColumn("extra", _extras("sizes"))
         .select("source", "source_size", "target", F.explode(F.arrays_zip("sizes", "extra")).alias("z"))
         .select("source", "z.sizes.size", "z.sizes.n", "source_size", "target", F.shiftright("z.sizes.rate", ONE).alias("base"), "z.extra", F.ceil(F.col("z.sizes.n") / GROUP).cast("long").alias("groups"))
     )
@@ -156,15 +174,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it."""
-    plan = mix(docs, key, text, source)
     # Rows of one key may have several counts only if the key repeats; they then share out the sum.
-    per = plan.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
-    match = docs[key].eqNullSafe(per["_key"]) & docs[source].eqNullSafe(per["_source"]) & size_of(text).eqNullSafe(per["_size"])
-    each = docs.join(per, match)
-    once = each.where(F.col("_rows") == 1).select(*[docs[c] for c in docs.columns], F.col("_all").alias("_n"))
-    w = Window.partitionBy("_key", "_source", "_size").orderBy(F.xxhash64(F.col(text)))
-    many = each.where(F.col("_rows") > 1).withColumn("_place", F.row_number().over(w) - 1)
-    share = lambda x: F.floor(x * F.col("_all") / F.col("_rows"))
-    many = many.select(*[F.col(c) for c in docs.columns], (share(F.col("_place") + 1) - share(F.col("_place"))).cast("long").alias("_n"))
-    taken = once.unionByName(many).where(F.col("_n") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    same = ["key", "source", "size"]
+    per = mix(docs, key, text, source).select(F.col(key).alias("key"), F.col(source).alias("source"), "size", "copies").groupBy(*same).agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    # The columns of docs stay together in one, so that no name of theirs meets one of ours.
+    d, p = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).alias("d"), per.alias("p")
+    each = d.join(p, F.col("d.key").eqNullSafe(F.col("p.key")) & F.col("d.source").eqNullSafe(F.col("p.source")) & F.col("d.size").eqNullSafe(F.col("p.size"))).select("d.*", "p.all", "p.rows")
+    once = each.where("rows = 1").select("doc", F.col("all").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*same).orderBy("hash"))
+    share = lambda x: F.floor(x * F.col("all") / F.col("rows"))
+    many = each.where("rows > 1").withColumn("place", place).select("doc", (share(F.col("place")) - share(F.col("place") - 1)).alias("n"))
+    taken = once.union(many).where("n > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return taken.select("doc.*")
