@@ -9,22 +9,36 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder where that is unset.
+
+    Only a session in one process (tests) may have neither and gets a temporary folder; on a cluster that raises, because no other machine would see it.
+    """
     sc = spark.sparkContext
     here = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not here and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(here or tempfile.mkdtemp(prefix="gradloom-"))
     return here or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the shared folder: its lineage ends there and lost executors lose nothing."""
+    """df, computed once and stored in the shared folder: its lineage ends there and lost executors lose nothing.
+
+    Spark removes the files when df is no longer used, if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Let the session hand at most `rows` rows at once to Python: for operators whose rows carry binary columns, several workers deep."""
+    """Let the session hand at most `rows` rows at once to Python from now on: for operators whose rows carry binary columns, several workers deep."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

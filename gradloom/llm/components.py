@@ -1,32 +1,51 @@
-"""Connected components of an edge table, by distributed minimum labels with pointer jumping."""
+"""Connected components of an edge table, by contracting stars until no edge is left."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradloom.llm._shared import cut
+from gradloom.llm._shared import cut, remove, shared_dir
 
-#: Rounds double the distance that a label travels, so this many are never used up.
+#: Contractions more than halve a graph on average, so this many are never used up.
 ROUNDS = 60
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that it can reach.
 
-    Each round, a node's label becomes the least of its own and its neighbours' (aggregated before the
-    shuffle, so that a hub costs one row for each task), then what that node's label was. Nothing is collected;
-    each round's labels are stored in the shared folder. No edges give no rows.
+    Each round, a node's parent becomes the first of itself and its neighbours in an order by hash (aggregated before the
+    shuffle, so that a hub costs one row for each task). Edges then join parents, and only distinct edges between
+    different parents stay for the next round; so all rounds together handle little more than the first. At the end nodes
+    follow their parents up. Nothing is collected. Each round's tables are written to the shared folder and removed at the end:
+    tables, not checkpoints, because their known sizes keep later rounds' estimates small. No edges give no rows.
     """
-    both = edges.where(F.col("a") != F.col("b")).select("a", "b")
-    both = cut(both.union(both.select("b", "a")).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(ROUNDS):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        low = label.join(near, label["node"] == near["a"], "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("m", "root")).alias("root"))
-        up = label.select(F.col("node").alias("at"), F.col("root").alias("top"))
-        new = cut(low.join(up, low["root"] == up["at"]).select("node", "was", F.least("root", "top").alias("root")))
-        label = new.select("node", "root")
-        if not new.where(F.col("root") != F.col("was")).limit(1).count():
-            break
-    return label
+    spark, folder = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/components-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    try:
+        left = stored(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        levels: list[DataFrame] = []
+        for turn in range(ROUNDS):
+            first = lambda c, turn=turn: F.min(F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id")))
+            near = left.select("a", "b").union(left.select("b", "a")).groupBy("a").agg(first("b").alias("m"))
+            own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("id"))
+            levels.append(stored(near.select(F.col("a").alias("node"), F.least(own, "m")["id"].alias("parent")), f"parents{turn}"))
+            up = lambda c, level=levels[-1]: level.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}"))
+            moved = left.join(up("a"), "a").join(up("b"), "b").where(F.col("pa") != F.col("pb"))
+            left = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"edges{turn}")
+            if left.isEmpty():
+                break
+        found = levels.pop().withColumnRenamed("parent", "root")
+        for k, level in enumerate(reversed(levels)):
+            above = found.select(F.col("node").alias("parent"), "root")
+            found = stored(level.join(above, "parent", "left").select("node", F.coalesce("root", "parent").alias("root")), f"roots{k}")
+        least = found.groupBy("root").agg(F.min("node").alias("least"))
+        return cut(found.join(least, "root").select("node", F.col("least").alias("root")))
+    finally:
+        remove(spark, folder)

@@ -6,13 +6,15 @@ document from the start.
 
 Each document is posted under its first `POSTED` (coordinate, value) pairs. Two documents of the least wanted similarity s collide at
 about s * POSTED of them, and at fewer than `shared` in at most a share `LOSS` of cases; so with each document's pairs ordered
-from the rarest to the commonest, both prefixes of POSTED - shared + 1 pairs have one in common (prefix filter), and the
-commonest pairs, with the long posting lists, are never merged (skip). Documents that lists of the prefixes connect form a cluster.
+from the rarest to the commonest, both prefixes of POSTED - shared + 1 pairs have one in common (prefix filter). Only the lists of the prefixes
+are merged; the commonest pairs, with the long lists, are skipped, and probed for the documents that a merged list has brought together.
+Documents that lists of the prefixes connect form a cluster.
 
-Within a cluster, collisions are counted over all coordinates, in blocks of `BLOCK` documents; pairs that collide at fewer than `matches` (again at most
-a share `LOSS` of similarity s) are dropped. Of the rest, first each document's best partner and its block's hub
-are confirmed on full sets. In clusters that still hold several components, the blocks come with their full sets, and all pairs left between
-components are confirmed in place until they are joined. No task gives more pairs than a few for each document.
+Collisions are counted cluster by cluster over all coordinates; pairs at fewer than `matches` (again at most a share `LOSS` of similarity s) are dropped.
+First each document's best partner and its block's hub are confirmed on full sets. A cluster of more than `BLOCK` documents (or whose sets are long) is cut into blocks; each meets
+itself and `DEPUTIES` documents of the whole cluster, so that this pass makes about as many rows as there are documents. Then, in clusters that
+still hold several components, the documents outside the largest one meet all documents, with their full sets, and pairs between components are confirmed in place
+until they are joined. A cluster of n documents, r of them outside its largest component, is dealt as about n + 2 r n / BLOCK rows; no task gives more pairs than a few for each document.
 
 Defined results: null, empty and blank texts have no set, n_shingles 0, and are linked with nothing. Rows with
 equal ids count as one document with the union of their sets' links. Null ids link with nothing and have a null component.
@@ -24,11 +26,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.llm import _text
@@ -40,9 +43,15 @@ COORDINATES = 128
 POSTED = 48
 #: Each of the two filters drops at most this share of the pairs that are just similar enough.
 LOSS = 1e-6
-#: Documents in a block of a large cluster, and about how many of small clusters go to a task together.
-BLOCK = 512
-TOGETHER = 256
+#: Documents in a block of a large cluster, shingles in it, and about how many documents of small clusters go to a task together.
+BLOCK = 2048
+BLOCK_KEYS = 1 << 21
+TOGETHER = 512
+#: Documents that all blocks of a large cluster meet, on average; rows compared at once.
+DEPUTIES = 64
+TILE = 256
+#: Tables of large clusters of at most so many rows are broadcast.
+BROADCAST_ROWS = 1 << 20
 PIECE = 1 << 17
 
 _rng = np.random.default_rng(20240607)
@@ -173,37 +182,58 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, shared: int) -> DataFrame:
-    """(doc, token): for each class, the prefix of its posted tokens that some other class has too."""
-    mixed = F.transform(F.slice("sig", 1, POSTED), lambda v, i: F.xxhash64(v, i))
-    tokens = classes.select(F.col("doc_id").alias("doc"), F.explode(mixed).alias("token"))
+    """(doc, token, at): for each class, the prefix of its posted tokens that some other class has too; at is the token's coordinate."""
+    mixed = F.transform(F.slice("sig", 1, POSTED), lambda v, i: F.struct(F.xxhash64(v, i).alias("token"), i.alias("at")))
+    tokens = classes.select(F.col("doc_id").alias("doc"), F.explode(mixed).alias("t")).select("doc", "t.token", "t.at")
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     # Tokens that no other class has come first in each class's order; so of m that others have, m - (shared - 1) are in the prefix.
-    each = tokens.join(often, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    each = tokens.join(often, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token", "at"))).alias("all"))
     each = each.where(F.size("all") >= shared)
-    return each.select("doc", F.explode(F.slice("all", F.lit(1), F.size("all") - (shared - 1))["token"]).alias("token"))
+    return each.select("doc", F.explode(F.slice("all", F.lit(1), F.size("all") - (shared - 1))).alias("t")).select("doc", "t.token", "t.at")
 
 
-def _blocks(group: pa.Table, least: Limits) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
-    """(columns, rows, columns' rows, collisions at or over least.matches, else 0) for each cluster in a group; sizes that can't overlap enough have 0 too."""
+def collisions(sig: np.ndarray, prefix: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """For each of rows and cols, the coordinates at which their signatures collide, or 0 if their prefixes (bits of posted coordinates) have no such coordinate in common.
+
+    The lists of the posted coordinates are merged for all; the other lists are probed for the pairs which that has brought together.
+    """
+    hits, met = np.zeros((len(rows), len(cols)), np.int16), np.zeros((len(rows), len(cols)), bool)
+    for k in range(POSTED):
+        same = sig[rows, k][:, None] == sig[cols, k][None]
+        hits += same
+        bit = prefix & (1 << k) != 0
+        met |= same & bit[rows][:, None] & bit[cols][None]
+    i, j = np.nonzero(met)
+    if len(i) * 8 < met.size:
+        more = (sig[rows[i], POSTED:] == sig[cols[j], POSTED:]).sum(1)
+        found = hits[i, j] + more.astype(np.int16)
+        hits[:] = 0
+        hits[i, j] = found
+        return hits
+    for k in range(POSTED, COORDINATES):
+        hits += sig[rows, k][:, None] == sig[cols, k][None]
+    hits[~met] = 0
+    return hits
+
+
+def _tiles(group: pa.Table, least: Limits) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """(columns, rows, columns' rows, collisions at or over least.matches, else 0) for each cluster in a group, TILE rows at once; sizes that can't overlap enough have 0 too."""
     got = group.sort_by([("cluster", "ascending"), ("doc", "ascending")])
-    col = {c: got[c].to_numpy() for c in ("cluster", "doc", "comp", "n", "left")}
+    col = {c: got[c].to_numpy() for c in ("cluster", "doc", "comp", "n", "prefix", "left", "meet")}
     sig = got["sig"].combine_chunks()
     sig = (sig.chunk(0) if isinstance(sig, pa.ChunkedArray) else sig).flatten().to_numpy().reshape(got.num_rows, COORDINATES)
     if "keys" in got.column_names:
         col["keys"] = got["keys"].combine_chunks()
+    n, doc = col["n"], col["doc"]
     bounds = np.append(np.flatnonzero(np.diff(col["cluster"], prepend=col["cluster"][:1] - 1)), got.num_rows)
     for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-        part, left = np.arange(s, e), col["left"][s:e]
-        rows, cols = (part, part) if left.all() else (part[left], part[~left])
-        if not len(rows) or not len(cols):
-            continue
-        hits = np.zeros((len(rows), len(cols)), np.int16)
-        for k in range(COORDINATES):
-            hits += sig[rows, k][:, None] == sig[cols, k][None]
-        n = col["n"]
-        small, large = np.minimum(n[rows][:, None], n[cols][None]), np.maximum(n[rows][:, None], n[cols][None])
-        hits[(hits < least.matches) | (col["doc"][rows][:, None] == col["doc"][cols][None]) | (least.whole * small < least.part * large)] = 0
-        yield col, rows, cols, hits
+        left, cols = s + np.flatnonzero(col["left"][s:e]), s + np.flatnonzero(col["meet"][s:e])
+        for at in range(0, len(left) if len(cols) else 0, TILE):
+            rows = left[at : at + TILE]
+            hits = collisions(sig, col["prefix"], rows, cols)
+            small, large = np.minimum(n[rows][:, None], n[cols][None]), np.maximum(n[rows][:, None], n[cols][None])
+            hits[(hits < least.matches) | (doc[rows][:, None] == doc[cols][None]) | (least.whole * small < least.part * large)] = 0
+            yield col, rows, cols, hits
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -216,14 +246,14 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
 
 
 def _promising(group: pa.Table, least: Limits) -> pa.Table:
-    """For a block of clusters' members: each one's best partner, and the partners of each side's hub."""
+    """For a block of clusters' members: each one's best partner, and the partners of each tile's hub."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for col, rows, cols, hits in _blocks(group, least):
+    for col, rows, cols, hits in _tiles(group, least):
         doc = col["doc"]
+        best = hits.argmax(1)
+        some = np.flatnonzero(hits[np.arange(len(rows)), best])
+        found.append((doc[rows[some]], doc[cols[best[some]]]))
         for h, x, y in ((hits, rows, cols), (hits.T, cols, rows)):
-            best = h.argmax(1)
-            some = np.flatnonzero(h[np.arange(len(x)), best])
-            found.append((doc[x[some]], doc[y[best[some]]]))
             hub = int((h > 0).sum(1).argmax())
             near = np.flatnonzero(h[hub])
             found.append((np.full(len(near), doc[x[hub]]), doc[y[near]]))
@@ -233,30 +263,28 @@ def _promising(group: pa.Table, least: Limits) -> pa.Table:
 def _joining(group: pa.Table, least: Limits) -> pa.Table:
     """For a block of clusters' members with their full sets: confirmed links that join components, none between those already joined here."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for col, rows, cols, hits in _blocks(group, least):
-        comp, doc, keys = col["comp"], col["doc"], col["keys"]
-        hits[comp[rows][:, None] == comp[cols][None]] = 0
-        i, j = np.nonzero(np.triu(hits) if rows is cols else hits)
-        top: dict[int, int] = {}
-
-        def root(c: int, top: dict[int, int] = top) -> int:
-            while (up := top.get(c, c)) != c:
-                c = up
-            return c
-
-        held: dict[int, np.ndarray] = {}
+    top: dict[int, int] = {}
+    held: dict[int, np.ndarray] = {}
 
-        def set_of(k: int, held: dict[int, np.ndarray] = held, keys: pa.Array = keys) -> np.ndarray:
-            if k not in held:
-                held[k] = np.asarray(keys[k].values)
-            return held[k]
+    def root(c: int) -> int:
+        while (up := top.get(c, c)) != c:
+            c = up
+        return c
 
+    for col, rows, cols, hits in _tiles(group, least):
+        comp, doc, keys = col["comp"], col["doc"], col["keys"]
+        now = np.array([root(c) for c in comp[rows].tolist()]), np.array([root(c) for c in comp[cols].tolist()])
+        hits[now[0][:, None] == now[1][None]] = 0
+        i, j = np.nonzero(hits)
         for k in np.argsort(-hits[i, j], kind="stable"):  # the likeliest first
             x, y = int(rows[i[k]]), int(cols[j[k]])
             a, b = root(int(comp[x])), root(int(comp[y]))
             if a == b:
                 continue
-            kx, ky = set_of(x), set_of(y)
+            for at in (x, y):
+                if at not in held:
+                    held[at] = np.asarray(keys[at].values)
+            kx, ky = held[x], held[y]
             both = len(np.intersect1d(kx, ky, assume_unique=True))
             if least.whole * both >= least.part * (len(kx) + len(ky) - both):
                 top[max(a, b)] = min(a, b)
@@ -264,16 +292,61 @@ def _joining(group: pa.Table, least: Limits) -> pa.Table:
     return _pairs(found)
 
 
-def _compared(members: DataFrame, by: Callable[[pa.Table, Limits], pa.Table], least: Limits, *more: str) -> DataFrame:
-    """What `by` makes of the clusters of members (doc, n, sig, cluster, size, comp, more), block by block: distinct pairs (a, b)."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    total = members.where(F.col("size") <= BLOCK).count()
-    packs = max(1, -(-total // TOGETHER))
-    columns = ["doc", "n", "sig", "cluster", "comp", *more]
-    small = members.where(F.col("size") <= BLOCK).select(*columns, F.lit(True).alias("left"), F.pmod(F.xxhash64("cluster", F.lit(3)), F.lit(packs)).alias("g"), F.lit(0).alias("i"), F.lit(-1).alias("j"))
-    other = members.where(F.col("size") > BLOCK).withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = other.select(*columns, (F.col("own") <= F.col("other")).alias("left"), F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return small.union(large).groupBy("g", "i", "j").applyInArrow(lambda group: by(group, least), "a long, b long").distinct()
+_MEMBER = ["doc", "n", "sig", "prefix", "cluster", "comp"]
+
+
+def _packed(small: DataFrame, rows: int, *more: str) -> DataFrame:
+    """Small clusters whole, about TOGETHER documents to a group (g, i, j)."""
+    packs = max(1, -(-rows // TOGETHER))
+    return small.select(*_MEMBER, *more, F.lit(True).alias("left"), F.lit(True).alias("meet"), F.pmod(F.xxhash64("cluster", F.lit(3)), F.lit(packs)).alias("g"), F.lit(0).alias("i"), F.lit(-1).alias("j"))
+
+
+def _spread(seed: int, parts: str) -> Column:
+    return F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(parts)).cast("int")
+
+
+def _all(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def _compared(parts: list[DataFrame], by: Callable[[pa.Table, Limits], pa.Table], least: Limits) -> DataFrame:
+    """What `by` makes of the groups (g, i, j): distinct pairs (a, b)."""
+    return reduce(DataFrame.union, parts).groupBy("g", "i", "j").applyInArrow(lambda group: by(group, least), "a long, b long").distinct()
+
+
+def _first_pass(members: DataFrame, large: DataFrame, least: Limits) -> DataFrame:
+    """Pairs (a, b) that are likely links, a few for each of the members (doc, n, sig, prefix, cluster); large: (cluster, size, total) of those to cut."""
+    members = members.withColumn("comp", F.col("doc"))
+    small = members.join(large, "cluster", "left_anti")
+    cut_up = members.join(large, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", _spread(0, "blocks"))
+    columns = [*_MEMBER, F.col("left"), F.lit(True).alias("meet"), F.col("cluster").alias("g"), "i", F.lit(0).alias("j")]
+    own = cut_up.withColumn("left", F.lit(True)).withColumn("i", F.col("own"))
+    deputies = cut_up.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.col("size")) < DEPUTIES).withColumn("left", F.lit(False)).withColumn("i", _all("blocks")).where(F.col("i") != F.col("own"))
+    return _compared([_packed(small, small.count()), own.select(*columns), deputies.select(*columns)], _promising, least)
+
+
+def _second_pass(members: DataFrame, large: DataFrame, sets: DataFrame, least: Limits) -> DataFrame:
+    """Links (a, b) that join components of one cluster, from members with comp and all their sets (doc, keys)."""
+    apart = F.min("comp") != F.max("comp")
+    small = members.join(large, "cluster", "left_anti")
+    open_ = small.groupBy("cluster").agg(apart.alias("apart")).where("apart").select("cluster")
+    small = cut(small.join(open_, "cluster", "left_semi"))
+    sizes = members.join(large.select("cluster", "total"), "cluster").groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.first("total").alias("total"))
+    main = sizes.groupBy("cluster").agg(apart.alias("apart"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("size"), F.max("m").alias("most"), F.first("total").alias("total")).where("apart")
+    # A block has at most about BLOCK documents and BLOCK_KEYS shingles.
+    blocks = lambda rows: F.ceil(F.greatest(rows / BLOCK, F.col("total") * rows / F.col("size") / BLOCK_KEYS)).cast("int")
+    main = bounded(main.select("cluster", "main", blocks(F.col("size")).alias("all_blocks"), blocks(F.col("size") - F.col("most")).alias("rest_blocks")))
+    cut_up = members.join(main, "cluster").join(sets, "doc")
+    columns = [*_MEMBER, "keys", F.col("left"), (~F.col("left")).alias("meet"), F.col("cluster").alias("g"), "i", "j"]
+    rest = cut_up.where(F.col("comp") != F.col("main")).withColumn("left", F.lit(True)).withColumn("i", _spread(1, "rest_blocks")).withColumn("j", _all("all_blocks"))
+    every = cut_up.withColumn("left", F.lit(False)).withColumn("j", _spread(2, "all_blocks")).withColumn("i", _all("rest_blocks"))
+    return _compared([_packed(small.join(sets, "doc"), small.count(), "keys"), rest.select(*columns), every.select(*columns)], _joining, least)
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """rows, stored, and to be broadcast if there are at most BROADCAST_ROWS."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: Limits) -> DataFrame:
@@ -303,18 +376,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     twice = whole.drop("sig").join(several, "doc_id").join(of, ["d0", "d1", "n_shingles"]).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
     posted = cut(_prefixes(classes, least.shared))
     hubs = posted.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where(F.col("a") < F.col("z")).select("token", "a")
-    joined = posted.join(hubs, "token").where(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b")).distinct()
+    joined = posted.join(hubs, "token").where(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b"))
     cluster = components(joined).select(F.col("node").alias("doc"), F.col("root").alias("cluster"))
-    sized = cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
-    members = cut(sized.join(classes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig"), "doc"))
+    prefix = posted.groupBy("doc").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("prefix"))
+    members = cut(cluster.join(prefix, "doc").join(classes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig"), "doc"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    large = bounded(sizes.where((F.col("size") > BLOCK) | (F.col("total") > BLOCK_KEYS)))
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = _sets(named.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sets = _sets(named.join(members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
     sets = cut(sets.join(classes.select("doc_id", "d0", "d1"), ["doc_id", "d0", "d1"], "left_semi").dropDuplicates(["doc_id", "d0", "d1"]).select("doc_id", "keys"))
-    links = cut(_confirmed(_compared(members.withColumn("comp", F.col("doc")), _promising, least), sets, least))
+    links = cut(_confirmed(_first_pass(members, large, least), sets, least))
     labelled = cut(_labelled(members, links, "comp"))
-    split = labelled.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("cluster")
-    whole_sets = sets.select(F.col("doc_id").alias("doc"), F.size("keys").cast("long").alias("n"), "keys")
-    links = cut(links.union(_compared(labelled.join(split, "cluster").join(whole_sets, ["doc", "n"]), _joining, least, "keys")))
+    links = cut(links.union(_second_pass(labelled, large, sets.withColumnRenamed("doc_id", "doc"), least)))
     roots = components(links.union(twice))
     of = of.join(roots, of["class"] == roots["node"], "left").select("d0", "d1", "n_shingles", F.coalesce("root", "class").alias("component_id"))
     found = whole.drop("sig").join(of, ["d0", "d1", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
