@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.errors import DimensionMismatch, EmptyDataset, FeatureOutOfBounds
+from gradloom.operators.running import running_sums
 
 
 def present(c: Column, missing: float = math.nan) -> Column:
@@ -72,7 +73,4 @@ def from_long(cells: DataFrame, n_features: int, row: str = "row_id", feature: s
 
 def group_pointers(sizes: DataFrame, group: str = "gid", size: str = "size") -> DataFrame:
     """(group, start, end): groups of the given sizes one after another."""
-    from pyspark.sql import Window
-
-    end = F.sum(size).over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.select(group, (end - F.col(size)).alias("start"), end.alias("end"))
+    return running_sums(sizes.select(group, size), group, {"end": size}).select(group, (F.col("end") - F.col(size)).alias("start"), "end")

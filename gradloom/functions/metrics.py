@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradloom.errors import GradloomError, UnknownName
+from gradloom.operators.running import running_sums
 
 
 @dataclass(frozen=True)
 class Metric:
-    """frame(df of p, y, w, q, r) gives a DataFrame of one row and the column value."""
+    """frame(df of p, y, w, r, and q where there are groups) gives a DataFrame of one row and the column value."""
 
     name: str
     frame: Callable[[DataFrame], DataFrame]
@@ -26,9 +27,9 @@ class Metric:
     def of(self, df: DataFrame, prediction: str, label: str, weight: str | None = None, group: str | None = None, order: str | None = None) -> DataFrame:
         """One row, column value. order settles ties of ranking metrics: the row's place in the data."""
         w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
-        q = F.lit(0) if group is None else F.col(group)
+        q = [] if group is None else [F.col(group).alias("q")]
         r = F.monotonically_increasing_id() if order is None else F.col(order)
-        return self.frame(df.select(F.col(prediction).alias("p"), F.col(label).cast("double").alias("y"), w.alias("w"), q.alias("q"), r.alias("r")))
+        return self.frame(df.select(F.col(prediction).alias("p"), F.col(label).cast("double").alias("y"), w.alias("w"), *q, r.alias("r")))
 
     def value(self, *args: object, **named: object) -> float:
         got = self.of(*args, **named).collect()[0]["value"]
@@ -80,33 +81,45 @@ def _tweedie(rho: float) -> Callable[[], Column]:
 def _auc(df: DataFrame) -> DataFrame:
     # By distinct prediction: how many of either label, and how many negatives below. No row of the data is sorted.
     by = df.groupBy("p").agg(F.sum((F.col("y") > 0.5).cast("long")).alias("pos"), F.sum((F.col("y") <= 0.5).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = by.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    upto = running_sums(by, "p", {"upto": "neg"})
+    s = upto.agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return s.select(F.when((F.col("pos") == 0) | (F.col("neg") == 0), F.lit(0.5)).otherwise(F.col("u") / (F.col("pos").cast("double") * F.col("neg"))).alias("value"))
 
 
 def _aucpr(df: DataFrame) -> DataFrame:
     by = df.groupBy("p").agg(F.sum(F.when(F.col("y") > 0.5, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") > 0.5, 0.0).otherwise(F.col("w"))).alias("neg"))
-    order = Window.orderBy(F.desc("p"))
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = by.select("p", F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"), F.sum("pos").over(whole).alias("pos"), F.sum("neg").over(whole).alias("neg"))
-    point = run.where((F.col("pos") > 0) & (F.col("neg") > 0) & (F.col("tp") + F.col("fp") > 0)).select("p", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("pos")).alias("recall"))
-    before = point.select("precision", "recall", F.lag("recall", 1, 0.0).over(order).alias("r0"), F.lag("precision").over(order).alias("p0"))
-    area = (F.col("recall") - F.col("r0")) * (F.col("precision") + F.coalesce("p0", "precision")) / 2.0
-    return before.agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("value"))
+    by = by.where((F.col("pos") > 0) | (F.col("neg") > 0))
+    run = running_sums(by, "p", {"tp": "pos", "fp": "neg"}, ascending=False)
+    # The point before: what the sums were without this prediction's own rows. The first has no precision of its own, and takes this one's.
+    tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    before = F.when(tp0 + fp0 > 1e-12 * (F.col("tp") + F.col("fp")), tp0 / (tp0 + fp0)).otherwise(precision)
+    both = (F.sum("pos") > 0) & (F.sum("neg") > 0)
+    return run.agg(F.when(both, F.sum(F.col("pos") * (precision + before) / 2.0) / F.sum("pos")).otherwise(F.lit(0.0)).alias("value"))
 
 
-def _by_rank(order: list) -> Column:
-    return F.row_number().over(Window.partitionBy("q").orderBy(*order))
+def _ranked(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with the place, from 1, of each row in its group by descending `by`, then r. Groups sort in tasks of their own; rows that have no groups in buckets."""
+    if not _one_list(df):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy("q").orderBy(F.desc(by), F.asc("r"))))
+    return running_sums(df, by, {name: F.lit(1)}, ascending=False, order=[F.asc("r")])
+
+
+def _one_list(df: DataFrame) -> bool:
+    return "q" not in df.columns
+
+
+def _group(df: DataFrame) -> list[str]:
+    return [] if _one_list(df) else ["q"]
 
 
 def _ndcg(k: int | None) -> Callable[[DataFrame], DataFrame]:
     def frame(df: DataFrame) -> DataFrame:
-        ranked = df.withColumn("at", _by_rank([F.desc("p"), F.asc("r")])).withColumn("best", _by_rank([F.desc("y"), F.asc("r")]))
+        ranked = _ranked(_ranked(df, "p", "at"), "y", "best")
         gain = F.pow(F.lit(2.0), F.col("y")) - 1
         within = lambda c: (F.col(c) <= k) if k else F.lit(True)
         term = lambda c: F.sum(F.when(within(c), gain / F.log2(F.col(c) + 1.0)).otherwise(0.0))
-        per = ranked.groupBy("q").agg(term("at").alias("dcg"), term("best").alias("ideal"))
+        per = ranked.groupBy(*_group(df)).agg(term("at").alias("dcg"), term("best").alias("ideal"))
         return per.agg(F.coalesce(F.avg(F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0)), F.lit(0.0)).alias("value"))
 
     return frame
@@ -115,11 +128,13 @@ def _ndcg(k: int | None) -> Callable[[DataFrame], DataFrame]:
 def _map(k: int | None) -> Callable[[DataFrame], DataFrame]:
     def frame(df: DataFrame) -> DataFrame:
         hit = (F.col("y") > 0).cast("int")
-        ranked = df.withColumn("at", _by_rank([F.desc("p"), F.asc("r")])).withColumn("hit", hit)
-        hits = F.sum("hit").over(Window.partitionBy("q").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-        ranked = ranked.withColumn("hits", hits)
+        ranked = _ranked(df.withColumn("hit", hit), "p", "at")
+        if _one_list(df):
+            ranked = running_sums(ranked, "at", {"hits": "hit"})
+        else:
+            ranked = ranked.withColumn("hits", F.sum("hit").over(Window.partitionBy("q").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
         use = (F.col("hit") == 1) & ((F.col("at") <= k) if k else F.lit(True))
-        per = ranked.groupBy("q").agg(F.sum(F.when(use, F.col("hits") / F.col("at")).otherwise(0.0)).alias("s"), F.sum("hit").alias("n"))
+        per = ranked.groupBy(*_group(df)).agg(F.sum(F.when(use, F.col("hits") / F.col("at")).otherwise(0.0)).alias("s"), F.sum("hit").alias("n"))
         return per.agg(F.coalesce(F.avg(F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0)), F.lit(0.0)).alias("value"))
 
     return frame

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from gradloom.errors import UnknownName
 
 MIN_HESS = 1e-16
-#: Pairs of a query used on average; queries with more keep each pair with probability MAX_PAIRS / pairs.
+#: Pairs of a query; of a query with more, so many are drawn.
 MAX_PAIRS = 4096
 
 
-def lambda_gradients(rows: DataFrame, kind: str, qid: str = "qid", row: str = "row_id", margin: str = "margin", label: str = "label", weight: str | None = None, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
+def lambda_gradients(rows: DataFrame, kind: str, qid: str = "qid", row: str = "row_id", margin: str = "margin", label: str = "label", weight: str | None = None, max_pairs: int | None = MAX_PAIRS, seed: int = 0) -> DataFrame:
     """(row, g, h) for every row. kind is pairwise, ndcg or map; ties in score rank by row.
 
-    An equi-join on the query with an inequality on the label makes the pairs; each side's sums are taken before its shuffle. A query's
-    pairs are sampled by hash over max_pairs, the same in every round (None: never), so no query takes more than about that many.
+    A query of at most max_pairs pairs joins itself. In a larger one, its rows draw max_pairs partners between them by hash of seed and rank,
+    the same in every round, and join those: each pair is drawn equally often on average, and no more rows are made.
+    None joins every query to itself. Each side's sums are taken before their shuffle.
     """
     if kind not in ("pairwise", "ndcg", "map"):
         raise UnknownName(f"ranking objective {kind}")
@@ -33,15 +34,16 @@ def lambda_gradients(rows: DataFrame, kind: str, qid: str = "qid", row: str = "r
         rel = (F.col("y") > 0).cast("double")
         upto = by_score.rowsBetween(Window.unboundedPreceding, 0)
         ranked = ranked.withColumn("rel", rel).withColumn("hits", F.sum("rel").over(upto)).withColumn("part", F.sum(F.col("rel") / (F.col("pos") + 1)).over(upto)).withColumn("total", F.sum("rel").over(one))
-    # pairs of different labels in a query: all pairs less those of equal labels
-    sizes = base.groupBy("q", "y").agg(F.count("*").alias("n")).groupBy("q").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    sizes = sizes.select("q", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
-    hi, lo = ranked.alias("hi"), ranked.alias("lo")
-    pairs = hi.join(lo, (F.col("hi.q") == F.col("lo.q")) & (F.col("hi.y") > F.col("lo.y")))
-    if max_pairs is not None:
-        pairs = pairs.join(sizes.alias("z"), F.col("hi.q") == F.col("z.q"))
-        draw = F.pmod(F.xxhash64("hi.r", "lo.r"), F.lit(1 << 30)) / float(1 << 30)
-        pairs = pairs.where((F.col("z.pairs") <= max_pairs) | (draw < max_pairs / F.col("z.pairs")))
+    hi, lo = (F.struct(*[F.col(f"{side}.{c}") for c in ranked.columns]).alias(side) for side in ("hi", "lo"))
+    if max_pairs is None:
+        small, drawn = ranked, None
+    else:
+        sized = ranked.withColumn("n", F.count("*").over(one)).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("r")).cast("long") - 1)
+        many = F.col("n") * (F.col("n") - 1) / 2 > max_pairs
+        small, drawn = sized.where(~many), sized.where(many)
+    pairs = small.alias("hi").join(small.alias("lo"), (F.col("hi.q") == F.col("lo.q")) & (F.col("hi.y") > F.col("lo.y"))).select(hi, lo)
+    if drawn is not None:
+        pairs = pairs.union(_drawn(drawn, ranked.columns, max_pairs, seed))
     delta = _delta(kind)
     rho = 1.0 / (1.0 + F.exp(F.col("hi.m") - F.col("lo.m")))
     g = rho * F.col("d")
@@ -53,6 +55,23 @@ def lambda_gradients(rows: DataFrame, kind: str, qid: str = "qid", row: str = "r
     return full.select(F.col("r").alias(row), (F.coalesce("g", F.lit(0.0)) * F.col("w")).cast("float").alias("g"), (F.coalesce("h", F.lit(0.0)) * F.col("w")).cast("float").alias("h"))
 
 
+def _drawn(rows: DataFrame, columns: list[str], max_pairs: int, seed: int) -> DataFrame:
+    """(hi, lo) of rows (columns, n of the query, rank in it): max_pairs draws of each query, those of unlike labels."""
+    rank, n = F.col("rank"), F.col("n")
+    times = F.floor((rank + 1) * max_pairs / n) - F.floor(rank * max_pairs / n)
+    turned = rows.withColumn("times", times.cast("int")).where("times > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    word = F.lit((1 << 32) - 1)
+    v = (rank * 2654435761 + F.col("turn") * 40503 + (seed % (1 << 20) * 9973 + 12345)).bitwiseAND(word)
+    for _ in range(2):
+        v = (v.bitwiseXOR(F.shiftright(v, 16)) * 73244475).bitwiseAND(word)
+    partner = (rank + 1 + v.bitwiseXOR(F.shiftright(v, 16)) % (n - 1)) % n
+    own = turned.select("q", partner.alias("partner"), F.struct(*columns).alias("own"))
+    other = rows.select(F.col("q").alias("oq"), "rank", F.struct(*columns).alias("other"))
+    met = own.join(other, (F.col("q") == F.col("oq")) & (F.col("partner") == F.col("rank"))).where(F.col("own.y") != F.col("other.y"))
+    over = F.col("own.y") > F.col("other.y")
+    return met.select(F.when(over, F.col("own")).otherwise(F.col("other")).alias("hi"), F.when(over, F.col("other")).otherwise(F.col("own")).alias("lo"))
+
+
 def _gain(y: Column) -> Column:
     return F.pow(F.lit(2.0), y) - 1
 

@@ -112,16 +112,21 @@ def in_set(value: Column, categories: list[int], default_left: bool = False) ->
     return F.when(value.isNull(), F.lit(default_left)).otherwise(whole.isin([int(c) for c in categories]))
 
 
+def _low(row: Column) -> Column:
+    """row modulo 2**31, so that its product with a 32-bit number is a long: ids may be any longs."""
+    return F.pmod(row, F.lit(1 << 31))
+
+
 def keeps_row(row: Column, ratio: float, seed: int, turn: int) -> Column:
     """Bernoulli sampling by a hash of the row, the same in every partitioning: multiplicative, so that other engines compute it too."""
     if ratio >= 1:
         return F.lit(True)
-    return F.pmod(row * 2654435761 + (seed * 40503 + turn * 9973 + 12345), F.lit(1 << 32)) < int(ratio * (1 << 32))
+    return F.pmod(_low(row) * 2654435761 + (seed * 40503 + turn * 9973 + 12345), F.lit(1 << 32)) < int(ratio * (1 << 32))
 
 
 def fold_of(row: Column, folds: int, seed: int = 0) -> Column:
     """A row's fold, by hash."""
-    return F.floor(F.pmod(row * 2654435761 + seed * 40503, F.lit(1 << 32)) / 8).cast("long") % folds
+    return F.floor(F.pmod(_low(row) * 2654435761 + seed * 40503, F.lit(1 << 32)) / 8).cast("long") % folds
 
 
 def allowed_features(path: list[int], groups: list[list[int]], n_features: int) -> set[int]:

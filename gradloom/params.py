@@ -43,6 +43,10 @@ class TrainingParams:
     skip_drop: float = 0.0
     missing: float = float("nan")
     tweedie_variance_power: float = field(default=1.5)
+    #: Ranking: a query of more pairs has this many drawn; 0 uses all pairs.
+    max_pairs: int = 4096
+    #: Accepted and unused: Spark sets how many cores work.
+    nthread: int = 0
 
     def __post_init__(self) -> None:
         def need(ok: bool, what: str) -> None:
@@ -53,7 +57,7 @@ class TrainingParams:
         need(self.tree_method in TREE_METHODS, f"tree_method must be one of {TREE_METHODS}")
         need(self.grow_policy in GROW_POLICIES, f"grow_policy must be one of {GROW_POLICIES}")
         need(self.eta > 0, "eta must be over 0")
-        for name in ("gamma", "min_child_weight", "max_delta_step", "reg_lambda", "alpha", "max_depth", "max_leaves"):
+        for name in ("gamma", "min_child_weight", "max_delta_step", "reg_lambda", "alpha", "max_depth", "max_leaves", "max_pairs"):
             need(getattr(self, name) >= 0, f"{name} must not be negative")
         need(self.scale_pos_weight > 0, "scale_pos_weight must be over 0")
         need(0 < self.subsample <= 1, "subsample must be in (0, 1]")

@@ -54,7 +54,7 @@ def sampled(row: np.ndarray, ratio: float, seed: int, turn: int) -> np.ndarray:
     """operators.trees.keeps_row for arrays."""
     if ratio >= 1:
         return np.ones(len(row), bool)
-    v = row.astype(np.uint64) * np.uint64(2654435761) + np.uint64(seed * 40503 + turn * 9973 + 12345)
+    v = (row.astype(np.uint64) & np.uint64(0x7FFFFFFF)) * np.uint64(2654435761) + np.uint64(seed * 40503 + turn * 9973 + 12345)
     return (v & np.uint64(0xFFFFFFFF)) < np.uint64(int(ratio * (1 << 32)))
 
 
@@ -82,10 +82,11 @@ class TaskEngine:
             for tree, k, w in dropped:
                 m[:, k] -= w * self._leaf(s, tree)
         if self.o.rank:
-            g, h = np_lambda(self.o.rank, m[:, 0], s["y"], s["w"], s["q"], s["row"], seed=self.p.seed)
+            g, h = np_lambda(self.o.rank, m[:, 0], s["y"], s["w"], s["q"], s["row"], self.p.max_pairs, self.p.seed)
         else:
             g, h = self.o.np_gradient(m if self.o.outputs > 1 else m[:, 0], s["y"], s["w"])
         self.g, self.h = g.reshape(len(m), -1), h.reshape(len(m), -1)
+        self.grown: dict[int, dict[int, np.ndarray] | None] = {}
         self.live = sampled(s["row"], self.p.subsample, self.p.seed, turn)
         if not self.live.any():
             self.live[:1] = True
@@ -97,23 +98,34 @@ class TaskEngine:
         if cuts is None:
             cuts = make_cuts(s["x"], self.p.max_bin, self.categorical, hess=h)
             bins = cuts.bins(s["x"])
-        if not self.live.all():
-            bins, g, h = bins[self.live], g[self.live], h[self.live]
-        node = np.zeros(len(g), np.int64)
+        parts = {0: np.flatnonzero(self.live)}  # the rows of each leaf
 
-        def histograms(tree: Tree, nodes: list[int]) -> np.ndarray:
-            nonlocal node
-            node = tree.advance(node, bins)
-            slot = np.full(len(tree), -1)
-            slot[nodes] = np.arange(len(nodes))
-            return partial_histogram(bins, slot[node], g, h, len(nodes), cuts.sizes)
+        def divide(tree: Tree) -> None:
+            while split := [k for k in parts if tree.left[k] >= 0]:
+                for k in split:
+                    parts[tree.left[k]], parts[tree.right[k]] = tree.sides(k, parts.pop(k), bins)
 
-        return grow(self.p, cuts, columns, histograms)
+        def histograms(tree: Tree, nodes: list[int]) -> np.ndarray:
+            divide(tree)
+            own = [parts[k] for k in nodes]
+            return partial_histogram(bins, np.concatenate(own), np.repeat(np.arange(len(nodes)), [len(r) for r in own]), g, h, len(nodes), cuts.sizes)
+
+        tree = grow(self.p, cuts, columns, histograms)
+        divide(tree)
+        # where the rows have ended up needn't be looked for again
+        self.grown[id(tree)] = parts if self.live.all() and self.p.method != "approx" else None
+        return tree
 
     def add(self, changes: list[tuple[Tree, int, float]]) -> None:
         for s in self.sets:
             for tree, k, w in changes:
-                s["m"][:, k] += w * self._leaf(s, tree)
+                parts = self.grown.get(id(tree)) if s is self.sets[0] else None
+                if parts is None:
+                    s["m"][:, k] += w * self._leaf(s, tree)
+                    continue
+                for leaf, rows in parts.items():
+                    s["m"][rows, k] += w * tree.value[leaf]
+        self.grown.clear()
 
     def evaluate(self, names: list[str]) -> list[list[float]]:
         out = []
@@ -237,7 +249,7 @@ class SparkEngine:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 b = cuts.bins(_floats(batch.column(at), n))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * n), pa.array(b.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * n), pa.array(b.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*columns, "b"])
 
         return frame.select(*columns).mapInArrow(run, schema)
@@ -247,7 +259,7 @@ class SparkEngine:
         self.given = None
         if self.o.rank:  # pairs within queries need joins: their gradients are stored once for the round
             rows = self._moved(self.frame.where("set = 0"), [(t, k, -w) for t, k, w in dropped]).select("q", "row", F.col("m")[0].alias("margin"), "y", "w")
-            g = lambda_gradients(rows, self.o.rank, "q", "row", "margin", "y", "w")
+            g = lambda_gradients(rows, self.o.rank, "q", "row", "margin", "y", "w", max_pairs=self.p.max_pairs or None, seed=self.p.seed)
             self.given = self.frame.where("set = 0").join(g, "row").persist(StorageLevel.MEMORY_AND_DISK)
 
     def grow(self, columns: Columns, k: int) -> Tree:
@@ -266,7 +278,7 @@ class SparkEngine:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 slot = np.full(len(tree), -1)
                 slot[nodes] = np.arange(len(nodes))
-                total = np.zeros((len(nodes), width, 3))
+                total = np.zeros((len(nodes), 3, width))
                 for batch in batches:
                     if not batch.num_rows:
                         continue
@@ -280,9 +292,10 @@ class SparkEngine:
                             m[:, j] -= wt * np.array(t.value)[t.advance(np.zeros(len(y), np.int64), b)]
                         g, h = o.np_gradient(m if o.outputs > 1 else m[:, 0], y, w)
                         g, h = g.reshape(len(y), -1)[:, k], h.reshape(len(y), -1)[:, k]
-                    s = np.where(sampled(row, p.subsample, p.seed, turn), slot[tree.advance(np.zeros(len(y), np.int64), b)], -1)
-                    total += partial_histogram(b, s, g, h, len(nodes), sizes)
-                flat = total.reshape(-1, 3)
+                    at = np.where(sampled(row, p.subsample, p.seed, turn), slot[tree.advance(np.zeros(len(y), np.int64), b)], -1)
+                    live = np.flatnonzero(at >= 0)
+                    total += partial_histogram(b, live, at[live], g, h, len(nodes), sizes)
+                flat = total.transpose(0, 2, 1).reshape(-1, 3)
                 at = np.flatnonzero(flat[:, 2])
                 yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(flat[at, c]) for c in range(3)]], ["at", "g", "h", "n"])
 
@@ -291,7 +304,7 @@ class SparkEngine:
             out = np.zeros((len(nodes) * width, 3))
             for c, name in enumerate(("g", "h", "n")):
                 out[got["at"].to_numpy(), c] = got[name].to_numpy()
-            return out.reshape(len(nodes), width, 3)
+            return np.ascontiguousarray(out.reshape(len(nodes), width, 3).transpose(0, 2, 1))
 
         tree = grow(p, cuts, columns, histograms)
         if held is not source or self.cuts is None:

@@ -72,6 +72,14 @@ class Tree:
             live = live[a["left"][node[live]] >= 0]
         return node
 
+    def sides(self, node: int, rows: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a split node that go left, and those that go right."""
+        b = bins[:, self.feature[node]].take(rows)
+        left = b <= self.bin[node] if self.left_bins[node] is None else np.isin(b, self.left_bins[node])
+        if (miss := b == MISSING).any():
+            left = np.where(miss, self.default_left[node], left)
+        return rows[left], rows[~left]
+
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of raw features, NaN where missing."""
         a = self.arrays()
@@ -105,8 +113,8 @@ class Cuts:
         return np.array([len(c) for c in self.cuts])
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        """Local bins of raw features (rows x features), MISSING for NaN."""
-        out = np.empty(x.shape, np.int32)
+        """Local bins of raw features (rows x features, column by column in memory), MISSING for NaN."""
+        out = np.empty(x.shape, np.int16 if self.sizes.max(initial=1) < 1 << 15 else np.int32, "F")
         for f, c in enumerate(self.cuts):
             v = x[:, f]
             if f in self.categorical:
@@ -149,31 +157,30 @@ def make_cuts(x: np.ndarray, max_bin: int, categorical: frozenset[int], exact: b
     return Cuts(out, categorical, exact)
 
 
-def partial_histogram(bins: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, sizes: np.ndarray) -> np.ndarray:
-    """(slots, sum of sizes + 1, 3): sums of g, h and 1 by slot (-1: none) and global bin; the last bin holds each slot's totals."""
+def partial_histogram(bins: np.ndarray, rows: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, sizes: np.ndarray) -> np.ndarray:
+    """(slots, 3, sum of sizes + 1): sums of g, h and 1 over rows, by their slot and global bin; the last bin holds each slot's totals."""
     base = np.append(0, np.cumsum(sizes))
-    width = int(base[-1]) + 1
-    out = np.zeros((slots * width, 3))
-    rows = np.flatnonzero(slot >= 0)
-    if len(rows):
-        s, gr, hr = slot[rows].astype(np.int64) * width, g[rows], h[rows]
-        constant = hr.max() == hr.min()
-        dense = bins[rows]
-        for f in range(len(sizes)):
-            b = dense[:, f]
-            if (miss := b == MISSING).any():
-                use = ~miss
-                key, gf, hf = s[use] + base[f] + b[use], gr[use], hr[use]
-            else:
-                key, gf, hf = s + base[f] + b, gr, hr
-            n = np.bincount(key, minlength=len(out))
-            out[:, 0] += np.bincount(key, gf, minlength=len(out))
-            out[:, 1] += n * hr[0] if constant else np.bincount(key, hf, minlength=len(out))
-            out[:, 2] += n
-        key = s + width - 1
-        for c, w in ((0, gr), (1, hr), (2, np.ones(len(rows)))):
-            out[:, c] += np.bincount(key, w, minlength=len(out))
-    return out.reshape(slots, width, 3)
+    out = np.zeros((slots, 3, int(base[-1]) + 1))
+    if not len(rows):
+        return out
+    everyone = len(rows) == len(bins) and (rows[1:] > rows[:-1]).all()
+    s, gr, hr = slot.astype(np.int64), g[rows], h[rows]
+    constant = hr[0] if hr.max() == hr.min() else None
+    first = {n: s * n for n in set(sizes.tolist())}  # where each row's slot begins in a histogram of n bins
+    for f, n in enumerate(sizes.tolist()):
+        b = bins[:, f] if everyone else bins[:, f].take(rows)
+        key, gf, hf = first[n] + b, gr, hr
+        if b.min() == MISSING:
+            use = b != MISSING
+            key, gf, hf = key[use], gr[use], hr[use]
+        at = slice(base[f], base[f + 1])
+        count = np.bincount(key, minlength=slots * n).reshape(slots, n)
+        out[:, 0, at] = np.bincount(key, gf, minlength=slots * n).reshape(slots, n)
+        out[:, 1, at] = count * constant if constant is not None else np.bincount(key, hf, minlength=slots * n).reshape(slots, n)
+        out[:, 2, at] = count
+    for c, w in ((0, gr), (1, hr), (2, None)):
+        out[:, c, -1] = np.bincount(s, w, minlength=slots)
+    return out
 
 
 @dataclass
@@ -189,65 +196,80 @@ class Split:
     right: tuple[float, float] = (0.0, 0.0)
 
 
+#: Cells of histograms searched at once.
+CELLS = 1 << 16
+
+
 class Searcher:
-    """Finds a node's best split in its histogram."""
+    """Finds nodes' best splits in their histograms."""
 
     def __init__(self, cuts: Cuts, p: TrainingParams) -> None:
         self.cuts, self.p, self.n = cuts, p, len(cuts.cuts)
         self.base = np.append(0, np.cumsum(cuts.sizes))
         self.width = int(cuts.sizes.max())
+        self.even = bool((cuts.sizes == self.width).all())
         self.index = np.full((self.n, self.width), -1)
         for f in range(self.n):
             self.index[f, : cuts.sizes[f]] = np.arange(self.base[f], self.base[f + 1])
         self.pad = self.index < 0
         self.numeric = np.array([f not in cuts.categorical for f in range(self.n)])
+        self.inner = (np.arange(self.width)[None] < (cuts.sizes - 1)[:, None]) & self.numeric[:, None]
         c = list(p.monotone_constraints) + [0] * self.n
         self.direction = np.array(c[: self.n])
 
-    def best(self, hist: np.ndarray, features: np.ndarray, low: float, high: float) -> Split:
-        """The best split of hist (global bins + totals, 3) over the allowed features (mask)."""
-        gt, ht = hist[-1, 0], hist[-1, 1]
-        use = np.flatnonzero(features & self.numeric)
-        best = Split()
-        if len(use):
-            part = hist[self.index[use]]
-            part[self.pad[use]] = 0.0
-            run = np.cumsum(part, axis=1)
-            gm, hm, nm = (t - run[:, -1, c] for c, t in enumerate(hist[-1]))
-            gl = np.stack([run[:, :, 0], run[:, :, 0] + gm[:, None]], 2)
-            hl = np.stack([run[:, :, 1], run[:, :, 1] + hm[:, None]], 2)
+    def best(self, hists: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[Split]:
+        """The best split of each node: hists (nodes, 3, global bins + totals), features allowed (nodes, features), bounds of weights."""
+        step = max(1, CELLS // (self.n * self.width))
+        parts = [slice(a, a + step) for a in range(0, len(hists), step)]
+        return [x for at in parts for x in self._best(hists[at], features[at], low[at], high[at])]
+
+    def _best(self, hists: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[Split]:
+        nodes, total = len(hists), hists[:, :, -1]
+        found = [Split() for _ in range(nodes)]
+        if (features & self.numeric).any():
+            cells = hists[:, :, :-1].reshape(nodes, 3, self.n, self.width) if self.even else np.where(self.pad, 0.0, hists[:, :, self.index])
+            run = np.cumsum(cells, axis=3)
+            missing = total[:, :, None] - run[:, :, :, -1]  # (nodes, 3, features)
+            # where rows may lack a feature, they go right in the first way and left in the second
+            ways = 2 if (missing[:, 2] > 0).any() or (missing[:, 1] > 1e-6).any() else 1
+            left = [run[:, c, :, :, None] if ways == 1 else np.stack([run[:, c], run[:, c] + missing[:, c, :, None]], 3) for c in range(2)]
+            gl, hl = left
+            gt, ht = (total[:, c, None, None, None] for c in range(2))
             gr, hr = gt - gl, ht - hl
-            place = np.arange(self.width)[None]
-            ok = np.repeat((place < (self.cuts.sizes[use] - 1)[:, None])[:, :, None], 2, 2)
+            ok = np.repeat((self.inner[None] & features[:, :, None])[..., None], ways, 3)
             if self.cuts.exact:
-                ok &= ((part[:, :, 2] > 0) & (run[:, :, 2] < run[:, -1:, 2]))[:, :, None]
-            else:
-                ok[:, :, 1] &= (hm > 1e-6)[:, None]
+                ok &= ((cells[:, 2] > 0) & (run[:, 2] < run[:, 2, :, -1:]))[..., None]
+            elif ways == 2:
+                ok[..., 1] &= (missing[:, 1] > 1e-6)[..., None]
             ok &= (hl >= self.p.min_child_weight) & (hr >= self.p.min_child_weight)
-            gain = np.where(ok, self._gain(gl, hl, gr, hr, gt, ht, low, high, self.direction[use][:, None, None]), -np.inf)
-            if not self.cuts.exact:
-                ok[:, :, 1] &= nm[:, None] > 0
-            k = _first_best(gain.ravel())
-            if k >= 0:
-                f, b, d = np.unravel_index(k, gain.shape)
-                feature = int(use[f])
-                threshold = self._threshold(feature, int(b), part[f, :, 2])
-                best = Split(float(gain[f, b, d]), feature, int(b), threshold, bool(d), None, None, (gl[f, b, d], hl[f, b, d]), (gr[f, b, d], hr[f, b, d]))
-        for f in np.flatnonzero(features & ~self.numeric):
-            own = hist[self.base[f] : self.base[f + 1]]
-            live = np.flatnonzero(own[:, 2] > 0 if self.cuts.exact else own[:, 1] > 0)
-            if len(live) < 2:
-                continue
-            order = live[np.lexsort((live, own[live, 0] / (own[live, 1] + self.p.reg_lambda)))]
-            gl, hl = np.cumsum(own[order, 0])[:-1], np.cumsum(own[order, 1])[:-1]
-            gr, hr = gt - gl, ht - hl
-            ok = (hl >= self.p.min_child_weight) & (hr >= self.p.min_child_weight)
-            gain = np.where(ok, self._gain(gl, hl, gr, hr, gt, ht, low, high, np.zeros(len(gl))), -np.inf)
-            k = _first_best(gain, best.gain)
-            if k >= 0:
-                bins = sorted(int(b) for b in order[: k + 1])
-                best = Split(float(gain[k]), int(f), 0, 0.0, False, [max(0, int(self.cuts.cuts[f][b])) for b in bins], bins, (gl[k], hl[k]), (gr[k], hr[k]))
-        return best
+            bounds = (b[:, None, None, None] for b in (low, high))
+            gain = np.where(ok, self._gain(gl, hl, gr, hr, gt, ht, *bounds, self.direction[None, :, None, None]), -np.inf)
+            for k in range(nodes):
+                if (at := _first_best(gain[k].ravel())) >= 0:
+                    f, b, d = (int(v) for v in np.unravel_index(at, gain.shape[1:]))
+                    found[k] = Split(float(gain[k, f, b, d]), f, b, self._threshold(f, b, cells[k, 2, f]), bool(d), None, None, (gl[k, f, b, d], hl[k, f, b, d]), (gr[k, f, b, d], hr[k, f, b, d]))
+        for k in range(nodes):
+            for f in np.flatnonzero(features[k] & ~self.numeric):
+                found[k] = self._by_category(hists[k], int(f), low[k], high[k], found[k])
+        return found
+
+    def _by_category(self, hist: np.ndarray, f: int, low: float, high: float, best: Split) -> Split:
+        """best, or a better split of categorical feature f."""
+        gt, ht = hist[0, -1], hist[1, -1]
+        own = hist[:, self.base[f] : self.base[f + 1]]
+        live = np.flatnonzero(own[2] > 0 if self.cuts.exact else own[1] > 0)
+        if len(live) < 2:
+            return best
+        order = live[np.lexsort((live, own[0, live] / (own[1, live] + self.p.reg_lambda)))]
+        gl, hl = np.cumsum(own[0, order])[:-1], np.cumsum(own[1, order])[:-1]
+        gr, hr = gt - gl, ht - hl
+        ok = (hl >= self.p.min_child_weight) & (hr >= self.p.min_child_weight)
+        gain = np.where(ok, self._gain(gl, hl, gr, hr, gt, ht, low, high, np.zeros(len(gl))), -np.inf)
+        k = _first_best(gain, best.gain)
+        if k < 0:
+            return best
+        bins = sorted(int(b) for b in order[: k + 1])
+        return Split(float(gain[k]), f, 0, 0.0, False, [max(0, int(self.cuts.cuts[f][b])) for b in bins], bins, (gl[k], hl[k]), (gr[k], hr[k]))
 
     def _threshold(self, f: int, b: int, counts: np.ndarray) -> float:
         c = self.cuts.cuts[f]
@@ -258,6 +280,10 @@ class Searcher:
 
     def _gain(self, gl, hl, gr, hr, gt, ht, low, high, direction):  # noqa: ANN001, ANN202
         p = self.p
+        if not self.direction.any() and not p.alpha and not p.max_delta_step and p.min_child_weight > 0:
+            # children under min_child_weight are ruled out already
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return gl * gl / (hl + p.reg_lambda) + gr * gr / (hr + p.reg_lambda) - gt * gt / (ht + p.reg_lambda)
         if not self.direction.any():
             return np_score(gl, hl, p) + np_score(gr, hr, p) - np_score(gt, ht, p)
         wl, wr, wt = np_weight(gl, hl, p, low, high), np_weight(gr, hr, p, low, high), np_weight(gt, ht, p, low, high)
@@ -315,13 +341,19 @@ def grow(p: TrainingParams, cuts: Cuts, columns: Columns, histograms: Callable[[
     tree, search = Tree(), Searcher(cuts, p)
     everything = [list(g) for g in p.interaction_constraints]
 
-    def evaluate(node: _Node) -> None:
+    def mask(node: _Node) -> np.ndarray:
         m = columns.mask(node.path)
         if everything:
             allowed = np.zeros(search.n, bool)
             allowed[sorted(allowed_features(node.used, everything, search.n))] = True
             m = m & allowed
-        node.split = search.best(node.hist, m, node.low, node.high)
+        return m
+
+    def evaluate(nodes: list[_Node]) -> None:
+        if nodes:
+            found = search.best(np.stack([n.hist for n in nodes]), np.stack([mask(n) for n in nodes]), np.array([n.low for n in nodes]), np.array([n.high for n in nodes]))
+            for node, split in zip(nodes, found, strict=True):
+                node.split = split
 
     def good(node: _Node) -> bool:
         s = node.split
@@ -353,19 +385,17 @@ def grow(p: TrainingParams, cuts: Cuts, columns: Columns, histograms: Callable[[
             for child, side, h, b in ((l, "l", left, bounds[0]), (r, "r", right, bounds[1])):
                 made.append(_Node(child, node.path + side, h, *b, [*node.used, node.split.feature]))
                 weigh(made[-1])
-        for m in made:
-            if not (p.max_depth and len(m.path) >= p.max_depth):
-                evaluate(m)
+        evaluate([m for m in made if not (p.max_depth and len(m.path) >= p.max_depth)])
         return made
 
     def weigh(node: _Node) -> None:
-        g, h = node.hist[-1, 0], node.hist[-1, 1]
+        g, h = node.hist[0, -1], node.hist[1, -1]
         tree.value[node.id] = float(np_weight(np.float64(g), np.float64(h), p, node.low, node.high))
         tree.hess[node.id] = float(h)
 
     root = _Node(0, "", histograms(tree, [0])[0])
     weigh(root)
-    evaluate(root)
+    evaluate([root])
     if p.grow_policy == "depthwise":
         level = [root]
         while level := [n for n in level if good(n)]:
@@ -381,6 +411,32 @@ def grow(p: TrainingParams, cuts: Cuts, columns: Columns, histograms: Callable[[
     return tree
 
 
+def drawn_pairs(n: int, max_pairs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """functions.ranking's drawn pairs of a query of n rows, by their ranks in order of row."""
+    rank = np.arange(n, dtype=np.int64)
+    times = (rank + 1) * max_pairs // n - rank * max_pairs // n
+    a = np.repeat(rank, times)
+    turn = np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+    v = (a * 2654435761 + turn * 40503 + seed % (1 << 20) * 9973 + 12345) & 0xFFFFFFFF
+    for _ in range(2):
+        v = ((v ^ (v >> 16)) * 73244475) & 0xFFFFFFFF
+    return a, (a + 1 + (v ^ (v >> 16)) % (n - 1)) % n
+
+
+def _pairs(y: np.ndarray, max_pairs: int, seed: int):  # noqa: ANN202
+    """(better, worse) rows of a query in parts: all pairs of unlike labels, or the drawn ones of a query of more than max_pairs (0: never)."""
+    n = len(y)
+    if max_pairs and n * (n - 1) // 2 > max_pairs:
+        a, b = drawn_pairs(n, max_pairs, seed)
+        a, b = a[y[a] != y[b]], b[y[a] != y[b]]
+        yield np.where(y[a] > y[b], a, b), np.where(y[a] > y[b], b, a)
+        return
+    step = max(1, (1 << 22) // n)
+    for at in range(0, n, step):
+        hi, lo = np.nonzero(y[at : at + step, None] > y[None])
+        yield hi + at, lo
+
+
 def np_lambda(kind: str, m: np.ndarray, y: np.ndarray, w: np.ndarray, group: np.ndarray, row: np.ndarray, max_pairs: int = 4096, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """LambdaMART gradients of functions.ranking for arrays, a query at a time."""
     g, h = np.zeros(len(m)), np.zeros(len(m))
@@ -393,34 +449,28 @@ def np_lambda(kind: str, m: np.ndarray, y: np.ndarray, w: np.ndarray, group: np.
             continue
         pos = np.empty(n, int)
         pos[np.lexsort((np.arange(n), -mm))] = np.arange(n)
-        hi, lo = np.nonzero(yy[:, None] > yy[None])
-        if len(hi) > max_pairs:
-            keep = np.random.default_rng([seed, int(row[at[0]])]).random(len(hi)) < max_pairs / len(hi)
-            hi, lo = hi[keep], lo[keep]
-        if kind == "pairwise":
-            d = np.ones(len(hi))
-        elif kind == "ndcg":
-            best = np.sort(yy)[::-1]
-            ideal = ((2.0**best - 1) / np.log2(np.arange(n) + 2)).sum()
-            disc = 1 / np.log2(pos + 2)
-            d = np.abs((2.0 ** yy[hi] - 2.0 ** yy[lo]) * (disc[hi] - disc[lo])) / ideal if ideal > 0 else np.zeros(len(hi))
-        else:
-            rel = np.zeros(n)
-            rel[pos] = yy > 0
-            hits, part, total = np.cumsum(rel), np.cumsum(rel / (np.arange(n) + 1)), rel.sum()
-            a, b = np.minimum(pos[hi], pos[lo]), np.maximum(pos[hi], pos[lo])
-            shift = rel[b] - rel[a]
-            between = part[b] - part[a] - rel[b] / (b + 1)
-            d = np.abs(rel[b] * (hits[a] + shift) / (a + 1) + rel[a] * hits[b] / (b + 1) - rel[a] * hits[a] / (a + 1) - rel[b] * hits[b] / (b + 1) + shift * between) / max(total, 1)
-            d = np.where((yy[hi] > 0) & (yy[lo] <= 0), d, 0)
-        live = d != 0
-        hi, lo, d = hi[live], lo[live], d[live]
-        rho = 1 / (1 + np.exp(mm[hi] - mm[lo]))
-        gp, hp = rho * d, np.maximum(rho * (1 - rho) * d, 1e-16)
-        np.add.at(g, at[hi], -gp)
-        np.add.at(g, at[lo], gp)
-        np.add.at(h, at[hi], hp)
-        np.add.at(h, at[lo], hp)
+        disc = 1 / np.log2(pos + 2)
+        ideal = ((2.0 ** np.sort(yy)[::-1] - 1) / np.log2(np.arange(n) + 2)).sum()
+        rel = np.zeros(n)
+        rel[pos] = yy > 0
+        hits, part, total = np.cumsum(rel), np.cumsum(rel / (np.arange(n) + 1)), rel.sum()
+        for hi, lo in _pairs(yy, max_pairs, seed):
+            if kind == "pairwise":
+                d = np.ones(len(hi))
+            elif kind == "ndcg":
+                d = np.abs((2.0 ** yy[hi] - 2.0 ** yy[lo]) * (disc[hi] - disc[lo])) / ideal if ideal > 0 else np.zeros(len(hi))
+            else:
+                a, b = np.minimum(pos[hi], pos[lo]), np.maximum(pos[hi], pos[lo])
+                shift = rel[b] - rel[a]
+                between = part[b] - part[a] - rel[b] / (b + 1)
+                d = np.abs(rel[b] * (hits[a] + shift) / (a + 1) + rel[a] * hits[b] / (b + 1) - rel[a] * hits[a] / (a + 1) - rel[b] * hits[b] / (b + 1) + shift * between) / max(total, 1)
+                d = np.where((yy[hi] > 0) & (yy[lo] <= 0), d, 0)
+            live = d != 0
+            hi, lo, d = hi[live], lo[live], d[live]
+            rho = 1 / (1 + np.exp(mm[hi] - mm[lo]))
+            gp, hp = rho * d, np.maximum(rho * (1 - rho) * d, 1e-16)
+            g[at] += np.bincount(lo, gp, minlength=n) - np.bincount(hi, gp, minlength=n)
+            h[at] += np.bincount(lo, hp, minlength=n) + np.bincount(hi, hp, minlength=n)
     return (g * w).astype(np.float32).astype(float), (h * w).astype(np.float32).astype(float)
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradloom.dataset import Dataset, from_long
 from gradloom.errors import EmptyDataset
+from gradloom.operators.running import running_sums
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = False, delimiter: str = ",", label_column: int | None = 0, na_value: str = "NA", categorical: frozenset[int] = frozenset()) -> Dataset:
@@ -84,5 +85,6 @@ def from_csr(spark: SparkSession, indptr: list[int], indices: list[int], values:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with a dense row_id from 0 in the given order."""
-    return df.withColumn("row_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """df with a dense row_id from 0 in the given order; the first of it is a number, and cuts the rows into buckets that are numbered by themselves."""
+    run = running_sums(df, order[0], {"row_id": F.lit(1)}, order=[F.col(c) for c in order[1:]])
+    return run.withColumn("row_id", (F.col("row_id") - 1).cast("long"))

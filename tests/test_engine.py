@@ -6,6 +6,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gradloom import interop, shap
 from gradloom.dataset import Dataset
@@ -13,7 +14,8 @@ from gradloom.errors import DimensionMismatch, EmptyDataset, FeatureOutOfBounds,
 from gradloom.functions import gain, metrics, objectives
 from gradloom.model import BoostedModel
 from gradloom.params import TrainingParams
-from gradloom.plans import boost, cv
+from gradloom.operators import running, trees
+from gradloom.plans import boost, cv, kernel
 from gradloom.plans.kernel import Cuts, Tree, make_cuts, np_lambda, np_metric
 from gradloom.sources import files
 
@@ -49,6 +51,70 @@ def test_one_task_and_many_agree(data, more):
     np.testing.assert_allclose(margins(one.model, d), margins(many.model, d), atol=1e-6)
 
 
+@pytest.mark.parametrize(("kind", "seed"), [("rank:ndcg", 0), ("rank:map", 9)])
+def test_drawn_pairs_are_the_same_in_one_task_and_many(spark, kind, seed):
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({"row_id": range(360), "f0": rng.random(360).astype(np.float32), "f1": rng.random(360).astype(np.float32), "q": [0] * 300 + [1] * 60, "y": rng.integers(0, 4, 360).astype(float)})
+    d = Dataset.of(spark.createDataFrame(pdf).repartition(3), ["f0", "f1"], "row_id", label="y", qid="q")
+    p = TrainingParams(objective=kind, max_depth=2, seed=seed)
+    one, many = boost.train(p, d, 2), boost.train(p, d, 2, task_bytes=0)
+    np.testing.assert_allclose(margins(one.model, d), margins(many.model, d), atol=1e-6)
+    other = boost.train(p.with_(seed=seed + 1), d, 2)
+    assert np.abs(margins(one.model, d) - margins(other.model, d)).max() > 1e-6
+    whole = [boost.train(p.with_(max_pairs=0), d, 2, task_bytes=b) for b in (0, 1 << 20)]
+    np.testing.assert_allclose(margins(whole[0].model, d), margins(whole[1].model, d), atol=1e-6)
+
+
+def test_draws_are_even_and_no_more_than_asked_for():
+    n, want = 101, 20_000
+    times = np.zeros((n, n))
+    for seed in range(50):
+        a, b = kernel.drawn_pairs(n, 400, seed)
+        assert len(a) == 400 and (a != b).all()
+        np.add.at(times, (np.minimum(a, b), np.maximum(a, b)), 1)
+    assert times.sum() == want
+    got = times[np.triu_indices(n, 1)]
+    assert abs(got.var() / got.mean() - 1) < 0.25  # as many as independent draws would vary
+
+
+def test_folds_and_samples_take_any_ids(spark):
+    ids = spark.range(12, numPartitions=3).select(F.monotonically_increasing_id().alias("row")).union(spark.createDataFrame([(-5,), (2**62,)], "row long"))
+    got = ids.select("row", trees.fold_of(F.col("row"), 3, 1).alias("fold"), trees.keeps_row(F.col("row"), 0.5, 2, 3).alias("kept")).toPandas()
+    assert got["fold"].between(0, 2).all()
+    assert boost.sampled(got["row"].to_numpy(), 0.5, 2, 3).tolist() == got["kept"].tolist()
+
+
+def test_cross_validation_of_a_read_table(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("y,f0\n" + "\n".join(f"{int(i >= 10)},{i + k / 10}" for i in range(20)) + "\n")
+    d = files.read_csv(spark, str(tmp_path), header=True)
+    got = cv.cross_validate(spark, TrainingParams(max_depth=1), d, 2, folds=2).collect()
+    assert len(got) == 2
+
+
+def test_running_sums_cross_buckets(spark, monkeypatch):
+    monkeypatch.setattr(running, "BUCKETS", 7)
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 400, 1000)
+    pdf = pd.DataFrame({"k": np.unique(v), "n": rng.integers(0, 9, len(np.unique(v)))})
+    for ascending in (True, False):
+        got = running.running_sums(spark.createDataFrame(pdf).repartition(5), "k", {"upto": "n"}, ascending).toPandas().sort_values("k", ascending=ascending)
+        assert (got["upto"] == got["n"].cumsum()).all()
+    assert running.running_sums(spark.createDataFrame(pdf).limit(0), "k", {"upto": "n"}).count() == 0
+
+
+def test_ranking_metrics_of_one_long_list(spark, monkeypatch):
+    monkeypatch.setattr(running, "BUCKETS", 5)
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"r": range(500), "p": rng.integers(0, 50, 500) / 7, "y": rng.integers(0, 3, 500).astype(float)})
+    d = spark.createDataFrame(pdf).repartition(4)
+    for name in ("ndcg", "map", "ndcg@5", "map@3", "auc", "aucpr"):
+        got = metrics.create(name).value(d, "p", "y", order="r")
+        assert abs(got - np_metric(name, pdf["p"].to_numpy(), pdf["y"].to_numpy(), np.ones(500))) < 1e-9
+        if name[:3] in ("ndc", "map"):
+            assert abs(metrics.create(name).value(d.withColumn("q", F.lit(3)), "p", "y", group="q", order="r") - got) < 1e-9
+
+
 def test_fits_a_step(spark):
     d = files.from_dense(spark, [[i / 100] for i in range(100)])
     d = d.with_(frame=d.frame.selectExpr("*", "cast(f0 >= 0.5 as double) y"), label="y")
