@@ -13,6 +13,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradloom import dataset, interop, shap
 from gradloom.dataset import Dataset
@@ -22,6 +23,7 @@ from gradloom.operators import binning, trees
 from gradloom.params import TrainingParams
 from gradloom.plans import boost, cv
 from gradloom.plans.kernel import Tree
+from gradloom.oracle import LOGISTIC, rounds, tree
 from gradloom.plans.linear import sums, sweep
 from gradloom.sources import files
 
@@ -130,9 +132,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.group_pointers(sizes, "user_id", "n")
 
 
-@query("cell_access", f"WITH {LI} SELECT count(f2)::BIGINT AS present, count(*)::BIGINT - count(f2)::BIGINT AS missing FROM li")
+@query("cell_access", "SELECT event_id % 100 AS rest, event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(CAST(event_id % 5 AS FLOAT) AS DOUBLE) END AS cell, CAST(CAST(nullif(user_id, 0) AS FLOAT) AS DOUBLE) AS other FROM events WHERE event_id % 5 <> 0 OR user_id <> 0")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return li(spark, sf).agg(F.count("f2").alias("present"), (F.count("*") - F.count("f2")).alias("missing"))
+    """Every row's cells, through the long form and back: one that may be missing and one that never is."""
+    e = _t(spark, sf, "events").select("event_id", (F.col("event_id") % 5).alias("f0"), F.col("user_id").alias("f1"))
+    cells = Dataset.of(e, ["f0", "f1"], "event_id", missing=0.0).long()
+    wide = dataset.from_long(cells, 2)
+    return wide.select((F.col("row_id") % 100).alias("rest"), F.col("row_id").alias("event_id"), F.col("f0").cast("double").alias("cell"), F.col("f1").cast("double").alias("other"))
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -259,6 +265,21 @@ _ranked("ndcg", "CASE WHEN h.ideal > 0 THEN abs((pow(2, h.y) - pow(2, l.y)) * (1
 _ranked("map", _SWAP)
 
 
+_MIX = "((xor({v}, {v} >> 16) * 73244475) & 4294967295)"
+_DRAWN = _RANK[: _RANK.index(" p AS (")] + f""" k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY r) - 1 AS rk, count(*) OVER (PARTITION BY q) AS n FROM i),
+ t AS (SELECT q, r, rk, n, unnest(range(0, (rk + 1) * 20 // n - rk * 20 // n)) AS turn FROM k WHERE n * (n - 1) / 2 > 20), u AS (SELECT q, r, rk, n, (rk * 2654435761 + turn * 40503 + 5 * 9973 + 12345) & 4294967295 AS v FROM t),
+ u1 AS (SELECT q, r, rk, n, {_MIX.format(v="v")} AS v FROM u), u2 AS (SELECT q, r, rk, n, {_MIX.format(v="v")} AS v FROM u1), o AS (SELECT u2.q, u2.r AS ra, k.r AS rb FROM u2 JOIN k ON k.q = u2.q AND k.rk = (u2.rk + 1 + xor(u2.v, u2.v >> 16) % (u2.n - 1)) % u2.n),
+ pp AS (SELECT h.r AS a, l.r AS b FROM o JOIN k h ON h.q = o.q AND h.r IN (o.ra, o.rb) JOIN k l ON l.q = o.q AND l.r IN (o.ra, o.rb) AND h.y > l.y UNION ALL SELECT h.r, l.r FROM k h JOIN k l ON h.q = l.q AND h.y > l.y WHERE h.n * (h.n - 1) / 2 <= 20),
+ p AS (SELECT h.r AS a, l.r AS b, 1e0 / (1e0 + exp(h.m - l.m)) AS rho, {{delta}} AS d FROM pp JOIN i h ON h.r = pp.a JOIN i l ON l.r = pp.b),
+""" + _RANK[_RANK.index(" e AS (") :]
+
+
+@query("rank_ndcg_grad_sampled", _DRAWN.replace("{delta}", "CASE WHEN h.ideal > 0 THEN abs((pow(2, h.y) - pow(2, l.y)) * (1e0 / log2(h.pos + 2) - 1e0 / log2(l.pos + 2))) / h.ideal ELSE 0e0 END"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    got = ranking.lambda_gradients(ev(spark, sf), "ndcg", "user_id", "event_id", "s", "yr", max_pairs=20, seed=5)
+    return got.select("event_id", _r(F.col("g"), 3).alias("g"), _r(F.col("h"), 3).alias("h"))
+
+
 # metrics
 
 
@@ -503,10 +524,10 @@ _STUMP = (
 )
 
 
-def _stump(spark: SparkSession, sf: str, depth: int = 1, rounds: int = 1, **more: object) -> tuple[BoostedModel, Dataset]:
+def _stump(spark: SparkSession, sf: str, depth: int = 1, turns: int = 1, **more: object) -> tuple[BoostedModel, Dataset]:
     frame = li(spark, sf).select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), "f0", "f1", "f2", "y")
     d = Dataset(frame, ("f0", "f1", "f2"), label="y")
-    return boost.train(TrainingParams(max_depth=depth, **more), d, rounds).model, d
+    return boost.train(TrainingParams(**({"max_depth": depth} | more)), d, turns).model, d
 
 
 @query("boost_stump_round", f"{_STUMP} SELECT feature, round(nx::DOUBLE, 5) AS threshold, dl AS default_left, round(p, 4) AS prediction, count(*)::BIGINT AS n, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse FROM pred GROUP BY 1, 2, 3, 4")
@@ -528,51 +549,104 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return step.agg(F.min(F.coalesce(F.col("value") <= F.col("before"), F.lit(True))).alias("falls"), F.count("*").alias("rounds"))
 
 
-def _rounds_query(name: str, **params: object) -> None:
-    @query(name)
+#: Rows of LI as training rows; row_id only has to be a number.
+_LD = f"{LI}, d AS (SELECT f0, f1, f2, y, true AS tr FROM li)"
+_SUMMARY = "SELECT count(*)::BIGINT AS n, round(avg(m), 4) AS mean, round(sqrt(avg((m - y) * (m - y))), 4) AS rmse FROM {}"
+
+
+def _rounds_query(name: str, depth: int = 3, turns: int = 3, grown: dict | None = None, oracle: int | None = None, **params: object) -> None:
+    """A query of the predictions' summary after some rounds; grown: what the SQL's trees are told; oracle: its rounds, if not as many."""
+    own = turns if oracle is None else oracle
+    ctes = rounds("r", "d", ("f0", "f1", "f2"), depth, own, **(grown or {}))
+
+    @query(name, f"WITH {_LD}, {', '.join(ctes)} {_SUMMARY.format(f'r_{own}')}")
     def _(spark: SparkSession, sf: str) -> DataFrame:
-        model, d = _stump(spark, sf, **({"depth": 3, "rounds": 5} | params))
-        return model.predict(d, ("row_id", "y")).agg(F.count("*").alias("n"), F.avg("prediction").alias("mean"), F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("y"), 2))).alias("rmse"))
+        model, d = _stump(spark, sf, depth, turns, **params)
+        p, y = F.col("prediction"), F.col("y")
+        return model.predict(d, ("row_id", "y")).agg(F.count("*").alias("n"), _r(F.avg(p), 4).alias("mean"), _r(F.sqrt(F.avg((p - y) * (p - y))), 4).alias("rmse"))
 
 
-_rounds_query("boost_depth2", depth=2, rounds=2)
-_rounds_query("boost_exact", tree_method="exact")
-_rounds_query("boost_approx", tree_method="approx", max_bin=16)
-_rounds_query("boost_lossguide", grow_policy="lossguide", max_leaves=6)
-_rounds_query("boost_dart", booster="dart", rate_drop=0.2)
-_rounds_query("boost_sampled", subsample=0.7, colsample_bytree=0.7, colsample_bynode=0.7, seed=3)
-_rounds_query("boost_monotone", monotone_constraints=(1, -1, 0))
-_rounds_query("boost_interaction", interaction_constraints=((0, 2), (1,)))
+_rounds_query("boost_depth2", depth=2)
+_rounds_query("boost_depth3")
+_rounds_query("boost_exact", depth=2, tree_method="exact", grown={"exact": True})
+_rounds_query("boost_approx", depth=2, tree_method="approx")
+_rounds_query("boost_lossguide", depth=2, grow_policy="lossguide", max_leaves=3, max_depth=0, grown={"leaves": 3})
+_rounds_query("boost_monotone", depth=3, turns=2, monotone_constraints=(1, 1, -1), grown={"monotone": (1, 1, -1)})
+_rounds_query("boost_interaction", turns=2, interaction_constraints=((0, 2), (1,)), grown={"groups": ((0, 2), (1,))})
+# With a rate of 1 every tree so far is dropped, so all are the first one's like and share its weight.
+_rounds_query("boost_dart", depth=2, booster="dart", rate_drop=1.0, oracle=1)
 
 
-@query("boost_early_stop")
+@query("boost_columns_sampled")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    e = ev(spark, sf).select("event_id", F.col("s").cast("float").alias("f0"), F.col("m").cast("float").alias("f1"), "yb")
-    d = Dataset(e, ("f0", "f1"), "event_id", "yb")
+    model, d = _stump(spark, sf, 3, 5, subsample=0.7, colsample_bytree=0.7, colsample_bynode=0.7, seed=3)
+    return model.predict(d, ("row_id", "y")).agg(F.count("*").alias("n"), F.avg("prediction").alias("mean"), F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("y"), 2))).alias("rmse"))
+
+
+def _ev_data(spark: SparkSession, sf: str, label: str, *more: str) -> Dataset:
+    return Dataset(ev(spark, sf).select("event_id", *more, F.col("s").cast("float").alias("f0"), F.col("m").cast("float").alias("f1"), F.col(label).alias("y")), ("f0", "f1"), "event_id", "y")
+
+
+_EX = "CAST(s AS FLOAT) AS f0, CAST(m AS FLOAT) AS f1"
+_FOLD = "floor(((event_id * 2654435761 + {seed} * 40503) % 4294967296) / 8e0)::BIGINT % {folds}"
+_KEEP = "(event_id * 2654435761 + (3 * 40503 + {turn} * 9973 + 12345)) % 4294967296 < 3006477107"
+
+
+@query("boost_sampled", f"WITH {EV}, d AS (SELECT event_id, y, {_EX}, true AS tr FROM ev), {', '.join(rounds('r', 'd', ('f0', 'f1'), 2, 3, sampled=_KEEP, margin='avg(y)'))} SELECT event_id, round(m, 4) AS prediction FROM r_3")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    d = _ev_data(spark, sf, "y")
+    model = boost.train(TrainingParams(max_depth=2, subsample=0.7, seed=3, max_bin=1 << 11), d, 3).model
+    return model.predict(d, ("event_id",)).select("event_id", _r(F.col("prediction"), 4).alias("prediction"))
+
+
+_LOSS = "-(y * ln(least(greatest(1e0 / (1e0 + exp(-m)), 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(1e0 / (1e0 + exp(-m)), 1e-15), 1 - 1e-15)))"
+_HISTORY = " UNION ALL ".join(f"SELECT {t}::INT AS iteration, avg({_LOSS}) AS value FROM r_{t + 1} WHERE NOT tr" for t in range(5))
+
+
+@query(
+    "boost_early_stop",
+    f"WITH {EV}, d AS (SELECT event_id, yb AS y, {_EX}, {_FOLD.format(seed=0, folds=4)} <> 0 AS tr FROM ev), {', '.join(rounds('r', 'd', ('f0', 'f1'), 2, 5, LOGISTIC, 'ln(avg(y) / (1e0 - avg(y)))'))}, h AS ({_HISTORY}), "
+    "k AS (SELECT *, min(value) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low FROM h), f AS (SELECT *, min(CASE WHEN value = low THEN iteration END) OVER (PARTITION BY low) AS best FROM k), "
+    "e AS (SELECT coalesce(min(iteration), 99) AS last FROM f WHERE iteration - best >= 2) SELECT iteration, round(value, 5) AS value FROM f, e WHERE iteration <= last",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    d = _ev_data(spark, sf, "yb")
     fold = trees.fold_of(F.col("event_id"), 4)
-    got = boost.train(TrainingParams(objective="binary:logistic", max_depth=2), d.select_rows(fold != 0), 12, [("test", d.select_rows(fold == 0))], patience=2)
-    return got.history_frame(spark)
+    p = TrainingParams(objective="binary:logistic", max_depth=2, max_bin=1 << 11)
+    got = boost.train(p, d.select_rows(fold != 0), 5, [("test", d.select_rows(fold == 0))], patience=2)
+    return got.history_frame(spark).select("iteration", _r(F.col("value"), 5).alias("value"))
+
 
+_SOFT = [c for k in range(3) for c in tree(f"t{k}", "d", f"1e0 / 3e0 - CASE WHEN y = {k} THEN 1e0 ELSE 0e0 END", "2e0 * (1e0 / 3e0) * (1e0 - 1e0 / 3e0)", ("f0", "f1"), 2)]
 
-@query("boost_softmax")
+
+@query(
+    "boost_softmax",
+    f"WITH {EV}, d AS (SELECT event_id, CAST(CAST(yc AS INT) % 3 AS DOUBLE) AS y, {_EX}, true AS tr FROM ev), {', '.join(_SOFT)}, a AS (SELECT event_id, exp(3e-1 * t0.lw) AS e0, exp(3e-1 * t1.lw) AS e1, exp(3e-1 * t2.lw) AS e2 FROM t0 JOIN t1 USING (event_id) JOIN t2 USING (event_id)) "
+    "SELECT event_id, round(e0 / (e0 + e1 + e2), 4) AS p0, round(e1 / (e0 + e1 + e2), 4) AS p1, round(e2 / (e0 + e1 + e2), 4) AS p2 FROM a",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    e = ev(spark, sf).select("event_id", F.col("value").cast("float").alias("f0"), F.col("m").cast("float").alias("f1"), (F.col("yc") % 3).alias("k"))
-    d = Dataset(e, ("f0", "f1"), "event_id", "k")
-    model = boost.train(TrainingParams(objective="multi:softprob", num_class=3, max_depth=2), d, 2).model
-    return model.predict_class(d).groupBy("class").agg(F.count("*").alias("n"))
+    d = _ev_data(spark, sf, "yc")
+    d = d.with_(frame=d.frame.withColumn("y", F.col("y") % 3))
+    model = boost.train(TrainingParams(objective="multi:softprob", num_class=3, max_depth=2, max_bin=1 << 11), d, 1).model
+    p = F.col("prediction")
+    return model.predict(d, ("event_id",)).select("event_id", *[_r(p[k], 4).alias(f"p{k}") for k in range(3)])
 
 
 @query("boost_rank_ndcg")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    e = ev(spark, sf).select("event_id", "user_id", F.col("s").cast("float").alias("f0"), F.col("m").cast("float").alias("f1"), "yr")
-    d = Dataset(e, ("f0", "f1"), "event_id", "yr", qid="user_id")
+    d = _ev_data(spark, sf, "yr", "user_id").with_(qid="user_id")
     return boost.train(TrainingParams(objective="rank:ndcg", max_depth=2), d, 3, [("train", d)]).history_frame(spark)
 
 
-@query("cv_folds")
+_FOLDS = [c for k in range(3) for c in (f"d{k} AS (SELECT event_id, y, {_EX}, {_FOLD.format(seed=0, folds=3)} <> {k} AS tr FROM ev)", *rounds(f"k{k}", f"d{k}", ("f0", "f1"), 2, 2))]
+_SCORES = " UNION ALL ".join(f"SELECT {t}::INT AS iteration, sqrt(avg((m - y) * (m - y))) AS value FROM k{k}_{t + 1} WHERE NOT tr" for k in range(3) for t in range(2))
+
+
+@query("cv_folds", f"WITH {EV}, {', '.join(_FOLDS)}, h AS ({_SCORES}) SELECT 'rmse' AS metric, iteration, round(avg(value), 4) AS test_mean, round(stddev_pop(value), 4) AS test_std FROM h GROUP BY iteration")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    e = ev(spark, sf).select("event_id", F.col("s").cast("float").alias("f0"), F.col("m").cast("float").alias("f1"), "y")
-    return cv.cross_validate(spark, TrainingParams(max_depth=2), Dataset(e, ("f0", "f1"), "event_id", "y"), 2, 3)
+    got = cv.cross_validate(spark, TrainingParams(max_depth=2, max_bin=1 << 11), _ev_data(spark, sf, "y"), 2, 3)
+    return got.select("metric", "iteration", _r(F.col("test_mean"), 4).alias("test_mean"), _r(F.col("test_std"), 4).alias("test_std"))
 
 
 @query("cv_agg", f"WITH {EV}, h AS (SELECT (event_id % 5)::INT AS fold, 'rmse' AS metric, (event_id % 3)::INT AS iteration, avg(y) AS value FROM ev GROUP BY 1, 2, 3) SELECT metric, iteration, round(avg(value), 7) AS test_mean, round(stddev_pop(value), 7) AS test_std FROM h GROUP BY 1, 2")
@@ -710,19 +784,31 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("l_orderkey", "l_partkey", _r(F.aggregate(F.col("contributions")[0], F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("shap_interaction_rows", "SELECT 0::BIGINT AS wrong")
+@query(
+    "shap_interaction_rows",
+    f"WITH {LI}, x AS (SELECT l_orderkey, l_partkey, f0 < CAST(26 AS FLOAT) AS a, coalesce(f2 < CAST(0.05 AS FLOAT), true) AS c FROM li), "
+    # v of each set of known features; the split on f0 covers 50 to 50 rows, the one on f2 30 to 20
+    "v AS (SELECT *, CASE WHEN c THEN 3e-1 ELSE 7e-1 END AS deep, 6e-1 * 3e-1 + 4e-1 * 7e-1 AS flat FROM x), "
+    "g AS (SELECT l_orderkey, l_partkey, 5e-1 * -4e-1 + 5e-1 * flat AS v0, CASE WHEN a THEN -4e-1 ELSE flat END AS va, 5e-1 * -4e-1 + 5e-1 * deep AS vc, CASE WHEN a THEN -4e-1 ELSE deep END AS vac FROM v) "
+    "SELECT l_orderkey, l_partkey, round((vac - va - vc + v0) / 2e0, 5) + 0e0 AS pair, round((va - v0 + vac - vc) / 2e0 - (vac - va - vc + v0) / 2e0, 5) + 0e0 AS own FROM g",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    m, d = fixed_model(), _li_data(spark, sf)
-    got = d.with_(frame=d.frame)
-    both = m._mapped(got, "gap", m._shape(), lambda mm, x, b: np.abs(shap.interactions(mm, x)[:, 0, :3, :3].sum(2) - shap.contributions(mm, x)[:, 0, :3]).max(1).astype(np.float32), ("l_orderkey",))
-    return both.agg(F.sum((F.col("gap") > 1e-6).cast("long")).alias("wrong"))
+    m = fixed_model()
+    m.trees, m.weights = m.trees[:1], m.weights[:1]
+    shape = T.ArrayType(T.FloatType())
+    got = m._mapped(_li_data(spark, sf), "both", shape, lambda mm, x, b: shap.interactions(mm, x)[:, 0, 0, [0, 2]].astype(np.float32), ("l_orderkey", "l_partkey"))
+    return got.select("l_orderkey", "l_partkey", _r(F.col("both")[1], 5).alias("pair"), _r(F.col("both")[0], 5).alias("own"))
 
 
-@query("dense_array_features", "SELECT vec_id, round(CASE WHEN embedding[1] < 0 THEN -1e0 ELSE 1e0 END, 3) AS side FROM embeddings")
+@query(
+    "dense_array_features",
+    "SELECT vec_id, round(CASE WHEN embedding[1] < 0 THEN -1e0 ELSE 1e0 END + CASE WHEN embedding[31] < 0 THEN -2e0 ELSE 2e0 END + CASE WHEN embedding[64] < 0 THEN -4e0 ELSE 4e0 END, 3) AS side FROM embeddings",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[k].alias(f"f{k}") for k in range(4)])
-    t = Tree([0, 0, 0], [0.0, 0.0, 0.0], [False] * 3, [1, -1, -1], [2, -1, -1], [0.0, -1.0, 1.0], [2.0, 1.0, 1.0], [1.0, 0.0, 0.0])
-    t.categories, t.left_bins, t.bin = [None] * 3, [None] * 3, [0] * 3
+    """A model over all numbers of a vector, whose trees split on the first, one inside and the last."""
+    names = [f"f{k}" for k in range(64)]
+    e = _t(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[k].alias(f) for k, f in enumerate(names)])
     m = fixed_model("reg:squarederror")
-    m.trees, m.weights, m.n_features, m.base_score = [t], [1.0], 4, 0.0
-    return m.predict_margin(Dataset(e, ("f0", "f1", "f2", "f3"), "vec_id")).select("vec_id", _r(F.col("margin"), 3).alias("side"))
+    m.trees = [Tree([f, 0, 0], [0.0, 0.0, 0.0], [False] * 3, [1, -1, -1], [2, -1, -1], [0.0, -w, w], [2.0, 1.0, 1.0], [1.0, 0.0, 0.0], [None] * 3, [0] * 3, [None] * 3) for f, w in ((0, 1.0), (30, 2.0), (63, 4.0))]
+    m.weights, m.n_features, m.base_score = [1.0] * 3, 64, 0.0
+    return m.predict_margin(Dataset(e, tuple(names), "vec_id")).select("vec_id", _r(F.col("margin"), 3).alias("side"))
