@@ -11,7 +11,7 @@ asides, notices, adverts, forms and comments around and inside the article. They
 the same text wherever it is extracted.
 
 Text: character references are decoded; white space inside a block, line breaks included, becomes one space; blocks are trimmed and joined in page order by
-two line feeds. The contents of head, script, style, template and the like are never text.
+two line feeds. The contents of head, template, datalist, script, style, title, textarea and frames are never text; what else may hold text (formulas, fallbacks of media, noscript) is for the trees to judge.
 
 Defined results: a null or empty page, or one without main text, gives an empty text of 0 characters. Malformed markup is
 parsed as far as it goes: unclosed elements end with their parents, a tag that never ends is text. Repeated rows get
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -33,13 +34,13 @@ from pyspark.sql import functions as F
 
 # HTML element names by how they nest.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head template svg math object audio video canvas noscript datalist".split())
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+HIDDEN = frozenset("head template datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
-    "label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "label legend li main menu nav noscript object audio video canvas ol option p pre search section select summary table tbody td tfoot th thead tr ul xmp".split()
 ) | HIDDEN
-NO_P = BLOCK - frozenset("html body button label option select td th tr tbody thead tfoot caption head template noscript object audio video canvas svg math".split())
+NO_P = BLOCK - frozenset("html body button label option select td th tr tbody thead tfoot caption head template noscript object audio video canvas".split())
 SCOPE = frozenset("table td th caption button object template html".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 LIMIT = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "body": (), "tbody": ("table",), "tfoot": ("table",)}
@@ -62,10 +63,13 @@ WORDS = {
 }
 GROUP = {w: k for k, ws in enumerate(WORDS.values()) for w in ws.split()}
 _G, _T = len(WORDS), len(TAGS)
+#: In place of an inline element's node, where it has ended before those in it.
+GONE = -2
 
 _TOKEN = re.compile(
     r"<(?:!--(?P<comment>.*?(?:-->|\Z))|(?P<decl>[!?][^>]*+>)|/(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>|(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>))", re.S
 )
+_OPEN = re.compile(r"<!--(?P<comment>.*\Z)(?P<start>(?!))?(?P<end>(?!))?", re.S)
 _NAMES = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _CLOSE = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>|</{n}\Z", re.I) for n in RAW}
@@ -113,25 +117,40 @@ def parse(html: str) -> Page:
                 page.links.append(min(linked, len(text)))
             linked = 0
 
+    places: dict[str, list[int]] = defaultdict(list)  # the depths of the open elements of each name
+    blocks: list[int] = [0]  # the depths of the open blocks
+
+    def push(name: str, node: int) -> None:
+        places[name].append(len(stack))
+        if node >= 0:
+            blocks.append(len(stack))
+        stack.append((name, node))
+
     def pop_to(depth: int) -> None:
         nonlocal here, hidden, anchors
         flush()
         while len(stack) > depth:
             name, node = stack.pop()
+            if node == GONE:
+                continue
+            places[name].pop()
             if node >= 0:
+                blocks.pop()
                 here = page.parent[node]
                 hidden -= name in HIDDEN
             elif name == "a":
                 anchors -= 1
 
+    def end_inline(name: str) -> None:
+        """The innermost open inline element of this name is closed, those in it stay open: its place on the stack stays, too."""
+        nonlocal anchors
+        stack[places[name].pop()] = ("", GONE)
+        anchors -= name == "a"
+
     def find(names: tuple[str, ...], stop: frozenset | tuple) -> int:
         """The depth of the innermost open element of these names, outside of which none of stop is looked behind; 0 if none."""
-        for d in range(len(stack) - 1, 0, -1):
-            if stack[d][0] in names:
-                return d
-            if stack[d][0] in stop:
-                return 0
-        return 0
+        d = max((places[n][-1] for n in names if places[n]), default=0)
+        return d if d and all(not places[n] or places[n][-1] <= d for n in stop) else 0
 
     def words(part: str) -> None:
         nonlocal linked
@@ -142,9 +161,10 @@ def parse(html: str) -> Page:
             if anchors:
                 linked += len(part)
 
-    at = 0
+    at, last = 0, html.rfind(">")
     while True:
-        m = _TOKEN.search(html, at)
+        # behind the last > there is no tag, but there may be an open comment
+        m = _TOKEN.search(html, at) if at <= last else _OPEN.search(html, at)
         if m is None:
             words(html[at:])
             break
@@ -153,7 +173,7 @@ def parse(html: str) -> Page:
         if m["start"]:
             name = m["start"].lower()
             if name in RAW:
-                close = _CLOSE[name].search(html, at)
+                close = _CLOSE[name].search(html, at, last + 1) if at <= last else None
                 at = close.end() if close else len(html)
             elif name in VOID:
                 if name == "br":
@@ -174,12 +194,11 @@ def parse(html: str) -> Page:
                 page.links.append(0)
                 here = len(page.tag) - 1
                 hidden += name in HIDDEN
-                stack.append((name, here))
+                push(name, here)
             else:
-                if name == "a" and anchors and (d := find(("a",), SCOPE)):
-                    stack.pop(d)
-                    anchors -= 1
-                stack.append((name, -1))
+                if name == "a" and anchors and find(("a",), SCOPE):
+                    end_inline("a")
+                push(name, -1)
                 anchors += name == "a"
         elif m["end"]:
             name = m["end"].lower()
@@ -191,13 +210,8 @@ def parse(html: str) -> Page:
             elif name == "br":
                 words(" ")
             else:
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][1] >= 0:
-                        break
-                    if stack[d][0] == name:
-                        stack.pop(d)
-                        anchors -= name == "a"
-                        break
+                if places[name] and places[name][-1] > blocks[-1]:
+                    end_inline(name)
     pop_to(1)
     return page
 

@@ -17,6 +17,7 @@ raise ValueError. Models with a character map for normalising, or that drop blan
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -105,17 +106,25 @@ class Codec:
 
     def merge(self, word: str) -> list[str]:
         """What BPE makes of word: the best-ranked pair merges first, the leftmost of equals."""
-        parts, rank = list(word), self.rank
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r > best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        n, rank = len(word), self.rank
+        parts: list[str | None] = list(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # (rank, left part's place, both parts as they were): a pair whose parts have merged since is passed over
+        heap = [(-r, i, word[i], word[i + 1]) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != x or j >= n or parts[j] != y:
+                continue
+            parts[i], parts[j] = x + y, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (r := rank.get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, (-r, a, parts[a], parts[b]))
+        return [p for p in parts if p is not None]
 
     def _compatible(self, pair: np.ndarray) -> np.ndarray:
         """For each left * pieces + right, whether BPE leaves the two as they are."""

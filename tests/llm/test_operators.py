@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -199,6 +200,19 @@ def test_ids_are_the_librarys(spark, sf, pieces):
         assert r["ids"] == sp.encode(r["text"] or "")
 
 
+def test_runs_of_blanks_are_the_librarys_and_take_no_time(pieces):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    codec, rng = spm.Codec(pieces), random.Random(4)
+    texts = [" " * n + "ab"[n % 2] * (n % 3) for n in range(40)] + ["a" + " " * 2000 + "b"] + ["".join(rng.choice("ab  ") for _ in range(60)) for _ in range(60)]
+    off, ids = codec.encode(_text.plain(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [sp.encode(t) for t in texts]
+    began = time.process_time()
+    off, ids = codec.encode(_text.plain(pa.array(["a" + " " * 300_000 + "b"])))
+    assert len(ids) > 1000 and time.process_time() - began < 60
+
+
 def test_unigram_models_maximise_the_score(pieces):
     m = spm.Model(["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "▁ab"], [2, 1, 1, 1, 1, 1, 1, 1], [0, -3.0, -2.0, -2.5, -3.5, -3.2, -4.6, -6.0], False)
     codec, rng = spm.Codec(m), random.Random(1)
@@ -411,6 +425,25 @@ def test_decoding_never_keeps_a_child_of_a_dropped_parent():
     assert htmlmain.decode(page, m) == "b"
 
 
+@pytest.mark.parametrize("part", ["<b>", "<div>", "<a ", "<p><table>", "<a href=x>", "</b>", "<script", "<!--", "&amp;", "<li>"])
+def test_long_broken_pages_take_no_time(part):
+    html = "<p>one " + part * 50_000 + "two " + "</i>" * 50_000 + "</p>" * 50_000
+    began = time.process_time()
+    htmlmain.features(htmlmain.parse(html))
+    assert time.process_time() - began < 30
+
+
+def test_parsing_of_misnested_elements():
+    texts = lambda html: [t for t in htmlmain.parse(html).text if t is not None]
+    assert texts("<p>a<b>b<i>c</b>d</i>e</p>f") == ["abcde", "f"]
+    page = htmlmain.parse("<p><a>x<a>y<b>z</a>w</b></p><a>v<table><td>u</a>t</table>")
+    assert [t for t in page.text if t] == ["xyzw", "v", "ut"]
+    assert [n for n, t in zip(page.links, page.text, strict=True) if t] == [3, 1, 2]
+    assert texts("<p>a<table><tr><td>b<p>c<td>d</table>e") == ["a", "b", "c", "d", "e"]
+    assert texts("<p>so <math><mi>x</mi>=2</math> holds</p><noscript>n</noscript><xmp>l</xmp>") == ["so x=2 holds", "n", "l"]
+    assert texts("a<!-- b > c") == ["a"] and texts("a < b <c d") == ["a < b <c d"] and texts("x<script>y") == ["x"]
+
+
 def test_main_text_on_awkward_pages(spark, forest):
     deep = "<div>" * 3000 + "<p>deep text here.</p>"
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words, no markup at all. " * 5), (4, "u", "<p>one<p>two</b></i><table><td>x<td>y<!-- open"), (5, "u", "<article><p>" + "word " * 100_000 + "</article>"), (6, "u", deep), (7, "u", "<a title=\"x>y</a><script>var a = '</p>'"), (None, "u", "<script></script>")]
