@@ -1,32 +1,87 @@
 """The pipeline's stages: columns, and what each may and may not drop."""
 
 import random
+import re
+from collections import Counter
 from fractions import Fraction
 
 import corpus_pipeline
-from gradloom.llm import langid, minhash, mixing
+import public_tokenizers
+import pyarrow as pa
+import sentencepiece
+from gradloom.llm import langid, minhash, quality
+from gradloom.llm._shared import held_out
+from pyspark.sql import functions as F
+
+
+def brute_targets(sizes):
+    """What each source should give: shares of 150 % by weight, at most twice a source's words."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight, full, total = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, set(), 1.5 * sum(sizes.values())
+    while True:
+        rest = sum(weight[s] for s in names if s not in full)
+        level = (total - sum(2 * sizes[s] for s in full)) / rest if rest else 0.0
+        new = {s for s in names if s not in full and weight[s] * level > 2 * sizes[s]}
+        if not new:
+            return {s: 2.0 * sizes[s] if s in full else weight[s] * level for s in names}
+        full |= new
+
+
+def stored(spark, docs, stage, sf, path):
+    stage(spark, docs, sf).write.parquet(str(path))
+    return spark.read.parquet(str(path))
 
 
 def test_stages(spark, tmp_path):
+    """Each stage against a plain version: models row by row, all pairs, targets by hand, the sentencepiece library."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    kept = []
+    columns, kept = docs.columns, [docs]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs
-        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-        kept.append((before, docs))
+        kept.append(stored(spark, kept[-1], stage, sf, tmp_path / str(k)))
         if k < 4:
-            assert docs.columns == columns
-    (_, identified), (_, good), (raw, once), (_, mixed), (_, ids) = kept
-    assert identified.count() >= 0.95 * 200
-    assert good.count() >= 0.7 * identified.count()
-    groups = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(raw).collect()}
-    assert sorted(r["doc_id"] for r in once.collect()) == sorted(set(groups.values()))
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(once).collect()}
-    assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {d: c for d, c in copies.items() if c}
-    assert ids.count() == mixed.count() and langid.UND == "und"
+            assert kept[-1].columns == columns
+    raw, identified, good, once, mixed, ids = ([r.asDict() for r in d.collect()] for d in kept)
+    model = langid.fit(docs, ~held_out("doc_id", 3, 1))
+    want = []
+    for r in raw:
+        names, scores = model.predict(pa.array([r["text"]], pa.string()))
+        want += [r["doc_id"]] if names[0] != langid.UND and scores[0] >= 0.5 else []
+    assert sorted(r["doc_id"] for r in identified) == sorted(want) and len(want) >= 0.95 * len(raw)
+    model = quality.fit(kept[1], spark.read.parquet(f"{sf}/labels.parquet"), ~held_out("doc_id", 4, 2))
+    assert sorted(r["doc_id"] for r in good) == sorted(r["doc_id"] for r in identified if model.score(pa.array([r["text"]]))[0] >= 0.7)
+    texts = {r["doc_id"]: r["text"] for r in good}
+    groups = brute_groups(texts, Fraction(8, 10))
+    assert sorted(r["doc_id"] for r in once) == sorted(set(groups.values())) and len(once) < len(good)
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in once}
+    times = Counter(r["doc_id"] for r in mixed)
+    assert set(times) <= set(size) and max(times.values()) <= 2
+    by, taken = Counter(), Counter()
+    for r in once:
+        by[r["source"]] += size[r["doc_id"]]
+        taken[r["source"]] += size[r["doc_id"]] * times[r["doc_id"]]
+    for source, target in brute_targets(by).items():
+        assert abs(taken[source] - target) <= max(0.02 * target, max(size[r["doc_id"]] for r in once if r["source"] == source) / 2)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert sorted((r["doc_id"], r["ids"]) for r in ids) == sorted((r["doc_id"], sp.encode(r["text"])) for r in mixed)
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, empty, long and repeated texts, names of the operators' own columns, and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    names = ["_rows", "key", "doc", "size", "cluster", "_at", "_text", "comp", "n"]
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(None, plain.first()["text"], None, None), (3, None, "en", "web"), (4, "", None, None), (5, " \t ", "de", None), (6, "word " * 50_000, None, None), (7, plain.first()["text"], "en", "web"), (7, plain.first()["text"], "en", "web")]
+    extra = spark.createDataFrame([(*r, None) for r in odd], plain.schema)
+    docs = plain.union(extra).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for rows, tag in ((docs, "some"), (docs.limit(0), "none")):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            after = stored(spark, rows, stage, sf, tmp_path / f"{tag}{k}")
+            assert after.columns == rows.columns if k < 4 else "ids" in after.columns
+            if k < 3:
+                assert after.exceptAll(rows).count() == 0
+            rows = after
+        assert (rows.count() > 100) == (tag == "some")
 
 
 def test_run(spark):
@@ -34,11 +89,11 @@ def test_run(spark):
 
 
 def brute_groups(texts, least):
-    """The smallest id of each id's group, by comparing all pairs of sets of five words; texts have five words at least."""
+    """The smallest id of each id's group, by comparing all pairs of sets of five words; shorter texts are one."""
     sets = {}
     for d, t in texts.items():
-        w = t.lower().split()
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
     up = {d: d for d in sets}
 
     def root(x):
