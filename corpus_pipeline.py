@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. The first four return the columns of
 documents; the last returns the token ids. Models are learnt anew from the stage's own rows; labels come from sf_dir.
+
+Rows with nulls, empty and repeated texts, empty tables and further columns of any name pass through as each stage's operator says: a text that is
+null or has no letter goes at the first stage, rows with null ids are documents of their own until near-dedup, and further columns are kept up to encoding.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradloom.llm import langid, minhash, mixing, quality, spm
-from gradloom.llm._shared import held_out, shared_dir
+from gradloom.llm._shared import held_out, remove, shared_dir
 
 #: Documents of at least this Jaccard similarity on five-word shingles are near duplicates.
 SIMILARITY = 0.8
@@ -64,4 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
