@@ -16,8 +16,8 @@ ROUNDS = 60
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that it can reach.
 
-    Each round, a node's parent becomes the first of itself and its neighbours in an order by hash (aggregated before the
-    shuffle, so that a hub costs one row for each task). Edges then join parents, and only distinct edges between
+    Each round, a node points to the first of itself and its neighbours in an order by hash (aggregated before the
+    shuffle, so that a hub costs one row for each task), and its parent is what that node points to. Edges then join parents, and only distinct edges between
     different parents stay for the next round; so all rounds together handle little more than the first. At the end nodes
     follow their parents up. Nothing is collected. Each round's tables are written to the shared folder and removed at the end:
     tables, not checkpoints, because their known sizes keep later rounds' estimates small. No edges give no rows.
@@ -35,16 +35,19 @@ def components(edges: DataFrame) -> DataFrame:
             first = lambda c, turn=turn: F.min(F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id")))
             near = left.select("a", "b").union(left.select("b", "a")).groupBy("a").agg(first("b").alias("m"))
             own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("id"))
-            levels.append(stored(near.select(F.col("a").alias("node"), F.least(own, "m")["id"].alias("parent")), f"parents{turn}"))
+            near = near.select(F.col("a").alias("node"), F.least(own, "m")["id"].alias("next"))
+            above = near.select(F.col("node").alias("next"), F.col("next").alias("parent"))
+            levels.append(stored(near.join(above, "next").select("node", "parent"), f"parents{turn}"))
             up = lambda c, level=levels[-1]: level.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}"))
             moved = left.join(up("a"), "a").join(up("b"), "b").where(F.col("pa") != F.col("pb"))
             left = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"edges{turn}")
             if left.isEmpty():
                 break
         found = levels.pop().withColumnRenamed("parent", "root")
-        for k, level in enumerate(reversed(levels)):
+        for level in reversed(levels):
             above = found.select(F.col("node").alias("parent"), "root")
-            found = stored(level.join(above, "parent", "left").select("node", F.coalesce("root", "parent").alias("root")), f"roots{k}")
+            found = level.join(above, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+        found = stored(found, "roots")
         least = found.groupBy("root").agg(F.min("node").alias("least"))
         return cut(found.join(least, "root").select("node", F.col("least").alias("root")))
     finally:

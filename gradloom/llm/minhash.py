@@ -316,13 +316,14 @@ def _compared(parts: list[DataFrame], by: Callable[[pa.Table, Limits], pa.Table]
 
 def _first_pass(members: DataFrame, large: DataFrame, least: Limits) -> DataFrame:
     """Pairs (a, b) that are likely links, a few for each of the members (doc, n, sig, prefix, cluster); large: (cluster, size, total) of those to cut."""
+    rows = members.count()
     members = members.withColumn("comp", F.col("doc"))
     small = members.join(large, "cluster", "left_anti")
     cut_up = members.join(large, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", _spread(0, "blocks"))
     columns = [*_MEMBER, F.col("left"), F.lit(True).alias("meet"), F.col("cluster").alias("g"), "i", F.lit(0).alias("j")]
     own = cut_up.withColumn("left", F.lit(True)).withColumn("i", F.col("own"))
     deputies = cut_up.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.col("size")) < DEPUTIES).withColumn("left", F.lit(False)).withColumn("i", _all("blocks")).where(F.col("i") != F.col("own"))
-    return _compared([_packed(small, small.count()), own.select(*columns), deputies.select(*columns)], _promising, least)
+    return _compared([_packed(small, rows), own.select(*columns), deputies.select(*columns)], _promising, least)
 
 
 def _second_pass(members: DataFrame, large: DataFrame, sets: DataFrame, least: Limits) -> DataFrame:
