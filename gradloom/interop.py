@@ -44,7 +44,13 @@ def export_json(model: BoostedModel) -> str:
     kind: dict[str, Any] = {"name": name}
     if classes:
         kind["softmax_multiclass_param"] = {"num_class": str(classes)}
-    elif name in ("binary:logistic", "reg:squarederror", "reg:logistic"):
+    elif name == "count:poisson":
+        kind["poisson_regression_param"] = {"max_delta_step": "0.7"}
+    elif name == "reg:tweedie":
+        kind["tweedie_regression_param"] = {"tweedie_variance_power": str(model.params.tweedie_variance_power)}
+    elif name == "reg:pseudohubererror":
+        kind["pseudo_huber_param"] = {"huber_slope": "1"}
+    else:
         kind["reg_loss_param"] = {"scale_pos_weight": str(model.params.scale_pos_weight)}
     return json.dumps({
         "learner": {

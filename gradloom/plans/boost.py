@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from gradloom.dataset import Dataset
 from gradloom.errors import DimensionMismatch, EmptyDataset, InvalidParameter
+from gradloom.folders import shared_dir
 from gradloom.functions import metrics as metric_functions
 from gradloom.functions import objectives
 from gradloom.functions.objectives import Objective
@@ -344,7 +345,7 @@ class SparkEngine:
         new = self._moved(old, changes)
         self.turns += 1
         if self.turns % STORE_EVERY == 0:
-            _ensure_checkpoint_dir(self.spark)
+            shared_dir(self.spark)
             new = new.checkpoint(eager=True)
         new = new.persist(StorageLevel.MEMORY_AND_DISK)
         new.count()
@@ -362,13 +363,6 @@ class SparkEngine:
         return out
 
 
-def _ensure_checkpoint_dir(spark) -> None:  # noqa: ANN001
-    import tempfile
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradloom-"))
-
-
 def _collected(batches: Iterator[pa.RecordBatch], n: int, outputs: int) -> list[dict]:
     table = pa.Table.from_batches(list(batches)).sort_by([("set", "ascending"), ("q", "ascending"), ("row", "ascending")])
     out = []

@@ -6,7 +6,6 @@ a margin, labels of several kinds and a weight) and LI (line items as features w
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from gradloom import dataset, interop, shap
 from gradloom.dataset import Dataset
+from gradloom.folders import shared_dir
 from gradloom.functions import gain, metrics, objectives, ranking
 from gradloom.model import BoostedModel, Linear, importance
 from gradloom.operators import binning, trees
@@ -142,8 +142,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that executors share; a temporary one only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/gradloom-{uuid.uuid4().hex}"
+    """A new path in the folder that executors share."""
+    return f"{shared_dir(spark)}/gradloom-{uuid.uuid4().hex}"
 
 
 _FILE_SQL = "SELECT count(*)::BIGINT AS n, round(sum((event_id % 3)::DOUBLE), 2) AS labels, round(sum(user_id::DOUBLE), 2) AS f0, count(nullif(event_id % 5, 0))::BIGINT AS present FROM events"
