@@ -7,9 +7,10 @@ whose border is so near that the closer side of a linked pair across it can be t
 No linked pair is missed: of two homes' centres a and b, (a - b)(x - y) is the sum of the two sides' gaps and at most |a - b| |x - y|, so the
 side of the smaller gap is within half of that and visits the other's home.
 
-Cells are cut into blocks of about `BLOCK` classes by hash; a task multiplies a block of a cell's residents with a block of its
-residents and visitors, in double precision. It gives each vector's count of links and one row to its local component's root,
-never the pairs. A pair that two cells see is counted in the home of its smaller key.
+Neighbouring cells form groups of about a block's residents, so that a vector is dealt to a group once, however many of its cells it visits;
+larger groups are cut into blocks by hash. A block has `VALUES` numbers or `BLOCK` classes at most, whichever is less. A task takes a block of a
+group's residents and a block of its residents and visitors and multiplies them cell by cell, `CHUNK` by `CHUNK`, in double precision.
+It gives each vector's count of links and one row to its local component's root, never the pairs. A pair that two cells see is counted in the home of its smaller key.
 
 Defined results: null vectors, empty and zero vectors and vectors with a null or non-finite component link with nothing.
 Vectors of different lengths don't link; lengths that the sample lacks have one cell. Rows with equal ids are rows of their own that share a component;
@@ -24,13 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradloom.llm._shared import cut, unit
 from gradloom.llm.components import components
 
 SAMPLE = 8192
 CELLS = 4096
-BLOCK = 1024
+BLOCK = 16384
+VALUES = 1 << 21
+CHUNK = 1024
 LEAST = 0.9
 
 
@@ -72,11 +76,9 @@ def _unit_rows(a: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _local_roots(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Component labels of the rows and columns of a boolean matrix of links; unlinked ones have a label of their own."""
-    n, m = near.shape
+def _local_roots(r: np.ndarray, c: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels of n rows and m columns that r and c link; unlinked ones have a label of their own."""
     rows, cols = np.arange(n), np.arange(n, n + m)
-    r, c = np.nonzero(near)
     while True:
         new_c = cols.copy()
         np.minimum.at(new_c, c, rows[r])
@@ -87,38 +89,61 @@ def _local_roots(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = new_r, new_c
 
 
+def _group_cells(c: np.ndarray, groups: int) -> np.ndarray:
+    """Which group each centre is in: neighbours share one."""
+    return np.unique((c @ spherical_kmeans(c, groups).T).argmax(1), return_inverse=True)[1]
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    """A column of equally long bit fields as a boolean matrix."""
+    return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1), axis=1).astype(bool)
+
+
 def _block(least: float):  # noqa: ANN202
     kind = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("key", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        live = group.filter(group["resident"])
-        meet = group.filter(pa.compute.invert(group["resident"]))
+        live = group.filter(group["resident"]).sort_by([("home", "ascending"), ("key", "ascending")]).combine_chunks()
+        meet = group.filter(pa.compute.invert(group["resident"])).sort_by([("home", "ascending"), ("key", "ascending")]).combine_chunks()
         if not len(live) or not len(meet):
             return kind.empty_table()
-        x, y = _unit_rows(live["x"].combine_chunks()), _unit_rows(meet["x"].combine_chunks())
-        near = x @ y.T >= least
-        xk, yk = live["key"].to_numpy(), meet["key"].to_numpy()
-        near &= xk[:, None] != yk[None]
-        cell = live["cell"][0].as_py()
-        visits = meet["home"].to_numpy() != cell
-        xw, yw = live["rows"].to_numpy(), meet["rows"].to_numpy()
-        count = near.copy()
-        r, c = np.nonzero(near[:, visits])
-        if len(r):  # a pair with a visitor whose home the resident visits too is counted in the home of the smaller key
-            cells, homes, at = live["cells"].to_pylist(), meet["home"].to_numpy(), np.flatnonzero(visits)
-            for i, j in zip(r, at[c], strict=True):
-                if xk[i] > yk[j] and homes[j] in cells[i]:
-                    count[i, j] = False
-        left = (count * yw[None]).sum(1)
-        right = (count[:, visits] * xw[:, None]).sum(0)
-        rows, cols = _local_roots(near)
-        node = np.concatenate([live["id"].to_numpy(), meet["id"].to_numpy()])
-        root = node[np.concatenate([rows, cols])]
-        links = np.concatenate([left, np.zeros(len(yk), np.int64)])
-        links[len(xk) + np.flatnonzero(visits)] = right
-        keys = np.concatenate([xk, yk])
-        some = (links > 0) | (root != node)
-        return pa.table([node[some], root[some], links[some].astype(np.int64), keys[some]], schema=kind)
+        one = lambda t, name: t[name].combine_chunks()
+        x, y = _unit_rows(one(live, "x")), _unit_rows(one(meet, "x"))
+        (xk, xid, xw, xh), (yk, yid, yw, yh) = ([t[name].to_numpy() for name in ("key", "id", "rows", "home")] for t in (live, meet))
+        xin, yin = _bits(one(live, "cells")), _bits(one(meet, "cells"))
+        left, right = np.zeros(len(xk), np.int64), np.zeros(len(yk), np.int64)
+        edges = []
+        starts = np.append(np.flatnonzero(np.diff(xh, prepend=-1)), len(xh))
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            cell = xh[s]
+            guests = np.flatnonzero(yin[:, cell])
+            for i in range(s, e, CHUNK):
+                own = slice(i, min(i + CHUNK, e))
+                for j in range(0, len(guests), CHUNK):
+                    at = guests[j : j + CHUNK]
+                    near = x[own] @ y[at].T >= least
+                    near &= xk[own, None] != yk[None, at]
+                    r, c = np.nonzero(near)
+                    if not len(r):
+                        continue
+                    rows, cols = _local_roots(r, c, len(near), len(at))
+                    node = np.concatenate([xid[own], yid[at]])
+                    root = node[np.concatenate([rows, cols])]
+                    edges.append(np.stack([node, root], 1)[node != root])
+                    r, c = r + i, at[c]
+                    # a pair with a visitor whose home the resident visits too is counted in the home of the smaller key
+                    use = (yh[c] == cell) | (xk[r] < yk[c]) | ~xin[r, yh[c]]
+                    r, c = r[use], c[use]
+                    left += np.bincount(r, yw[c], len(left)).astype(np.int64)
+                    visiting = yh[c] != cell
+                    right += np.bincount(c[visiting], xw[r[visiting]], len(right)).astype(np.int64)
+        pairs = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+        # rows with links have no root, rows with a root have no links
+        a, b = np.flatnonzero(left), np.flatnonzero(right)
+        none = np.zeros(len(pairs), np.int64)
+        node, links, key = (np.concatenate(v) for v in ((xid[a], yid[b], pairs[:, 0]), (left[a], right[b], none), (xk[a], yk[b], none)))
+        root = np.concatenate([xid[a], yid[b], pairs[:, 1]])
+        return pa.table([node, root, links, key], schema=kind)
 
     return run
 
@@ -126,7 +151,8 @@ def _block(least: float):  # noqa: ANN202
 def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", least: float = LEAST) -> DataFrame:
     """(key, n_links, component_id, kept) for each row of vectors."""
     spark = vectors.sparkSession
-    x = F.col(column).cast("array<double>")
+    # floats are dealt as they are: each task makes doubles of them
+    x = F.col(column) if isinstance(vectors.schema[column].dataType.elementType, T.FloatType) else F.col(column).cast("array<double>")
     sound = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False)) & F.col(key).isNotNull()
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.when(sound, x).alias("x")).withColumn("key", F.when(F.col("x").isNotNull(), F.xxhash64("x")))
     whole = rows.where(F.col("x").isNotNull())
@@ -134,12 +160,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     total = classes.count()
     lengths = {r["n"]: r["count"] for r in classes.groupBy(F.size("x").alias("n")).count().collect()}
     picked = classes.where(unit("key", 8) < min(1.0, SAMPLE / max(1, total))).select("key", "x").toArrow().sort_by("key")
-    centres: dict[int, np.ndarray] = {}
+    centres: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     sizes = pa.compute.list_value_length(picked["x"]).to_numpy() if len(picked) else np.zeros(0, int)
     for n in np.unique(sizes):
         own = picked.filter(pa.array(sizes == n))["x"].combine_chunks()
-        k = int(np.clip(np.sqrt(lengths[int(n)]) / 2, 1, CELLS))
-        centres[int(n)] = spherical_kmeans(_unit_rows(own), k)
+        count = lengths[int(n)]
+        c = spherical_kmeans(_unit_rows(own), int(np.clip(np.sqrt(count) / 2, 1, CELLS)))
+        centres[int(n)] = c, _group_cells(c, int(np.clip(np.ceil(count / min(BLOCK, max(CHUNK, VALUES / n))), 1, len(c))))
     held = spark.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,29 +174,35 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
             sizes = pa.compute.list_value_length(batch.column(3)).to_numpy()
             for n in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == n))
-                if (c := held.value.get(int(n))) is None:
-                    home, member = np.zeros(part.num_rows, np.int64), np.ones((part.num_rows, 1), bool)
+                if (found := held.value.get(int(n))) is None:
+                    home, member, group = np.zeros(part.num_rows, np.int64), np.ones((part.num_rows, 1), bool), np.zeros(1, np.int64)
                 else:
-                    home, member = cells_of(_unit_rows(part.column(3)), c, least)
-                off = np.append(0, np.cumsum(member.sum(1))).astype(np.int32)
-                names = [*batch.schema.names, "length", "home", "cells"]
-                cells = pa.ListArray.from_arrays(pa.array(off), pa.array(np.nonzero(member)[1].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, n, np.int32)), pa.array(home.astype(np.int32)), cells], names)
-
-    placed = cut(classes.mapInArrow(assign, "key long, id long, rows long, x array<double>, length int, home int, cells array<int>"))
-    # The number of cells is bounded, and so is this table of the blocks that they are cut into.
-    cell_sizes = placed.select("length", F.explode("cells").alias("cell"), "home").groupBy("length", "cell").agg(F.sum((F.col("cell") == F.col("home")).cast("long")).alias("live"), F.count("*").alias("all"))
-    cut_into = cell_sizes.where(F.col("live") > 0).select("length", "cell", *[F.ceil(F.col(n) / BLOCK).cast("int").alias(f"{n}_blocks") for n in ("live", "all")])
-    member = placed.withColumn("cell", F.explode("cells")).join(F.broadcast(cut_into), ["length", "cell"])
+                    home, member = cells_of(_unit_rows(part.column(3)), found[0], least)
+                    group = found[1]
+                seen = member @ (group[:, None] == np.arange(group.max() + 1))
+                off = np.append(0, np.cumsum(seen.sum(1))).astype(np.int32)
+                names = [*batch.schema.names, "length", "home", "cells", "own", "groups"]
+                groups = pa.ListArray.from_arrays(pa.array(off), pa.array(np.nonzero(seen)[1].astype(np.int32)))
+                cells = pa.array([v.tobytes() for v in np.packbits(member, axis=1)], pa.binary())
+                more = [pa.array(np.full(part.num_rows, n, np.int32)), pa.array(home.astype(np.int32)), cells, pa.array(group[home].astype(np.int32)), groups]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names)
+
+    kind = f"key long, id long, rows long, x {classes.schema['x'].dataType.simpleString()}, length int, home int, cells binary, own int, groups array<int>"
+    placed = cut(classes.mapInArrow(assign, kind))
+    # The number of groups is bounded, and so is this table of the blocks that they are cut into.
+    group_sizes = placed.select("length", F.explode("groups").alias("group"), "own").groupBy("length", "group").agg(F.sum((F.col("group") == F.col("own")).cast("long")).alias("live"), F.count("*").alias("all"))
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(CHUNK), VALUES / F.col("length")))
+    cut_into = group_sizes.where(F.col("live") > 0).select("length", "group", *[F.ceil(F.col(n) / block).cast("int").alias(f"{n}_blocks") for n in ("live", "all")])
+    member = placed.withColumn("group", F.explode("groups")).join(F.broadcast(cut_into), ["length", "group"])
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
-    live = member.where(F.col("cell") == F.col("home")).withColumn("i", part("live_blocks", 1)).withColumn("j", spread("all_blocks"))
+    live = member.where(F.col("group") == F.col("own")).withColumn("i", part("live_blocks", 1)).withColumn("j", spread("all_blocks"))
     meet = member.withColumn("j", part("all_blocks", 2)).withColumn("i", spread("live_blocks"))
-    columns = ["length", "cell", "i", "j", "key", "id", "rows", "x", "home", "cells"]
+    columns = ["length", "group", "i", "j", "key", "id", "rows", "x", "home", "cells"]
     dealt = live.select(*columns, F.lit(True).alias("resident")).union(meet.select(*columns, F.lit(False).alias("resident")))
-    found = cut(dealt.groupBy("length", "cell", "i", "j").applyInArrow(_block(least), "node long, root long, links long, key long"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_shared_ids(whole, classes)))
-    counts = found.groupBy("key").agg(F.sum("links").alias("links"))
+    found = cut(dealt.groupBy("length", "group", "i", "j").applyInArrow(_block(least), "node long, root long, links long, key long"))
+    roots = components(found.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")).union(_shared_ids(whole, classes)))
+    counts = found.where(F.col("links") > 0).groupBy("key").agg(F.sum("links").alias("links"))
     c = classes.select("key", "id", "rows")
     c = c.join(counts, "key", "left").join(roots, c["id"] == roots["node"], "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     linked = whole.select("id", "key").join(c, "key").select("id", "n_links", "component_id")

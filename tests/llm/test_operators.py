@@ -374,6 +374,24 @@ def test_short_vectors_by_brute_force(spark):
     assert [n for _, n in sorted((r["vec_id"], r["n_links"]) for r in got)] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
 
 
+@pytest.mark.parametrize("length", [5, 24])
+def test_groups_and_blocks_change_nothing(spark, monkeypatch, length):
+    rng = np.random.default_rng(length)
+    x = rng.normal(size=(2500, length)).astype(np.float32)
+    x[1200:2000] = x[:800] + rng.normal(size=(800, length)).astype(np.float32) * 0.25
+    x[2000:2300] = x[7] + rng.normal(size=(300, length)).astype(np.float32) * 0.1
+    x[2300:2340] = x[9]
+    monkeypatch.setattr(embed_dedup, "BLOCK", 300)
+    got = embed_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    root = np.arange(len(x))
+    while (new := np.where(near, root[None], len(x)).min(1)).tolist() != root.tolist():
+        root = new
+    want = [(i, int(n) - 1, int(r), i == r) for i, (n, r) in enumerate(zip(near.sum(1), root, strict=True))]
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_recall_on_the_table(spark):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     got = embed_dedup.near_vectors(spark.read.parquet(path)).agg(F.sum("n_links")).collect()[0][0]
