@@ -32,9 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         left = stored(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         levels: list[DataFrame] = []
         for turn in range(ROUNDS):
-            first = lambda c, turn=turn: F.min(F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id")))
+            # a text isn't part of generated code, as a number would be: all rounds share one compilation
+            first = lambda c, turn=turn: F.min(F.struct(F.xxhash64(c, F.lit(f"{turn}")).alias("h"), F.col(c).alias("id")))
             near = left.select("a", "b").union(left.select("b", "a")).groupBy("a").agg(first("b").alias("m"))
-            own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("id"))
+            own = F.struct(F.xxhash64("a", F.lit(f"{turn}")).alias("h"), F.col("a").alias("id"))
             near = near.select(F.col("a").alias("node"), F.least(own, "m")["id"].alias("next"))
             above = near.select(F.col("node").alias("next"), F.col("next").alias("parent"))
             levels.append(stored(near.join(above, "next").select("node", "parent"), f"parents{turn}"))
