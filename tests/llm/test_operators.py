@@ -175,6 +175,21 @@ def test_filters_lose_at_most_two_links_of_a_million(similarity):
     assert below(minhash.POSTED, least.shared) + below(minhash.COORDINATES, least.matches) <= Fraction(2, 10**6)
 
 
+@pytest.mark.parametrize("last", [0, 40, 1 << 13])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, last):
+    monkeypatch.setattr(components, "LAST", last)
+    rng = np.random.default_rng(3)
+    pairs = [*rng.integers(0, 400, (260, 2)).tolist(), *[[500, k] for k in range(501, 560)], [7, 7], [900, 901], [901, 900]]
+    root = {k: k for pair in pairs if pair[0] != pair[1] for k in pair}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted(root.items())
+    assert components.components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 50), (7, 7), (60, 61)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
