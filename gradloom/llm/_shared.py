@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of docs, whatever their names, in one: no name of theirs meets one of an operator's."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
+def map_whole(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """docs with `run` applied to its batches, which keep their columns; columns may have any names."""
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))

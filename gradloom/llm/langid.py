@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.llm import _text
-from gradloom.llm._shared import unit
+from gradloom.llm._shared import map_whole, unit
 
 DIMS = 1 << 13
 PER_LANGUAGE = 1000
@@ -253,4 +253,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
             names, scores = held.value.predict(batch.column(at))
             yield batch.filter(pa.array((np.array(names, object) != UND) & (scores >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole(docs, run)

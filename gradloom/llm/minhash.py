@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.llm import _text
-from gradloom.llm._shared import cut
+from gradloom.llm._shared import cut, whole
 from gradloom.llm.components import components
 
 WORDS = 5
@@ -399,29 +399,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.85) -> DataFrame:
     """One row of each component, all columns: of its smallest id, or of a null id where it has no other; of several such rows the one of the longest text.
 
-    Here rows with null ids link by their texts. Those without a set all stay.
+    Here rows with null ids link by their texts. Those without a set all stay. Columns may have any names.
     """
-    known, unknown = docs.where(F.col(key).isNotNull()), docs.where(F.col(key).isNull())
-    texts, own = known.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), None
+    # The columns of docs stay together in one, so that no name of theirs meets one of ours.
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), whole(docs).alias("row"))
+    known, unknown = rows.where(F.col("doc_id").isNotNull()), rows.where(F.col("doc_id").isNull())
+    texts, own = known.select("doc_id", "text"), None
     if unknown.limit(1).count():
-        some = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         # Equal texts of null ids are one row, with a number after all ids: rows of a partition and partitions in turn.
-        own = cut(unknown.where(some).dropDuplicates([text]).withColumn("_at", F.monotonically_increasing_id()))
+        own = cut(unknown.where(some).dropDuplicates(["text"]).withColumn("at", F.monotonically_increasing_id()))
         last = texts.agg(F.max("doc_id")).collect()[0][0] or 0
-        parts = own.agg(F.max(F.shiftright("_at", 33))).collect()[0][0] or 0
-        number = F.lit(last) + 1 + F.col("_at").bitwiseAND((1 << 33) - 1) * (parts + 1) + F.shiftright("_at", 33)
-        own = own.withColumn("_at", number)
-        least = own.agg(F.min("_at"), F.max("_at")).collect()[0]
+        parts = own.agg(F.max(F.shiftright("at", 33))).collect()[0][0] or 0
+        number = F.lit(last) + 1 + F.col("at").bitwiseAND((1 << 33) - 1) * (parts + 1) + F.shiftright("at", 33)
+        own = own.withColumn("at", number)
+        least = own.agg(F.min("at"), F.max("at")).collect()[0]
         if least[0] is not None and not last < least[0] <= least[1]:
             raise ValueError(f"no numbers are left after the id {last} for rows with null ids")
-        texts = texts.union(own.select(F.col("_at").alias("doc_id"), F.col(text).alias("text")))
+        texts = texts.union(own.select(F.col("at").alias("doc_id"), "text"))
     marks = cut(near_duplicates(texts, similarity=similarity))
-    gone = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    again = marks.where("kept").groupBy(F.col("doc_id").alias("_gone")).agg(F.count("*").alias("n")).where("n > 1").select("_gone")
-    once = known.join(gone.union(again), known[key] == F.col("_gone"), "left_anti")
-    several = known.join(again, known[key] == F.col("_gone"), "left_semi")
-    one = several.groupBy(key).agg(F.max_by(F.struct(*[several[c] for c in docs.columns]), F.struct(F.length(text), F.col(text))).alias("_row")).select("_row.*")
+    gone = marks.where(~F.col("kept")).select("doc_id").distinct()
+    again = marks.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = known.join(gone.union(again), "doc_id", "left_anti").select("row")
+    several = known.join(again, "doc_id", "left_semi")
+    one = several.groupBy("doc_id").agg(F.max_by("row", F.struct(F.length("text"), F.col("text"))).alias("row")).select("row")
     once = once.union(one)
-    if own is None:
-        return once
-    return once.union(own.join(gone, own["_at"] == gone["_gone"], "left_anti").select(*docs.columns)).union(unknown.where(~some))
+    if own is not None:
+        once = once.union(own.join(gone, own["at"] == gone["doc_id"], "left_anti").select("row")).union(unknown.where(~some).select("row"))
+    return once.select("row.*")

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradloom.llm._shared import cut
+from gradloom.llm._shared import cut, whole
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -178,7 +178,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     same = ["key", "source", "size"]
     per = mix(docs, key, text, source).select(F.col(key).alias("key"), F.col(source).alias("source"), "size", "copies").groupBy(*same).agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
     # The columns of docs stay together in one, so that no name of theirs meets one of ours.
-    d, p = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).alias("d"), per.alias("p")
+    d, p = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("hash"), whole(docs).alias("doc")).alias("d"), per.alias("p")
     each = d.join(p, F.col("d.key").eqNullSafe(F.col("p.key")) & F.col("d.source").eqNullSafe(F.col("p.source")) & F.col("d.size").eqNullSafe(F.col("p.size"))).select("d.*", "p.all", "p.rows")
     once = each.where("rows = 1").select("doc", F.col("all").alias("n"))
     place = F.row_number().over(Window.partitionBy(*same).orderBy("hash"))

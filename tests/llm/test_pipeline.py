@@ -69,7 +69,7 @@ def test_stages(spark, tmp_path):
 def test_stages_on_awkward_rows(spark, tmp_path):
     """Nulls in every column, empty, long and repeated texts, names of the operators' own columns, and no rows at all."""
     sf = "/root/testdata/sf0.001"
-    names = ["_rows", "key", "doc", "size", "cluster", "_at", "_text", "comp", "n"]
+    names = ["_rows", "key", "doc", "size", "cluster", "_at", "_text", "comp", "n", "_gone", "row", "id", "at", "a.b", "it's", "x y", "Upper", "`tick`", "hash", "all", "text.1", "kept"]
     plain = spark.read.parquet(f"{sf}/documents.parquet")
     odd = [(None, plain.first()["text"], None, None), (3, None, "en", "web"), (4, "", None, None), (5, " \t ", "de", None), (6, "word " * 50_000, None, None), (7, plain.first()["text"], "en", "web"), (7, plain.first()["text"], "en", "web")]
     extra = spark.createDataFrame([(*r, None) for r in odd], plain.schema)
