@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
         rate = F.when(F.col("label") == value, F.lit(min(1.0, bound / 2 / n))).otherwise(rate)
     chosen = rows.where(unit(key, seed) < rate).groupBy(key).agg(F.max("label").alias("label"))
     return docs.select(F.col(key), F.col(text).alias("text"), *(also or [])).join(F.broadcast(chosen), key)
+
+
+def ranked(rows: DataFrame, order: list[str | Column], groups: list[str] | None = None) -> DataFrame:
+    """rows with rank 1, 2, 3, ... in this order, in each group if there are any.
+
+    Ranges of (groups, order) are sorted each in a task and stored; a row's rank is its place in its range plus the group's rows in the ranges before. So neither all rows nor a group come
+    to one task: only a number for each range and group in it does.
+    """
+    groups = groups or []
+    columns = [*[F.col(g).asc() for g in groups], *order]
+    sorted_ = cut(rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_at", F.monotonically_increasing_id()))
+    placed = sorted_.withColumn("_range", F.shiftright("_at", 33))
+    per = placed.groupBy(*groups, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.withColumn("_before", F.coalesce(before, F.lit(0)))
+    r, p = placed.alias("r"), per.alias("p")
+    same = F.col("r._range") == F.col("p._range")
+    for g in groups:
+        same &= F.col(f"r.{g}").eqNullSafe(F.col(f"p.{g}"))
+    return r.join(p if groups else F.broadcast(p), same).select(*[f"r.{c}" for c in rows.columns], (F.col("p._before") + F.col("r._at") - F.col("p._first") + 1).alias("rank"))
