@@ -65,6 +65,50 @@ class Dataset:
         return self.frame.select(F.col(self.row_id).alias("row_id"), F.inline(cells)).where(F.col("value").isNotNull())
 
 
+@dataclass(frozen=True)
+class SparseDataset:
+    """frame has row_id, arrays of feature numbers (from 0) and of their values, and the named others. Cells that aren't there are missing; of a row's repeated ones the first counts.
+
+    No column is made for a feature, so there may be millions of them.
+    """
+
+    frame: DataFrame
+    n_features: int
+    indices: str = "indices"
+    values: str = "values"
+    row_id: str = "row_id"
+    label: str | None = None
+    weight: str | None = None
+    base_margin: str | None = None
+    qid: str | None = None
+    categorical: frozenset[int] = frozenset()
+
+    def __post_init__(self) -> None:
+        if self.n_features < 1:
+            raise EmptyDataset("no features")
+        for c in (self.row_id, self.indices, self.values, self.label, self.weight, self.base_margin, self.qid):
+            if c is not None and c not in self.frame.columns:
+                raise DimensionMismatch(f"there is no column {c}")
+        if any(not 0 <= f < self.n_features for f in self.categorical):
+            raise FeatureOutOfBounds("a categorical feature is beyond the last feature")
+
+    @property
+    def features(self) -> range:
+        return range(self.n_features)
+
+    def with_(self, **changes: object) -> SparseDataset:
+        return replace(self, **changes)
+
+    def select_rows(self, condition: Column) -> SparseDataset:
+        """The rows where condition holds, all columns kept."""
+        return replace(self, frame=self.frame.where(condition))
+
+    def long(self) -> DataFrame:
+        """(row_id, feature, value) of every present cell."""
+        cells = self.frame.select(F.col(self.row_id).alias("row_id"), F.inline(F.arrays_zip(F.col(self.indices).alias("feature"), F.col(self.values).cast("array<float>").alias("value"))))
+        return cells.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
 def from_long(cells: DataFrame, n_features: int, row: str = "row_id", feature: str = "feature", value: str = "value") -> DataFrame:
     """One row for each row_id with columns f0..f{n-1}; cells that aren't there are null."""
     picks = [F.max(F.when(F.col(feature) == k, F.col(value))).cast("float").alias(f"f{k}") for k in range(n_features)]

@@ -71,17 +71,40 @@ def numeric_splits(hist: DataFrame, totals: DataFrame, p: TrainingParams, low: C
     return _candidates(scan.where(F.col("bin") < F.col("last")), p, low, high, F.lit(0) if direction is None else direction)
 
 
-def exact_splits(stats: DataFrame, totals: DataFrame, p: TrainingParams) -> DataFrame:
-    """Candidates of stats (node, feature, value, g, h): a threshold halfway, in float, between neighbouring values of the node."""
-    order = Window.partitionBy("node", "feature").orderBy("value")
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("node", "feature")
-    scan = stats.select("node", "feature", "value", F.lead("value").over(order).alias("above"), F.sum("g").over(upto).alias("gl"), F.sum("h").over(upto).alias("hl"), F.sum("g").over(whole).alias("gp"), F.sum("h").over(whole).alias("hp"))
+#: Ranges that a feature's values are parted into for the exact method's running sums.
+RANGES = 64
+
+
+def value_stats(cells: DataFrame) -> DataFrame:
+    """(node, feature, value, g, h) from cells (node, feature, value, g, h), summed before the shuffle."""
+    return cells.groupBy("node", "feature", "value").agg(F.sum(F.col("g").cast("double")).alias("g"), F.sum(F.col("h").cast("double")).alias("h"))
+
+
+def exact_splits(stats: DataFrame, totals: DataFrame, p: TrainingParams, low: Column | None = None, high: Column | None = None, direction: Column | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """Candidates of stats (node, feature, value, g, h): a threshold halfway, in float, between neighbouring values of the node.
+
+    With ranges (feature, bounds), running sums go in two levels, within the ranges of a feature's values and over them, so that no task sorts all values of a feature.
+    """
+    if ranges is None:
+        placed = stats.withColumn("range", F.lit(0))
+    else:
+        within = F.size(F.filter(F.coalesce("bounds", F.array().cast("array<float>")), lambda b: b < F.col("value")))
+        placed = stats.join(F.broadcast(ranges), "feature", "left").withColumn("range", within).drop("bounds")
+    # one row for each node, feature and range: the sums before it, and the least value after it
+    by = Window.partitionBy("node", "feature").orderBy("range")
+    before, whole = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("node", "feature")
+    per = placed.groupBy("node", "feature", "range").agg(F.sum("g").alias("rg"), F.sum("h").alias("rh"), F.min("value").alias("least"))
+    per = per.select("node", "feature", "range", F.coalesce(F.sum("rg").over(before), F.lit(0.0)).alias("g0"), F.coalesce(F.sum("rh").over(before), F.lit(0.0)).alias("h0"), F.sum("rg").over(whole).alias("gp"), F.sum("rh").over(whole).alias("hp"), F.lead("least").over(by).alias("next"))
+    order = Window.partitionBy("node", "feature", "range").orderBy("value")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    scan = placed.select("node", "feature", "range", "value", F.lead("value").over(order).alias("above"), F.sum("g").over(upto).alias("gr"), F.sum("h").over(upto).alias("hr"))
+    scan = scan.join(per, ["node", "feature", "range"]).withColumn("above", F.coalesce("above", "next")).where(F.col("above").isNotNull())
     middle = ((F.col("value").cast("double") + F.col("above").cast("double")) / 2).cast("float")
-    scan = scan.where(F.col("above").isNotNull()).withColumn("threshold", middle).join(totals, "node")
-    return _candidates(scan.withColumn("gm", F.col("gt") - F.col("gp")).withColumn("hm", F.col("ht") - F.col("hp")), p, None, None, F.lit(0))
+    scan = scan.select("node", "feature", "value", "above", (F.col("g0") + F.col("gr")).alias("gl"), (F.col("h0") + F.col("hr")).alias("hl"), "gp", "hp", middle.alias("threshold")).join(totals, "node")
+    return _candidates(scan.withColumn("gm", F.col("gt") - F.col("gp")).withColumn("hm", F.col("ht") - F.col("hp")), p, low, high, F.lit(0) if direction is None else direction)
 
 
-def categorical_splits(hist: DataFrame, totals: DataFrame, p: TrainingParams) -> DataFrame:
+def categorical_splits(hist: DataFrame, totals: DataFrame, p: TrainingParams, low: Column | None = None, high: Column | None = None) -> DataFrame:
     """Candidates of hist (node, feature, bin, g, h): left is a prefix of the categories by g / (h + lambda), ties by category; missing goes right."""
     ratio = F.col("g") / (F.col("h") + p.reg_lambda)
     order = Window.partitionBy("node", "feature").orderBy("ratio", "bin")
@@ -89,7 +112,7 @@ def categorical_splits(hist: DataFrame, totals: DataFrame, p: TrainingParams) ->
     live = hist.where(F.col("h") > 0).withColumn("ratio", ratio)
     scan = live.select("node", "feature", F.row_number().over(order).alias("place"), F.count("*").over(whole).alias("all"), F.sum("g").over(upto).alias("gl"), F.sum("h").over(upto).alias("hl"), F.array_sort(F.collect_list("bin").over(upto)).alias("left_set"))
     scan = scan.where(F.col("place") < F.col("all")).join(totals, "node")
-    return _candidates(scan.withColumn("gm", F.lit(0.0)).withColumn("hm", F.lit(0.0)), p, None, None, F.lit(0))
+    return _candidates(scan.withColumn("gm", F.lit(0.0)).withColumn("hm", F.lit(0.0)), p, low, high, F.lit(0))
 
 
 def best_splits(candidates: DataFrame, p: TrainingParams, at: str = "bin") -> DataFrame:
@@ -103,13 +126,17 @@ def goes_left(value: Column, threshold: Column | float, default_left: Column | b
     """Numeric routing: below the threshold, missing by default."""
     d = default_left if isinstance(default_left, Column) else F.lit(default_left)
     t = threshold if isinstance(threshold, Column) else F.lit(threshold).cast("float")
-    return F.when(value.isNull(), d).otherwise(value < t)
+    return F.when(_missing(value), d).otherwise(value < t)
 
 
 def in_set(value: Column, categories: list[int], default_left: bool = False) -> Column:
     """Categorical routing: the value cut to a whole number, not under 0, is in the set; unseen ones go right."""
     whole = F.greatest(value.cast("double").cast("long"), F.lit(0))
-    return F.when(value.isNull(), F.lit(default_left)).otherwise(whole.isin([int(c) for c in categories]))
+    return F.when(_missing(value), F.lit(default_left)).otherwise(whole.isin([int(c) for c in categories]))
+
+
+def _missing(value: Column) -> Column:
+    return value.isNull() | F.isnan(value)
 
 
 def _low(row: Column) -> Column:
@@ -117,11 +144,16 @@ def _low(row: Column) -> Column:
     return F.pmod(row, F.lit(1 << 31))
 
 
-def keeps_row(row: Column, ratio: float, seed: int, turn: int) -> Column:
-    """Bernoulli sampling by a hash of the row, the same in every partitioning: multiplicative, so that other engines compute it too."""
+def row_hash(row: Column, seed: int, turn: int) -> Column:
+    """A number under 2**32, the same in every partitioning: multiplicative, so that other engines compute it too."""
+    return F.pmod(_low(row) * 2654435761 + (seed * 40503 + turn * 9973 + 12345), F.lit(1 << 32))
+
+
+def keeps_row(row: Column, ratio: float, seed: int, turn: int, limit: int | None = None) -> Column:
+    """Bernoulli sampling by row_hash; limit: keep what is under it instead."""
     if ratio >= 1:
         return F.lit(True)
-    return F.pmod(_low(row) * 2654435761 + (seed * 40503 + turn * 9973 + 12345), F.lit(1 << 32)) < int(ratio * (1 << 32))
+    return row_hash(row, seed, turn) < (int(ratio * (1 << 32)) if limit is None else limit)
 
 
 def fold_of(row: Column, folds: int, seed: int = 0) -> Column:

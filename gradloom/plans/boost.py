@@ -1,9 +1,8 @@
-"""Boosting: rounds of trees over a table too large for one task, or inside one task where it fits.
+"""Boosting: rounds of trees over a stored table of rows, or inside one task where a small table fits.
 
-Both run the same loop (gradients, dropout, growth, shrinkage, evaluation, early stopping) over an engine that holds the rows.
-`SparkEngine` keeps the binned rows and their margins in a stored DataFrame. One job for each tree level sums the histograms of the level's lighter siblings:
-tasks walk the half-grown tree, add up their rows in numpy, and Spark sums the parts by bin; the driver sees histograms only.
-`TaskEngine` holds arrays; the whole run is then one task, chosen if the table is under `TASK_BYTES`.
+All backends run the same loop (gradients, dropout, growth, shrinkage, evaluation, early stopping) over an engine that holds the rows.
+`SparkEngine` keeps the binned rows and their margins in a stored DataFrame; a backend of `plans.backends` searches the splits of a level of all trees of the round in a job, the driver
+sees candidates only. `TaskEngine` holds arrays; the whole run is then one task.
 """
 
 from __future__ import annotations
@@ -16,26 +15,28 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradloom.dataset import Dataset
-from gradloom.errors import DimensionMismatch, EmptyDataset, InvalidParameter
+from gradloom.dataset import Dataset, SparseDataset
+from gradloom.errors import DimensionMismatch, EmptyDataset, FeatureOutOfBounds, InvalidParameter
 from gradloom.folders import shared_dir
 from gradloom.functions import metrics as metric_functions
 from gradloom.functions import objectives
 from gradloom.functions.objectives import Objective
 from gradloom.functions.ranking import lambda_gradients
 from gradloom.model import BoostedModel
-from gradloom.operators import binning
+from gradloom.operators import binning, trees
 from gradloom.params import TrainingParams
-from gradloom.plans.kernel import Columns, Cuts, Tree, grow, make_cuts, np_lambda, np_metric, partial_histogram
-
-#: Tables of at most so many bytes of features are trained in one task.
-TASK_BYTES = 256 << 20
-#: The exact method over several tasks takes at most so many distinct values in all features.
-EXACT_VALUES = 1 << 20
+from gradloom.plans import bins
+from gradloom.plans.backends import ArrowBackend, Backend, CatalystBackend
+from gradloom.plans.growth import Growth
+from gradloom.plans.kernel import MISSING, Columns, Cuts, Tree, grow, make_cuts, np_lambda, np_metric, partial_histogram
+
+BACKENDS = ("auto", "task", "arrow", "catalyst")
+#: Tables of at most so many bytes of features are trained in one task, if the backend is chosen by size.
+TASK_BYTES = 64 << 20
 #: Rounds after which margins are stored in the checkpoint folder, to end their lineage.
 STORE_EVERY = 8
 
@@ -51,12 +52,17 @@ class TrainResult:
         return spark.createDataFrame(self.history, "iteration int, dataset string, metric string, value double")
 
 
-def sampled(row: np.ndarray, ratio: float, seed: int, turn: int) -> np.ndarray:
+def hashed(row: np.ndarray, seed: int, turn: int) -> np.ndarray:
+    """operators.trees.row_hash for arrays."""
+    v = (row.astype(np.uint64) & np.uint64(0x7FFFFFFF)) * np.uint64(2654435761) + np.uint64(seed * 40503 + turn * 9973 + 12345)
+    return v & np.uint64(0xFFFFFFFF)
+
+
+def sampled(row: np.ndarray, ratio: float, seed: int, turn: int, limit: int | None = None) -> np.ndarray:
     """operators.trees.keeps_row for arrays."""
     if ratio >= 1:
         return np.ones(len(row), bool)
-    v = (row.astype(np.uint64) & np.uint64(0x7FFFFFFF)) * np.uint64(2654435761) + np.uint64(seed * 40503 + turn * 9973 + 12345)
-    return (v & np.uint64(0xFFFFFFFF)) < np.uint64(int(ratio * (1 << 32)))
+    return hashed(row, seed, turn) < np.uint64(int(ratio * (1 << 32)) if limit is None else limit)
 
 
 class TaskEngine:
@@ -75,12 +81,12 @@ class TaskEngine:
     def _leaf(self, s: dict, tree: Tree) -> np.ndarray:
         return np.array(tree.value)[tree.leaves(s["x"])] if self.p.method == "approx" else np.array(tree.value)[tree.advance(np.zeros(len(s["y"]), np.int64), s["b"])]
 
-    def start(self, turn: int, dropped: list[tuple[Tree, int, float]]) -> None:
+    def start(self, turn: int, dropped: list[tuple[Tree, int, float, int]]) -> None:
         s = self.sets[0]
         m = s["m"]
         if dropped:
             m = m.copy()
-            for tree, k, w in dropped:
+            for tree, k, w, _ in dropped:
                 m[:, k] -= w * self._leaf(s, tree)
         if self.o.rank:
             g, h = np_lambda(self.o.rank, m[:, 0], s["y"], s["w"], s["q"], s["row"], self.p.max_pairs, self.p.seed)
@@ -89,10 +95,14 @@ class TaskEngine:
         self.g, self.h = g.reshape(len(m), -1), h.reshape(len(m), -1)
         self.grown: dict[int, dict[int, np.ndarray] | None] = {}
         self.live = sampled(s["row"], self.p.subsample, self.p.seed, turn)
-        if not self.live.any():
-            self.live[:1] = True
+        if not self.live.any():  # an empty sample keeps the rows of the smallest hash
+            h = hashed(s["row"], self.p.seed, turn)
+            self.live = h == h.min()
 
-    def grow(self, columns: Columns, k: int) -> Tree:
+    def grow(self, columns: list[Columns]) -> list[Tree]:
+        return [self._grow(c, k) for k, c in enumerate(columns)]
+
+    def _grow(self, columns: Columns, k: int) -> Tree:
         s = self.sets[0]
         g, h = self.g[:, k], self.h[:, k]
         cuts, bins = self.cuts, s.get("b")
@@ -117,9 +127,9 @@ class TaskEngine:
         self.grown[id(tree)] = parts if self.live.all() and self.p.method != "approx" else None
         return tree
 
-    def add(self, changes: list[tuple[Tree, int, float]]) -> None:
+    def add(self, changes: list[tuple[Tree, int, float, int]]) -> None:
         for s in self.sets:
-            for tree, k, w in changes:
+            for tree, k, w, _ in changes:
                 parts = self.grown.get(id(tree)) if s is self.sets[0] else None
                 if parts is None:
                     s["m"][:, k] += w * self._leaf(s, tree)
@@ -138,31 +148,29 @@ class TaskEngine:
 
 def rounds_of(p: TrainingParams, objective: Objective, engine, rounds: int, names: list[str], maximize: list[bool], evals: list[str], patience: int | None, n_features: int):  # noqa: ANN001, ANN201
     """The boosting loop: (trees, weights, best iteration, history)."""
-    trees: list[Tree] = []
+    grown: list[Tree] = []
     weights: list[float] = []
     history: list[tuple[int, str, str, float]] = []
     best, best_at, stopped = None, 0, None
     for turn in range(rounds):
         dropped: list[int] = []
-        if p.booster == "dart" and trees:
+        if p.booster == "dart" and grown:
             rng = random.Random(repr((p.seed, turn, "drop")))
             if not (p.skip_drop > 0 and rng.random() < p.skip_drop):
-                dropped = [t for t in range(len(trees)) if rng.random() < p.rate_drop] or [rng.randrange(len(trees))]
+                dropped = [t for t in range(len(grown)) if rng.random() < p.rate_drop] or [rng.randrange(len(grown))]
         out = objective.outputs
-        engine.start(turn, [(trees[t], t % out, weights[t]) for t in dropped])
-        new = []
-        for k in range(out):
-            tree = engine.grow(Columns(p, n_features, turn, k), k)
+        engine.start(turn, [(grown[t], t % out, weights[t], t) for t in dropped])
+        new = engine.grow([Columns(p, n_features, turn, k) for k in range(out)])
+        for tree in new:
             tree.value = [v * p.eta for v in tree.value]
-            new.append(tree)
         share = 1.0 / (len(dropped) + 1)
         changes = []
         for t in dropped:
-            changes.append((trees[t], t % out, weights[t] * (len(dropped) * share - 1)))
+            changes.append((grown[t], t % out, weights[t] * (len(dropped) * share - 1), t))
             weights[t] *= len(dropped) * share
-        changes += [(tree, k, share if p.booster == "dart" else 1.0) for k, tree in enumerate(new)]
+        changes += [(tree, k, share if p.booster == "dart" else 1.0, len(grown) + k) for k, tree in enumerate(new)]
         engine.add(changes)
-        trees += new
+        grown += new
         weights += [share if p.booster == "dart" else 1.0] * out
         if evals:
             for e, values in zip(evals, engine.evaluate(names), strict=True):
@@ -174,7 +182,7 @@ def rounds_of(p: TrainingParams, objective: Objective, engine, rounds: int, name
                 elif turn - best_at >= patience:
                     stopped = best_at
                     break
-    return trees, weights, stopped, history
+    return grown, weights, stopped, history
 
 
 def _prepared(p: TrainingParams, sets: list[Dataset], outputs: int) -> DataFrame:
@@ -183,13 +191,16 @@ def _prepared(p: TrainingParams, sets: list[Dataset], outputs: int) -> DataFrame
     for i, d in enumerate(sets):
         if d.label is None:
             raise InvalidParameter("training and evaluation need labels")
-        if len(d.features) != len(sets[0].features):
+        if len(d.features) != len(sets[0].features) or isinstance(d, SparseDataset) != isinstance(sets[0], SparseDataset):
             raise DimensionMismatch("all datasets must have the same features")
         w = F.lit(1.0) if d.weight is None else F.coalesce(F.col(d.weight).cast("double"), F.lit(1.0))
         base = F.lit(None) if d.base_margin is None else F.col(d.base_margin) if isinstance(d.frame.schema[d.base_margin].dataType, T.ArrayType) else F.when(F.col(d.base_margin).isNotNull(), F.array(d.base_margin))
         q = F.lit(0) if d.qid is None else F.col(d.qid)
-        x = F.array(*[F.when(~F.isnan(F.col(f)), F.col(f)).cast("float") for f in d.features])
-        one = d.frame.select(F.lit(i).alias("set"), F.col(d.row_id).cast("long").alias("row"), F.col(d.label).cast("double").alias("y"), w.alias("w"), base.cast("array<double>").alias("base"), q.cast("long").alias("q"), x.alias("x"))
+        if isinstance(d, SparseDataset):
+            x = [F.col(d.indices).cast("array<int>").alias("f"), F.col(d.values).cast("array<float>").alias("v")]
+        else:
+            x = [F.array(*[F.when(~F.isnan(F.col(f)), F.col(f)).cast("float") for f in d.features]).alias("x")]
+        one = d.frame.select(F.lit(i).alias("set"), F.col(d.row_id).cast("long").alias("row"), F.col(d.label).cast("double").alias("y"), w.alias("w"), base.cast("array<double>").alias("base"), q.cast("long").alias("q"), *x)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -209,139 +220,275 @@ def _base(lists: pa.Array, outputs: int) -> np.ndarray | None:
 
 
 class SparkEngine:
-    """Rows as a stored DataFrame (set, row, y, w, q, x, b, m); m is the array of margins."""
+    """Rows as a stored DataFrame (set, row, y, w, q, m, the features, l): m is the array of margins, l (dart only) each row's leaf in every tree so far, so that dropping trees is a lookup.
 
-    def __init__(self, p: TrainingParams, objective: Objective, base_score: float, frame: DataFrame, n_features: int, categorical: frozenset[int], names: list, n_sets: int) -> None:
+    The features are packed bins (b), for sparse data arrays of features and bins (f, v), for the approximate method raw values (b), and for Catalyst's backend an array (x) of bins, or for the exact method of values.
+    """
+
+    def __init__(self, p: TrainingParams, objective: Objective, base_score: float, frame: DataFrame, n_features: int, categorical: frozenset[int], names: list, n_sets: int, backend: str = "arrow") -> None:
         self.p, self.o, self.n, self.categorical, self.n_sets, self.metrics = p, objective, n_features, categorical, n_sets, names
-        self.spark = frame.sparkSession
+        self.spark, self.sparse = frame.sparkSession, "f" in frame.columns
+        self.exact, self.approx = p.method == "exact", p.method == "approx"
+        self.catalyst = (backend == "catalyst" or self.exact) and not self.sparse
+        if self.exact and self.sparse:
+            raise InvalidParameter("sparse data is trained by histograms; use hist or approx")
+        self.backend: Backend = CatalystBackend(self) if self.catalyst else ArrowBackend(self)
         m = F.when(F.size("base") == objective.outputs, F.col("base")).when(F.size("base") == 1, F.array_repeat(F.col("base")[0], objective.outputs))
         frame = frame.withColumn("m", F.coalesce(m, F.array_repeat(F.lit(base_score), objective.outputs))).drop("base")
+        if p.booster == "dart":
+            frame = frame.withColumn("l", F.array().cast("array<int>"))
+        if self.sparse:
+            frame = self._sparse_cells(frame)
+        if objective.rank:  # rows of one id are told apart by what they hold
+            frame = frame.withColumn("place", F.row_number().over(Window.partitionBy("set", "q").orderBy("row", "y", "w")))
         self.cuts = None
-        if p.method != "approx":
-            cells = self._cells(frame.where("set = 0"))
-            self.cuts = self._cut(cells, None)
-        self.frame = self._binned(frame, self.cuts).persist(StorageLevel.MEMORY_AND_DISK)
-        self.turns = 0
+        if self.exact:
+            self.cuts = Cuts([np.zeros(1, np.float32)] * n_features, categorical, True)
+            self.ranges = self._value_ranges(frame)
+        elif not self.approx:
+            self.cuts = self._cut(self._cells(frame.where("set = 0")), None)
+            frame = self._binned(frame, self.cuts, "b")
+        elif not self.sparse and not self.catalyst:
+            frame = self._binned(frame, None, "b")
+        self.kind = self._kind(self.cuts)
+        # histograms are a task's sums, so as many tasks as there are cores, each over all its rows
+        self.frame = frame.coalesce(self.spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+        self.turns, self.limit = 0, None
+
+    def _kind(self, cuts: Cuts | None) -> str:
+        """The numbers of packed features."""
+        return "float32" if cuts is None else "int16" if cuts.sizes.max(initial=1) < 1 << 15 else "int32"
 
     def _cells(self, frame: DataFrame, *more: str) -> DataFrame:
+        if self.sparse:
+            return frame.select(F.inline(F.arrays_zip(F.col("f").alias("feature"), F.col("v").alias("value"))), *more)
         return frame.select(F.posexplode("x").alias("feature", "value"), *more).where(F.col("value").isNotNull())
 
+    def _sparse_cells(self, frame: DataFrame) -> DataFrame:
+        """f and v sorted by feature, without repeated features and NaN."""
+        names, n = frame.columns, self.n
+        f, v = names.index("f"), names.index("v")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                off, features = bins.flat(batch.column(f))
+                if len(features) and not (0 <= features.min() and features.max() < n):
+                    raise FeatureOutOfBounds("a cell's feature is beyond the last feature")
+                off, features, values = bins.deduplicated(off, features, bins.flat(batch.column(v))[1].astype(np.float32), n)
+                own = {f: pa.array(features.astype(np.int32)), v: pa.array(values)}
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), own[i]) if i in own else c for i, c in enumerate(batch.columns)], names)
+
+        return frame.mapInArrow(run, frame.schema)
+
     def _cut(self, cells: DataFrame, hess: str | None) -> Cuts:
         counts = binning.value_counts(cells, hess)
         cat = sorted(self.categorical)
-        if self.p.method == "exact":
-            if counts.count() > EXACT_VALUES:
-                raise InvalidParameter(f"the exact method takes at most {EXACT_VALUES} distinct values; use hist or approx")
-            return Cuts(binning.collect_cuts(binning.categorical_cuts(counts), self.n), self.categorical, True)
         is_cat = F.col("feature").isin(cat) if cat else F.lit(False)
         cuts = binning.quantile_cuts(counts.where(~is_cat), self.p.max_bin, hess is not None)
         if cat:
             cuts = cuts.union(binning.categorical_cuts(counts.where(is_cat)))
         return Cuts(binning.collect_cuts(cuts, self.n), self.categorical)
 
-    def _binned(self, frame: DataFrame, cuts: Cuts | None) -> DataFrame:
-        """frame with b, the bins of x, or without cuts nulls."""
-        if cuts is None:
-            return frame.withColumn("b", F.lit(None).cast("array<int>"))
-        n, columns = self.n, [c for c in frame.columns if c != "b"]
-        schema = T.StructType([*frame.select(*columns).schema.fields, T.StructField("b", T.ArrayType(T.IntegerType()))])
-        at = columns.index("x")
+    def _value_ranges(self, frame: DataFrame) -> DataFrame:
+        """(feature, bounds) of ranges of about equally many distinct values, kept for all rounds, so that no task of the exact method sorts a whole feature."""
+        distinct = self._cells(frame.where("set = 0")).select("feature", "value").distinct()
+        grid = F.array(*[F.lit(i / trees.RANGES) for i in range(1, trees.RANGES)])
+        got = distinct.groupBy("feature").agg(F.percentile_approx("value", grid, F.lit(2000)).alias("bounds"))
+        return self.spark.createDataFrame(got.collect(), got.schema)
+
+    def _binned(self, frame: DataFrame, cuts: Cuts | None, to: str) -> DataFrame:
+        """frame with its features x packed into column `to`, as bins or without cuts as values; for sparse data v becomes bins; for Catalyst's backend x does."""
+        names, n, sparse, catalyst, kind = frame.columns, self.n, self.sparse, self.catalyst, self._kind(cuts)
+        own = "v" if sparse else "x"
+        x, f, name = names.index(own), names.index("f") if sparse else 0, own if sparse or catalyst else to
+        fields = [q for q in frame.schema.fields if q.name != own]
+        keep = [names.index(q.name) for q in fields]
+        out = T.ArrayType(T.IntegerType()) if sparse or catalyst else T.BinaryType()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                b = cuts.bins(_floats(batch.column(at), n))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * n), pa.array(b.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*columns, "b"])
-
-        return frame.select(*columns).mapInArrow(run, schema)
-
-    def start(self, turn: int, dropped: list[tuple[Tree, int, float]]) -> None:
-        self.turn, self.dropped = turn, dropped
-        self.given = None
+                if sparse:
+                    off, values = bins.flat(batch.column(x))
+                    new = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(bins.sparse_bins(bins.flat(batch.column(f))[1], values, cuts)))
+                else:
+                    rows = _floats(batch.column(x), n)
+                    rows = rows if cuts is None else cuts.bins(rows)
+                    if catalyst:
+                        new = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n), pa.array(rows.ravel().astype(np.int32), mask=rows.ravel() == MISSING))
+                    else:
+                        new = bins.packed(rows.astype(kind))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], new], [*[names[i] for i in keep], name])
+
+        return frame.mapInArrow(run, T.StructType([*fields, T.StructField(name, out)]))
+
+    # what backends ask for
+
+    def round_cuts(self, k: int = 0) -> Cuts:
+        return self.own_cuts if self.approx else self.cuts
+
+    def outputs_of(self, n: int) -> list[int]:
+        """The output of each of the growing trees."""
+        return self.growing
+
+    def source(self) -> DataFrame:
+        """The rows to learn from: features, row, y, w, m, l and, where they are stored, g and h."""
+        own = self.stored if self.stored is not None else self.frame.where("set = 0")
+        return own.select(*[c for c in ("f", "v", "b", "row", "y", "w", "m", "l", "g", "h") if c in own.columns])
+
+    def decoder(self, names: list[str] | None = None, raw: bool = False):  # noqa: ANN201
+        """From a batch to its features: bins, or raw values."""
+        names = names or self.source().columns
+        n, kind, sparse, catalyst, exact = self.n, self._kind(None if raw else self.round_cuts()), self.sparse, self.catalyst, self.exact
+        at = {c: names.index(c) for c in ("f", "v", "b", "x") if c in names}
+
+        def rows(batch: pa.RecordBatch) -> np.ndarray | bins.Sparse:
+            if sparse:
+                off, features = bins.flat(batch.column(at["f"]))
+                return bins.Sparse(off, features, bins.flat(batch.column(at["v"]))[1], n, np.nan if raw else MISSING)
+            if catalyst:
+                values = batch.column(at["x"]).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                return values.astype(np.float32) if exact or raw else np.nan_to_num(values, nan=MISSING).astype(np.int64)
+            return bins.unpacked(batch.column(at["b"]), np.dtype(kind), n)
+
+        return rows
+
+    def gradients(self):  # noqa: ANN201
+        """From a batch to the (g, h) of each output."""
+        names, o, dropped = self.source().columns, self.o, self.dropped
+        at = {c: names.index(c) for c in names}
+
+        def of(batch: pa.RecordBatch, _: object):  # noqa: ANN202
+            number = lambda c: batch.column(at[c]).to_numpy(zero_copy_only=False).astype(float)
+            if "g" in at:
+                g, h = number("g")[:, None], number("h")[:, None]
+                return lambda k: (g[:, 0], h[:, 0])
+            y, w = number("y"), number("w")
+            m = _margins(batch.column(at["m"]), o.outputs)
+            if dropped:
+                leaf = bins.flat(batch.column(at["l"]))[1].reshape(len(y), -1)
+                for tree, k, weight, t in dropped:
+                    m[:, k] -= weight * np.array(tree.value)[leaf[:, t]]
+            g, h = o.np_gradient(m if o.outputs > 1 else m[:, 0], y, w)
+            g, h = g.reshape(len(y), -1), h.reshape(len(y), -1)
+            return lambda k: (g[:, k], h[:, k])
+
+        return of
+
+    def sampler(self):  # noqa: ANN201
+        """From a batch to which of its rows are in the round's sample."""
+        p, turn, limit, at = self.p, self.turn, self.limit, self.source().columns.index("row")
+        return lambda batch: sampled(batch.column(at).to_numpy(zero_copy_only=False), p.subsample, p.seed, turn, limit)
+
+    def frame_of(self, k: int) -> DataFrame:
+        """For Catalyst's backend: (x, g, h) of the rows in the round's sample."""
+        own = self.stored if self.stored is not None else self.frame.where("set = 0")
+        own = self._graded(own, self.growing[k])
+        return own.where(trees.keeps_row(F.col("row"), self.p.subsample, self.p.seed, self.turn, self.limit)).select("x", F.col("g").cast("double").alias("g"), F.col("h").cast("double").alias("h"))
+
+    # a round
+
+    def start(self, turn: int, dropped: list[tuple[Tree, int, float, int]]) -> None:
+        self.turn, self.dropped, self.limit, self.stored = turn, dropped, None, None
         if self.o.rank:  # pairs within queries need joins: their gradients are stored once for the round
-            rows = self._moved(self.frame.where("set = 0"), [(t, k, -w) for t, k, w in dropped]).select("q", "row", F.col("m")[0].alias("margin"), "y", "w")
-            g = lambda_gradients(rows, self.o.rank, "q", "row", "margin", "y", "w", max_pairs=self.p.max_pairs or None, seed=self.p.seed)
-            self.given = self.frame.where("set = 0").join(g, "row").persist(StorageLevel.MEMORY_AND_DISK)
+            own = self.frame.where("set = 0")
+            rows = self._moved(own, [(t, k, -w, at) for t, k, w, at in dropped]).select(F.struct("q", "place").alias("at"), "q", F.col("m")[0].alias("margin"), "y", "w")
+            g = lambda_gradients(rows, self.o.rank, "q", "at", "margin", "y", "w", max_pairs=self.p.max_pairs or None, seed=self.p.seed)
+            g = g.select(F.col("at.q").alias("q"), F.col("at.place").alias("place"), "g", "h")
+            self.stored = own.join(g, ["q", "place"]).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def grow(self, columns: list[Columns]) -> list[Tree]:
+        """A tree of each output, all grown in the same jobs, except by the approximate method, whose cuts are each tree's own."""
+        if not self.approx:
+            return self._grow(columns, list(range(len(columns))))
+        out = []
+        for k, c in enumerate(columns):
+            given = self.stored
+            own = self._graded(given if given is not None else self.frame.where("set = 0"), k)
+            self.own_cuts = self._cut(self._approx_cells(own), "h")
+            self.stored = self._approx_binned(own).persist(StorageLevel.MEMORY_AND_DISK)
+            out += self._grow([c], [k])
+            self.stored.unpersist()
+            self.stored = given
+        return out
 
-    def grow(self, columns: Columns, k: int) -> Tree:
-        source, cuts = (self.frame.where("set = 0") if self.given is None else self.given), self.cuts
-        if cuts is None:
-            source = self._graded(source, k)
-            cuts = self._cut(self._cells(source, "h"), "h")
-            source = self._binned(source, cuts).persist(StorageLevel.MEMORY_AND_DISK)
-        held = source
-        graded = "g" in source.columns
-        cols = ["b", "row", "y", "w", "m", *(["g", "h"] if graded else [])]
-        n, o, p, turn, dropped, sizes = self.n, self.o, self.p, self.turn, self.dropped, cuts.sizes
-        width = int(sizes.sum()) + 1
+    def _approx_cells(self, frame: DataFrame) -> DataFrame:
+        return self._cells(self._unpacked(frame), "h")
 
-        def histograms(tree: Tree, nodes: list[int]) -> np.ndarray:
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                slot = np.full(len(tree), -1)
-                slot[nodes] = np.arange(len(nodes))
-                total = np.zeros((len(nodes), 3, width))
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    b = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-                    row, y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-                    if graded:
-                        g, h = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (5, 6))
-                    else:
-                        m = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1).copy()
-                        for t, j, wt in dropped:
-                            m[:, j] -= wt * np.array(t.value)[t.advance(np.zeros(len(y), np.int64), b)]
-                        g, h = o.np_gradient(m if o.outputs > 1 else m[:, 0], y, w)
-                        g, h = g.reshape(len(y), -1)[:, k], h.reshape(len(y), -1)[:, k]
-                    at = np.where(sampled(row, p.subsample, p.seed, turn), slot[tree.advance(np.zeros(len(y), np.int64), b)], -1)
-                    live = np.flatnonzero(at >= 0)
-                    total += partial_histogram(b, live, at[live], g, h, len(nodes), sizes)
-                flat = total.transpose(0, 2, 1).reshape(-1, 3)
-                at = np.flatnonzero(flat[:, 2])
-                yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(flat[at, c]) for c in range(3)]], ["at", "g", "h", "n"])
-
-            parts = held.select(*cols).mapInArrow(run, "at long, g double, h double, n double")
-            got = parts.groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
-            out = np.zeros((len(nodes) * width, 3))
-            for c, name in enumerate(("g", "h", "n")):
-                out[got["at"].to_numpy(), c] = got[name].to_numpy()
-            return np.ascontiguousarray(out.reshape(len(nodes), width, 3).transpose(0, 2, 1))
-
-        tree = grow(p, cuts, columns, histograms)
-        if held is not source or self.cuts is None:
-            held.unpersist()
-        return tree
+    def _unpacked(self, frame: DataFrame) -> DataFrame:
+        """frame with x, the array of values, in place of their packed form."""
+        if self.sparse or self.catalyst:
+            return frame
+        names, rows, n = frame.columns, self.decoder(frame.columns, raw=True), self.n
+        at = names.index("b")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.ascontiguousarray(rows(batch)).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n), pa.array(x, mask=np.isnan(x)))
+                yield pa.RecordBatch.from_arrays([lists if i == at else c for i, c in enumerate(batch.columns)], ["x" if c == "b" else c for c in names])
+
+        return frame.mapInArrow(run, T.StructType([T.StructField("x", T.ArrayType(T.FloatType())) if q.name == "b" else q for q in frame.schema.fields]))
+
+    def _approx_binned(self, frame: DataFrame) -> DataFrame:
+        return self._binned(self._unpacked(frame), self.own_cuts, "b")
+
+    def _grow(self, columns: list[Columns], outputs: list[int]) -> list[Tree]:
+        self.growing = outputs
+        growths = [Growth(self.p, c, self.n) for c in columns]
+        while any(g.asked for g in growths):
+            found = self.backend.best(growths)
+            if self.p.subsample < 1 and self.limit is None and any(root is not None and not root[2] for root, _ in found):
+                # an empty sample keeps the rows of the smallest hash
+                least = self.frame.where("set = 0").agg(F.min(trees.row_hash(F.col("row"), self.p.seed, self.turn))).collect()[0][0]
+                self.limit = least + 1
+                continue
+            for g, (root, splits) in zip(growths, found, strict=True):
+                if root is not None:
+                    g.start(root[0], root[1])
+                if g.asked:
+                    g.answer(splits)
+        return [g.tree() for g in growths]
 
     def _graded(self, frame: DataFrame, k: int) -> DataFrame:
         """frame with g and h of output k."""
         if "g" in frame.columns:
             return frame
-        moved = self._moved(frame, [(t, j, -w) for t, j, w in self.dropped])
+        moved = self._moved(frame, [(t, j, -w, at) for t, j, w, at in self.dropped])
         g, h = self.o.gradient(F.col("m") if self.o.outputs > 1 else F.col("m")[0], F.col("y"), F.col("w"))
         return moved.withColumn("g", g[k] if self.o.outputs > 1 else g).withColumn("h", h[k] if self.o.outputs > 1 else h)
 
-    def _moved(self, frame: DataFrame, changes: list[tuple[Tree, int, float]]) -> DataFrame:
-        """frame with the leaves of trees added to m."""
+    def _moved(self, frame: DataFrame, changes: list[tuple[Tree, int, float, int]]) -> DataFrame:
+        """frame with weighted leaves of trees added to m, and the leaves of new trees to l. A tree whose leaves are stored isn't walked."""
         if not changes:
             return frame
         names = frame.columns
-        x, b, m, n, outputs = names.index("x"), names.index("b"), names.index("m"), self.n, self.o.outputs
-        raw = self.cuts is None
+        m, outputs, raw = names.index("m"), self.o.outputs, self.approx or self.exact
+        rows_of, leaves_at = self.decoder(names, raw), names.index("l") if "l" in names else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = batch.column(m).flatten().to_numpy(zero_copy_only=False).reshape(-1, outputs).copy()
-                rows = _floats(batch.column(x), n) if raw else batch.column(b).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-                for tree, k, w in changes:
-                    leaf = tree.leaves(rows) if raw else tree.advance(np.zeros(len(rows), np.int64), rows)
-                    v[:, k] += w * np.array(tree.value)[leaf]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * outputs), pa.array(v.ravel()))
-                yield pa.RecordBatch.from_arrays([lists if i == m else c for i, c in enumerate(batch.columns)], names)
+                columns = list(batch.columns)
+                v = _margins(batch.column(m), outputs)
+                rows = None
+                leaf = None if leaves_at is None else bins.flat(batch.column(leaves_at))[1].reshape(len(v), -1) if len(v) else np.zeros((0, 0), np.int32)
+                for tree, k, w, t in changes:
+                    if leaf is not None and t < leaf.shape[1]:
+                        at = leaf[:, t]
+                    else:
+                        rows = rows_of(batch) if rows is None else rows
+                        at = tree.leaves(rows) if raw else tree.advance(np.zeros(len(v), np.int64), rows)
+                        if leaf is not None:
+                            leaf = np.concatenate([leaf, at[:, None].astype(np.int32)], 1)
+                    v[:, k] += w * np.array(tree.value)[at]
+                columns[m] = _lists(v)
+                if leaf is not None:
+                    columns[leaves_at] = _lists(leaf.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
         return frame.mapInArrow(run, frame.schema)
 
-    def add(self, changes: list[tuple[Tree, int, float]]) -> None:
-        old, given = self.frame, self.given
+    def add(self, changes: list[tuple[Tree, int, float, int]]) -> None:
+        old = self.frame
         new = self._moved(old, changes)
         self.turns += 1
         if self.turns % STORE_EVERY == 0:
@@ -351,8 +498,8 @@ class SparkEngine:
         new.count()
         self.frame = new
         old.unpersist()
-        if given is not None:
-            given.unpersist()
+        if self.stored is not None:
+            self.stored.unpersist()
 
     def evaluate(self, names: list[str]) -> list[list[float]]:
         out = []
@@ -363,8 +510,16 @@ class SparkEngine:
         return out
 
 
+def _margins(lists: pa.Array, outputs: int) -> np.ndarray:
+    return bins.flat(lists)[1].reshape(-1, outputs).copy()
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def _collected(batches: Iterator[pa.RecordBatch], n: int, outputs: int) -> list[dict]:
-    table = pa.Table.from_batches(list(batches)).sort_by([("set", "ascending"), ("q", "ascending"), ("row", "ascending")])
+    table = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("set", "q", "row", "y", "w")])
     out = []
     which = table["set"].to_numpy()
     for i in range(int(which.max()) + 1):
@@ -376,9 +531,14 @@ def _collected(batches: Iterator[pa.RecordBatch], n: int, outputs: int) -> list[
     return out
 
 
-def train(params: TrainingParams, data: Dataset, rounds: int, evals: list[tuple[str, Dataset]] | None = None, patience: int | None = None, objective: Objective | None = None, metric: metric_functions.Metric | None = None, task_bytes: int = TASK_BYTES) -> TrainResult:
-    """A model of `rounds` rounds; evals are scored after each, and training stops after `patience` rounds in which the last metric of the last one hasn't improved."""
+def train(params: TrainingParams, data: Dataset, rounds: int, evals: list[tuple[str, Dataset]] | None = None, patience: int | None = None, objective: Objective | None = None, metric: metric_functions.Metric | None = None, backend: str = "auto") -> TrainResult:
+    """A model of `rounds` rounds; evals are scored after each, and training stops after `patience` rounds in which the last metric of the last one hasn't improved.
+
+    backend: "arrow" and "catalyst" work over all executors; "task" trains a dense table in one task; "auto" is "task" up to TASK_BYTES of features, else "arrow". All give the same trees.
+    """
     p, evals = params, evals or []
+    if backend not in BACKENDS:
+        raise InvalidParameter(f"backend must be one of {BACKENDS}")
     o = objective or objectives.create(p)
     sets = [data, *[d for _, d in evals]]
     frame = _prepared(p, sets, o.outputs)
@@ -407,7 +567,10 @@ def train(params: TrainingParams, data: Dataset, rounds: int, evals: list[tuple[
     names = list(p.eval_metric) or [o.metric]
     found = [metric_functions.create(x) for x in names] if metric is None else [metric]
     names = names if metric is None else [metric.name]
-    small = s["rows"] * (n + 6) * 8 <= task_bytes and metric is None
+    dense = not isinstance(data, SparseDataset)
+    small = backend == "task" or (backend == "auto" and dense and s["rows"] * (n + 6) * 8 <= TASK_BYTES and metric is None)
+    if backend == "task" and (metric is not None or not dense):
+        raise InvalidParameter("a task trains dense tables with named metrics")
     args = (rounds, names, [m.maximize for m in found], [e for e, _ in evals], patience, n)
     categorical = data.categorical
     if small:
@@ -421,7 +584,7 @@ def train(params: TrainingParams, data: Dataset, rounds: int, evals: list[tuple[
         got = json.loads(frame.coalesce(1).mapInArrow(run, "out string").collect()[0][0])
         model.trees, model.weights, model.best_iteration = [Tree(**t) for t in got[0]], got[1], got[2]
         return TrainResult(model, [tuple(h) for h in got[3]])
-    engine = SparkEngine(p, o, base_score, frame, n, categorical, found, len(sets))
+    engine = SparkEngine(p, o, base_score, frame, n, categorical, found, len(sets), backend)
     model.trees, model.weights, model.best_iteration, history = rounds_of(p, o, engine, *args)
     engine.frame.unpersist()
     return TrainResult(model, history)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import heapq
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -204,6 +204,7 @@ class Searcher:
     """Finds nodes' best splits in their histograms."""
 
     def __init__(self, cuts: Cuts, p: TrainingParams) -> None:
+        """Parameters are for these cuts' features; with constraints on features elsewhere, weights are bounded here too."""
         self.cuts, self.p, self.n = cuts, p, len(cuts.cuts)
         self.base = np.append(0, np.cumsum(cuts.sizes))
         self.width = int(cuts.sizes.max())
@@ -216,6 +217,7 @@ class Searcher:
         self.inner = (np.arange(self.width)[None] < (cuts.sizes - 1)[:, None]) & self.numeric[:, None]
         c = list(p.monotone_constraints) + [0] * self.n
         self.direction = np.array(c[: self.n])
+        self.bounded = bool(self.direction.any())
 
     def best(self, hists: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[Split]:
         """The best split of each node: hists (nodes, 3, global bins + totals), features allowed (nodes, features), bounds of weights."""
@@ -223,53 +225,77 @@ class Searcher:
         parts = [slice(a, a + step) for a in range(0, len(hists), step)]
         return [x for at in parts for x in self._best(hists[at], features[at], low[at], high[at])]
 
+    def _numeric(self, hists: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray):  # noqa: ANN202
+        """(gain of each node's candidates: features, bins, ways; the split at one of them)."""
+        total = hists[:, :, -1]
+        cells = hists[:, :, :-1].reshape(len(hists), 3, self.n, self.width) if self.even else np.where(self.pad, 0.0, hists[:, :, self.index])
+        run = np.cumsum(cells, axis=3)
+        missing = total[:, :, None] - run[:, :, :, -1]  # (nodes, 3, features)
+        # where rows may lack a feature, they go right in the first way and left in the second
+        ways = 2 if (missing[:, 2] > 0).any() or (missing[:, 1] > 1e-6).any() else 1
+        left = [run[:, c, :, :, None] if ways == 1 else np.stack([run[:, c], run[:, c] + missing[:, c, :, None]], 3) for c in range(2)]
+        gl, hl = left
+        gt, ht = (total[:, c, None, None, None] for c in range(2))
+        gr, hr = gt - gl, ht - hl
+        ok = np.repeat((self.inner[None] & features[:, :, None])[..., None], ways, 3)
+        if self.cuts.exact:
+            ok &= ((cells[:, 2] > 0) & (run[:, 2] < run[:, 2, :, -1:]))[..., None]
+        elif ways == 2:
+            ok[..., 1] &= (missing[:, 1] > 1e-6)[..., None]
+        ok &= (hl >= self.p.min_child_weight) & (hr >= self.p.min_child_weight)
+        bounds = (b[:, None, None, None] for b in (low, high))
+        gain = np.where(ok, self._gain(gl, hl, gr, hr, gt, ht, *bounds, self.direction[None, :, None, None]), -np.inf)
+
+        def split(k: int, at: int) -> Split:
+            f, b, d = (int(v) for v in np.unravel_index(at, gain.shape[1:]))
+            return Split(float(gain[k, f, b, d]), f, b, self._threshold(f, b, cells[k, 2, f]), bool(d), None, None, (gl[k, f, b, d], hl[k, f, b, d]), (gr[k, f, b, d], hr[k, f, b, d]))
+
+        return gain, split
+
     def _best(self, hists: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[Split]:
-        nodes, total = len(hists), hists[:, :, -1]
-        found = [Split() for _ in range(nodes)]
+        found = [Split() for _ in hists]
         if (features & self.numeric).any():
-            cells = hists[:, :, :-1].reshape(nodes, 3, self.n, self.width) if self.even else np.where(self.pad, 0.0, hists[:, :, self.index])
-            run = np.cumsum(cells, axis=3)
-            missing = total[:, :, None] - run[:, :, :, -1]  # (nodes, 3, features)
-            # where rows may lack a feature, they go right in the first way and left in the second
-            ways = 2 if (missing[:, 2] > 0).any() or (missing[:, 1] > 1e-6).any() else 1
-            left = [run[:, c, :, :, None] if ways == 1 else np.stack([run[:, c], run[:, c] + missing[:, c, :, None]], 3) for c in range(2)]
-            gl, hl = left
-            gt, ht = (total[:, c, None, None, None] for c in range(2))
-            gr, hr = gt - gl, ht - hl
-            ok = np.repeat((self.inner[None] & features[:, :, None])[..., None], ways, 3)
-            if self.cuts.exact:
-                ok &= ((cells[:, 2] > 0) & (run[:, 2] < run[:, 2, :, -1:]))[..., None]
-            elif ways == 2:
-                ok[..., 1] &= (missing[:, 1] > 1e-6)[..., None]
-            ok &= (hl >= self.p.min_child_weight) & (hr >= self.p.min_child_weight)
-            bounds = (b[:, None, None, None] for b in (low, high))
-            gain = np.where(ok, self._gain(gl, hl, gr, hr, gt, ht, *bounds, self.direction[None, :, None, None]), -np.inf)
-            for k in range(nodes):
+            gain, split = self._numeric(hists, features, low, high)
+            for k in range(len(hists)):
                 if (at := _first_best(gain[k].ravel())) >= 0:
-                    f, b, d = (int(v) for v in np.unravel_index(at, gain.shape[1:]))
-                    found[k] = Split(float(gain[k, f, b, d]), f, b, self._threshold(f, b, cells[k, 2, f]), bool(d), None, None, (gl[k, f, b, d], hl[k, f, b, d]), (gr[k, f, b, d], hr[k, f, b, d]))
-        for k in range(nodes):
+                    found[k] = split(k, at)
+        for k in range(len(hists)):
             for f in np.flatnonzero(features[k] & ~self.numeric):
-                found[k] = self._by_category(hists[k], int(f), low[k], high[k], found[k])
+                found[k] = pick(self._by_category(hists[k], int(f), low[k], high[k]), found[k])
         return found
 
-    def _by_category(self, hist: np.ndarray, f: int, low: float, high: float, best: Split) -> Split:
-        """best, or a better split of categorical feature f."""
+    def records(self, hists: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[list[Split]]:
+        """For each node the candidates better than all before them, numeric ones first: whatever is best elsewhere, pick() can only take one of these."""
+        out: list[list[Split]] = [[] for _ in hists]
+        step = max(1, CELLS // (self.n * self.width))
+        for a in range(0, len(hists), step):
+            at = slice(a, a + step)
+            if (features[at] & self.numeric).any():
+                gain, split = self._numeric(hists[at], features[at], low[at], high[at])
+                for k in range(len(gain)):
+                    out[a + k] += [split(k, int(j)) for j in _records(gain[k].ravel())]
+        for k in range(len(hists)):
+            for f in np.flatnonzero(features[k] & ~self.numeric):
+                out[k] += self._by_category(hists[k], int(f), low[k], high[k])
+        return out
+
+    def _by_category(self, hist: np.ndarray, f: int, low: float, high: float) -> list[Split]:
+        """The candidates of categorical feature f that are better than those before them."""
         gt, ht = hist[0, -1], hist[1, -1]
         own = hist[:, self.base[f] : self.base[f + 1]]
         live = np.flatnonzero(own[2] > 0 if self.cuts.exact else own[1] > 0)
         if len(live) < 2:
-            return best
+            return []
         order = live[np.lexsort((live, own[0, live] / (own[1, live] + self.p.reg_lambda)))]
         gl, hl = np.cumsum(own[0, order])[:-1], np.cumsum(own[1, order])[:-1]
         gr, hr = gt - gl, ht - hl
         ok = (hl >= self.p.min_child_weight) & (hr >= self.p.min_child_weight)
         gain = np.where(ok, self._gain(gl, hl, gr, hr, gt, ht, low, high, np.zeros(len(gl))), -np.inf)
-        k = _first_best(gain, best.gain)
-        if k < 0:
-            return best
-        bins = sorted(int(b) for b in order[: k + 1])
-        return Split(float(gain[k]), f, 0, 0.0, False, [max(0, int(self.cuts.cuts[f][b])) for b in bins], bins, (gl[k], hl[k]), (gr[k], hr[k]))
+        out = []
+        for k in _records(gain):
+            bins = sorted(int(b) for b in order[: k + 1])
+            out.append(Split(float(gain[k]), f, 0, 0.0, False, [max(0, int(self.cuts.cuts[f][b])) for b in bins], bins, (gl[k], hl[k]), (gr[k], hr[k])))
+        return out
 
     def _threshold(self, f: int, b: int, counts: np.ndarray) -> float:
         c = self.cuts.cuts[f]
@@ -280,17 +306,30 @@ class Searcher:
 
     def _gain(self, gl, hl, gr, hr, gt, ht, low, high, direction):  # noqa: ANN001, ANN202
         p = self.p
-        if not self.direction.any() and not p.alpha and not p.max_delta_step and p.min_child_weight > 0:
+        if not self.bounded and not p.alpha and not p.max_delta_step and p.min_child_weight > 0:
             # children under min_child_weight are ruled out already
             with np.errstate(divide="ignore", invalid="ignore"):
                 return gl * gl / (hl + p.reg_lambda) + gr * gr / (hr + p.reg_lambda) - gt * gt / (ht + p.reg_lambda)
-        if not self.direction.any():
+        if not self.bounded:
             return np_score(gl, hl, p) + np_score(gr, hr, p) - np_score(gt, ht, p)
         wl, wr, wt = np_weight(gl, hl, p, low, high), np_weight(gr, hr, p, low, high), np_weight(gt, ht, p, low, high)
         gain = np_score_at(gl, hl, wl, p) + np_score_at(gr, hr, wr, p) - np_score_at(gt, ht, wt, p)
         return np.where(((direction > 0) & (wl > wr)) | ((direction < 0) & (wl < wr)), -np.inf, gain)
 
 
+def _records(gain: np.ndarray) -> np.ndarray:
+    """Where a gain is over 0 and over all before it."""
+    return np.flatnonzero(gain > np.maximum.accumulate(np.append(0.0, gain[:-1])))
+
+
+def pick(candidates: Iterable[Split], best: Split) -> Split:
+    """What is best after the candidates, each of which is taken if it gains EPS more than the one before."""
+    for c in candidates:
+        if c.gain > best.gain + EPS:
+            best = c
+    return best
+
+
 def _first_best(gain: np.ndarray, best: float = 0.0) -> int:
     """What a scan ends at that takes a candidate only if it gains EPS more than the one before; -1 if none."""
     top = np.maximum.accumulate(np.append(best, gain[:-1]))
@@ -371,8 +410,6 @@ def grow(p: TrainingParams, cuts: Cuts, columns: Columns, histograms: Callable[[
                 wl, wr = (float(np_weight(np.float64(g), np.float64(h), p, node.low, node.high)) for g, h in (s.left, s.right))
                 mid = (wl + wr) / 2
                 bounds = [(node.low, mid), (mid, node.high)] if way > 0 else [(mid, node.high), (node.low, mid)]
-            elif search.direction.any():
-                bounds = [(node.low, node.high)] * 2
             small_left = s.left[1] <= s.right[1]
             pairs.append((node, l, r, bounds, small_left))
             ask.append(l if small_left else r)

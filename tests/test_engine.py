@@ -47,7 +47,7 @@ def margins(model, d):
 def test_one_task_and_many_agree(data, more):
     p = TrainingParams(max_depth=2, **more)
     d = data.with_(label={"multi:softprob": "k", "rank:ndcg": "k"}.get(p.objective, "y"), qid="q" if p.objective[:4] == "rank" else None)
-    one, many = boost.train(p, d, 2), boost.train(p, d, 2, task_bytes=0)
+    one, many = boost.train(p, d, 2), boost.train(p, d, 2, backend="arrow")
     np.testing.assert_allclose(margins(one.model, d), margins(many.model, d), atol=1e-6)
 
 
@@ -57,11 +57,11 @@ def test_drawn_pairs_are_the_same_in_one_task_and_many(spark, kind, seed):
     pdf = pd.DataFrame({"row_id": range(360), "f0": rng.random(360).astype(np.float32), "f1": rng.random(360).astype(np.float32), "q": [0] * 300 + [1] * 60, "y": rng.integers(0, 4, 360).astype(float)})
     d = Dataset.of(spark.createDataFrame(pdf).repartition(3), ["f0", "f1"], "row_id", label="y", qid="q")
     p = TrainingParams(objective=kind, max_depth=2, seed=seed)
-    one, many = boost.train(p, d, 2), boost.train(p, d, 2, task_bytes=0)
+    one, many = boost.train(p, d, 2), boost.train(p, d, 2, backend="arrow")
     np.testing.assert_allclose(margins(one.model, d), margins(many.model, d), atol=1e-6)
     other = boost.train(p.with_(seed=seed + 1), d, 2)
     assert np.abs(margins(one.model, d) - margins(other.model, d)).max() > 1e-6
-    whole = [boost.train(p.with_(max_pairs=0), d, 2, task_bytes=b) for b in (0, 1 << 20)]
+    whole = [boost.train(p.with_(max_pairs=0), d, 2, backend=b) for b in ("arrow", "task")]
     np.testing.assert_allclose(margins(whole[0].model, d), margins(whole[1].model, d), atol=1e-6)
 
 
