@@ -11,8 +11,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets that a feature's values are parted into for running sums.
-BUCKETS = 128
+from gradloom.folders import shared_dir
+
+#: Buckets that a feature's values are parted into for running sums: a power of two.
+BUCKETS = 64
 
 
 def value_counts(cells: DataFrame, hess: str | None = None) -> DataFrame:
@@ -21,18 +23,23 @@ def value_counts(cells: DataFrame, hess: str | None = None) -> DataFrame:
     return cells.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"), h.alias("h"))
 
 
-def running(counts: DataFrame) -> DataFrame:
-    """counts with upto (rows up to and with the value), hupto, and the feature's distinct, total and htotal."""
-    grid = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = counts.groupBy("feature").agg(F.percentile_approx("value", F.array(*[F.lit(float(p)) for p in grid]), F.lit(2000)).alias("bounds"), F.count("*").alias("distinct"), F.sum("n").alias("total"), F.sum("h").alias("htotal"))
-    # Approximate quantiles may differ when computed again, and both uses below must agree: BUCKETS numbers for each feature go through the driver.
-    bounds = counts.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
-    placed = counts.join(bounds, "feature").withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("value"))))
+def bucket_of(rows: DataFrame, bounds: str = "bounds", value: str = "value") -> DataFrame:
+    """rows with bucket: how many of the BUCKETS - 1 ascending bounds are under the value, by halving."""
+    rows, step = rows.withColumn("bucket", F.lit(0)), BUCKETS // 2
+    while step:
+        rows = rows.withColumn("bucket", F.col("bucket") + F.when(F.get(bounds, F.col("bucket") + (step - 1)) < F.col(value), step).otherwise(0))
+        step //= 2
+    return rows
+
+
+def running(counts: DataFrame, bounds: DataFrame) -> DataFrame:
+    """counts with upto (rows up to and with the value), hupto, and the feature's total and htotal, for the features of bounds (feature, bounds, total, htotal)."""
+    placed = bucket_of(counts.join(F.broadcast(bounds), "feature")).drop("bounds")
     per = placed.groupBy("feature", "bucket").agg(F.sum("n").alias("bn"), F.sum("h").alias("bh"))
     earlier = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("feature", "bucket", F.coalesce(F.sum("bn").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("bh").over(earlier), F.lit(0.0)).alias("h0"))
     inside = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(per, ["feature", "bucket"]).select("feature", "value", "n", "h", (F.col("n0") + F.sum("n").over(inside)).alias("upto"), (F.col("h0") + F.sum("h").over(inside)).alias("hupto"), "distinct", "total", "htotal")
+    return placed.join(per, ["feature", "bucket"]).select("feature", "value", "n", "h", (F.col("n0") + F.sum("n").over(inside)).alias("upto"), (F.col("h0") + F.sum("h").over(inside)).alias("hupto"), "total", "htotal")
 
 
 def quantile_cuts(counts: DataFrame, max_bin: int, weighted: bool = False) -> DataFrame:
@@ -41,9 +48,19 @@ def quantile_cuts(counts: DataFrame, max_bin: int, weighted: bool = False) -> Da
     With at most max_bin distinct values each is a cut. Else cut b of 1 .. max_bin - 1 is the value that holds rank
     max(ceil(b / max_bin * n), 1); weighted by hessians, the first value whose running sum reaches b / max_bin of the total. The sentinel is the
     next number above the largest value where no cut lies above it.
+
+    counts is stored in the checkpoint folder, since it is read several times; only features of many values are summed up, and only their bounds (BUCKETS numbers for each) go through the driver:
+    approximate quantiles may differ when computed again, and two uses of them must agree.
     """
-    r = running(counts)
-    few = F.col("distinct") <= max_bin
+    spark = counts.sparkSession
+    shared_dir(spark)
+    counts = counts.checkpoint(eager=True)
+    sizes = counts.groupBy("feature").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"), F.sum("h").alias("htotal"), F.max("value").alias("top"))
+    grid = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    large = sizes.where(F.col("distinct") > max_bin).select("feature", "total", "htotal")
+    found = counts.join(large.select("feature"), "feature", "left_semi").groupBy("feature").agg(F.percentile_approx("value", grid, F.lit(20 * BUCKETS)).alias("bounds")).join(large, "feature")
+    bounds = spark.createDataFrame(found.collect(), found.schema)
+    r = running(counts, bounds)
     if weighted:
         by_rank = F.floor((F.col("upto")) * max_bin / F.col("total"))
         high = F.when(F.col("htotal") > 0, F.floor((F.col("hupto") + 1e-12) / F.col("htotal") * max_bin)).otherwise(by_rank)
@@ -53,9 +70,9 @@ def quantile_cuts(counts: DataFrame, max_bin: int, weighted: bool = False) -> Da
         high = F.floor(F.col("upto") * max_bin / F.col("total"))
         low = F.floor((F.col("upto") - F.col("n")) * max_bin / F.col("total"))
     takes = F.least(high, F.lit(max_bin - 1)) > low
-    cut = r.where(few | takes).select("feature", F.col("value").alias("cut"), F.lit(False).alias("sentinel"))
-    top = r.groupBy("feature").agg(F.max("value").alias("top"))
-    return cut.union(top.select("feature", next_up(F.col("top")).alias("cut"), F.lit(True).alias("sentinel")))
+    few = counts.join(F.broadcast(bounds.select("feature")), "feature", "left_anti").select("feature", "value")
+    cut = few.union(r.where(takes).select("feature", "value")).select("feature", F.col("value").alias("cut"), F.lit(False).alias("sentinel"))
+    return cut.union(sizes.select("feature", next_up(F.col("top")).alias("cut"), F.lit(True).alias("sentinel")))
 
 
 def next_up(v: Column) -> Column:
@@ -77,10 +94,12 @@ def categorical_cuts(counts: DataFrame) -> DataFrame:
 
 def collect_cuts(cuts: DataFrame, n_features: int) -> list[np.ndarray]:
     """Each feature's cuts, at most max_bin of them, on the driver; a feature without values has the cut 0."""
-    out: list[list[float]] = [[] for _ in range(n_features)]
-    for r in cuts.select("feature", "cut").distinct().collect():
-        out[r["feature"]].append(r["cut"])
-    return [np.unique(np.array(c, np.float32)) if c else np.zeros(1, np.float32) for c in out]
+    got = cuts.select("feature", "cut").toArrow()
+    feature, cut = got["feature"].to_numpy(), got["cut"].to_numpy().astype(np.float32)
+    order = np.lexsort((cut, feature))
+    feature, cut = feature[order], cut[order]
+    bounds = np.searchsorted(feature, np.arange(n_features + 1))
+    return [np.unique(cut[a:b]) if a < b else np.zeros(1, np.float32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def bin_of(value: Column, cuts: np.ndarray, categorical: bool = False) -> Column:

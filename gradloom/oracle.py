@@ -6,7 +6,7 @@ candidate and moves the rows. Thresholds among which no row of a node lies are o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from gradloom.operators.trees import allowed_features
@@ -21,15 +21,20 @@ def _score(g: str, h: str) -> str:
     return f"CASE WHEN {h} < 1 THEN 0e0 ELSE -(2e0 * ({g}) * ({w}) + ({h} + 1e0) * ({w}) * ({w})) END"
 
 
-def tree(name: str, src: str, g: str, h: str, features: Sequence[str], depth: int, monotone: Sequence[int] = (), groups: Sequence[Sequence[int]] = (), exact: bool = False, leaves: int = 0, known: str = "tr") -> list[str]:
+def tree(name: str, src: str, g: str, h: str, features: Sequence[str], depth: int, monotone: Sequence[int] = (), groups: Sequence[Sequence[int]] = (), exact: bool = False, leaves: int = 0, known: str = "tr", columns: Callable[[str], Sequence[int]] | None = None) -> list[str]:
     """Common table expressions, the last called name: src with lw, the weight of the leaf of a tree that is learnt from the rows with tr.
 
-    leaves: grow by largest gain, up to 3 of them. known: the rows whose values may be thresholds.
+    leaves: grow by largest gain, up to 3 of them. known: the rows whose values may be thresholds. columns: the features that may split a node, by its path.
     """
     n = len(features)
     way = list(monotone) + [0] * n
     used = [s for k in range(n + 1) for s in combinations(range(n), k)]
     allowed = " OR ".join(f"(used = {sum(1 << f for f in s)} AND feature IN ({', '.join(map(str, sorted(allowed_features(list(s), [list(x) for x in groups], n))))}))" for s in used if allowed_features(list(s), [list(x) for x in groups], n)) if groups else "true"
+    paths = {0: ""}
+    for node in range(2**depth - 1):
+        paths |= {2 * node + 1: paths[node] + "l", 2 * node + 2: paths[node] + "r"}
+    if columns:
+        allowed = " OR ".join(f"(node = {k} AND feature IN ({', '.join(map(str, columns(path)))}))" for k, path in paths.items() if len(path) < depth)
     value = f"CASE b.feature {' '.join(f'WHEN {k} THEN CAST(r.{x} AS DOUBLE)' for k, x in enumerate(features))} END"
     values = " UNION ".join(f"SELECT {f} AS feature, CAST({x} AS DOUBLE) AS v FROM {src} WHERE {known} AND {x} IS NOT NULL" for f, x in enumerate(features))
     out = [f"{name}_v AS MATERIALIZED ({values})"]
@@ -64,10 +69,10 @@ SQUARED = ("m - y", "1e0")
 LOGISTIC = ("1e0 / (1e0 + exp(-m)) - y", "greatest(1e0 / (1e0 + exp(-m)) * (1e0 - 1e0 / (1e0 + exp(-m))), 1e-16)")
 
 
-def rounds(prefix: str, src: str, features: Sequence[str], depth: int, turns: int, loss: tuple[str, str] = SQUARED, margin: str = "avg(y)", eta: str = "3e-1", sampled: str | None = None, **more: object) -> list[str]:
+def rounds(prefix: str, src: str, features: Sequence[str], depth: int, turns: int, loss: tuple[str, str] = SQUARED, margin: str = "avg(y)", eta: str = "3e-1", sampled: str | None = None, columns: Callable[[int, str], Sequence[int]] | None = None, **more: object) -> list[str]:
     """Common table expressions prefix_0 to prefix_turns: src (features, y, tr) with the margin m after each round; margin: the first, over the rows with tr.
 
-    sampled: which rows learn in a round, with {turn}.
+    sampled: which rows learn in a round, with {turn}. columns: the features that may split a node, by round and path.
     """
     out = [f"{prefix}_0 AS MATERIALIZED (SELECT s.*, (SELECT {margin} FROM {src} WHERE tr) AS m FROM {src} s)"]
     for t in range(turns):
@@ -75,6 +80,42 @@ def rounds(prefix: str, src: str, features: Sequence[str], depth: int, turns: in
         if sampled:
             out.append(f"{prefix}_{t}s AS MATERIALIZED (SELECT * EXCLUDE (tr), {sampled.format(turn=t)} AS tr FROM {own})")
             own = f"{prefix}_{t}s"
-        out += tree(f"{prefix}_{t}t", own, *loss, features, depth, **({"known": "true"} if sampled else {}), **more)
+        own_columns = {"columns": lambda path, t=t: columns(t, path)} if columns else {}
+        out += tree(f"{prefix}_{t}t", own, *loss, features, depth, **({"known": "true"} if sampled else {}), **own_columns, **more)
         out.append(f"{prefix}_{t + 1} AS MATERIALIZED (SELECT * EXCLUDE (m, lw), m + {eta} * lw AS m FROM {prefix}_{t}t)")
     return out
+
+
+def drawn(number: int, seed: int, turn: int, what: int, place: int = 0) -> int:
+    """The engine's draws for one output, in whole numbers."""
+    v = ((number + 1) * 2654435761 + seed * 40503 + turn * 9973 + what * 6007 + place * 104729 + 12345) % 2**32
+    for _ in range(2):
+        v = (v ^ v >> 16) * 73244475 % 2**32
+    return v ^ v >> 16
+
+
+def sampled_columns(n: int, seed: int, tree_share: float, node_share: float) -> Callable[[int, str], list[int]]:
+    """The features that column sampling by tree and by node leaves, by round and path."""
+
+    def of(turn: int, path: str) -> list[int]:
+        pool = list(range(n))
+        for what, share, place in ((0, tree_share, 0), (2, node_share, int("1" + path.replace("l", "0").replace("r", "1"), 2))):
+            if share < 1:
+                pool = sorted(sorted(pool, key=lambda f, w=what, q=place: drawn(f, seed, turn, w, q))[: max(1, round(share * len(pool)))])
+        return pool
+
+    return of
+
+
+def dart_rounds(src: str, features: Sequence[str], depth: int, turns: int, rate: float, skip: float, seed: int) -> list[str]:
+    """Common table expressions, the last r: src with m after rounds of dropout. Which trees are dropped, and so all weights, don't depend on the rows: only the trees do."""
+    out, weights = [f"b0 AS MATERIALIZED (SELECT s.*, (SELECT avg(y) FROM {src} WHERE tr) AS base FROM {src} s)"], []
+    for t in range(turns):
+        gone: list[int] = []
+        if t and drawn(0, seed, t, 3) >= skip * 2**32:
+            gone = [k for k in range(t) if drawn(k, seed, t, 4) < rate * 2**32] or [drawn(0, seed, t, 5) % t]
+        rest = "".join(f" + {weights[k]!r}::DOUBLE * 3e-1 * w{k}" for k in range(t) if k not in gone)
+        out += [f"i{t} AS MATERIALIZED (SELECT *, base{rest} AS m FROM b{t})", *tree(f"t{t}", f"i{t}", *SQUARED, features, depth)]
+        out.append(f"b{t + 1} AS MATERIALIZED (SELECT * EXCLUDE (m, lw), lw AS w{t} FROM t{t})")
+        weights = [w * len(gone) / (len(gone) + 1) if k in gone else w for k, w in enumerate(weights)] + [1 / (len(gone) + 1)]
+    return [*out, f"r AS (SELECT *, base{''.join(f' + {w!r}::DOUBLE * 3e-1 * w{k}' for k, w in enumerate(weights))} AS m FROM b{turns})"]

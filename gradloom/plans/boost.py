@@ -8,7 +8,6 @@ sees candidates only. `TaskEngine` holds arrays; the whole run is then one task.
 from __future__ import annotations
 
 import json
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,11 +31,11 @@ from gradloom.params import TrainingParams
 from gradloom.plans import bins
 from gradloom.plans.backends import ArrowBackend, Backend, CatalystBackend
 from gradloom.plans.growth import Growth
-from gradloom.plans.kernel import MISSING, Columns, Cuts, Tree, grow, make_cuts, np_lambda, np_metric, partial_histogram
+from gradloom.plans.kernel import MISSING, Columns, Cuts, Tree, dropped_trees, grow, make_cuts, np_lambda, np_metric, partial_histogram
 
 BACKENDS = ("auto", "task", "arrow", "catalyst")
 #: Tables of at most so many bytes of features are trained in one task, if the backend is chosen by size.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 #: Rounds after which margins are stored in the checkpoint folder, to end their lineage.
 STORE_EVERY = 8
 
@@ -153,11 +152,7 @@ def rounds_of(p: TrainingParams, objective: Objective, engine, rounds: int, name
     history: list[tuple[int, str, str, float]] = []
     best, best_at, stopped = None, 0, None
     for turn in range(rounds):
-        dropped: list[int] = []
-        if p.booster == "dart" and grown:
-            rng = random.Random(repr((p.seed, turn, "drop")))
-            if not (p.skip_drop > 0 and rng.random() < p.skip_drop):
-                dropped = [t for t in range(len(grown)) if rng.random() < p.rate_drop] or [rng.randrange(len(grown))]
+        dropped = dropped_trees(p, turn, len(grown)) if p.booster == "dart" else []
         out = objective.outputs
         engine.start(turn, [(grown[t], t % out, weights[t], t) for t in dropped])
         new = engine.grow([Columns(p, n_features, turn, k) for k in range(out)])

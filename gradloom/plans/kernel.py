@@ -6,7 +6,6 @@ The same code runs inside one task, over all rows of a small table, and on the d
 from __future__ import annotations
 
 import heapq
-import random
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -340,25 +339,45 @@ def _first_best(gain: np.ndarray, best: float = 0.0) -> int:
     return at
 
 
+def draw(numbers: np.ndarray | list[int], seed: int, turn: int, output: int = 0, what: int = 0, place: int = 0) -> np.ndarray:
+    """A hash under 2**32 of each number and the rest, in arithmetic that any engine has."""
+    v = (np.asarray(numbers, np.uint64) + np.uint64(1)) * np.uint64(2654435761)
+    v = (v + np.uint64((seed * 40503 + turn * 9973 + output * 7919 + what * 6007 + place * 104729 + 12345) & 0xFFFFFFFF)) & np.uint64(0xFFFFFFFF)
+    for _ in range(2):
+        v = ((v ^ (v >> np.uint64(16))) * np.uint64(73244475)) & np.uint64(0xFFFFFFFF)
+    return v ^ (v >> np.uint64(16))
+
+
+#: What draws are for.
+BY_TREE, BY_LEVEL, BY_NODE, SKIP, DROP, ONE = range(6)
+
+
+def dropped_trees(p: TrainingParams, turn: int, grown: int) -> list[int]:
+    """Which of the trees so far a round of dropout leaves out: none if it is skipped, else at least one."""
+    if not grown or draw([0], p.seed, turn, what=SKIP)[0] < p.skip_drop * (1 << 32):
+        return []
+    drops = draw(np.arange(grown), p.seed, turn, what=DROP) < p.rate_drop * (1 << 32)
+    return np.flatnonzero(drops).tolist() or [int(draw([0], p.seed, turn, what=ONE)[0]) % grown]
+
+
 class Columns:
-    """Column sampling that depends on the seed, round, output and a node's path alone."""
+    """Column sampling that depends on the seed, round, output and a node's path alone: those of the smallest draws."""
 
     def __init__(self, p: TrainingParams, n: int, turn: int, output: int) -> None:
-        self.p, self.n, self.key = p, n, (p.seed, turn, output)
-        self.pool = self._take(list(range(n)), p.colsample_bytree, "tree")
+        self.p, self.n, self.turn, self.output = p, n, turn, output
+        self.pool = self._take(np.arange(n), p.colsample_bytree, BY_TREE, 0)
 
-    def _take(self, pool: list[int], ratio: float, *key: object) -> list[int]:
+    def _take(self, pool: np.ndarray, ratio: float, what: int, place: int) -> np.ndarray:
         if ratio >= 1:
             return pool
         k = min(len(pool), max(1, round(ratio * len(pool))))
-        return sorted(random.Random(repr((self.key, key))).sample(pool, k))
+        return np.sort(pool[np.argsort(draw(pool, self.p.seed, self.turn, self.output, what, place), kind="stable")[:k]])
 
     def mask(self, path: str) -> np.ndarray:
-        pool = self._take(self.pool, self.p.colsample_bylevel, "level", len(path))
-        if self.p.method != "exact":
-            pool = self._take(pool, self.p.colsample_bynode, "node", path)
-        else:
-            pool = self._take(pool, self.p.colsample_bynode, "node", len(path))
+        """path: the sides taken from the root, as l and r."""
+        pool = self._take(self.pool, self.p.colsample_bylevel, BY_LEVEL, len(path))
+        node = int("1" + path.replace("l", "0").replace("r", "1"), 2) % (1 << 31)
+        pool = self._take(pool, self.p.colsample_bynode, BY_NODE, len(path) if self.p.method == "exact" else node)
         m = np.zeros(self.n, bool)
         m[pool] = True
         return m

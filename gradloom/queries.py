@@ -23,7 +23,7 @@ from gradloom.operators import binning, trees
 from gradloom.params import TrainingParams
 from gradloom.plans import boost, cv
 from gradloom.plans.kernel import Tree
-from gradloom.oracle import LOGISTIC, rounds, tree
+from gradloom.oracle import LOGISTIC, dart_rounds, rounds, sampled_columns, tree
 from gradloom.plans.linear import sums, sweep
 from gradloom.sources import files
 
@@ -524,10 +524,10 @@ _STUMP = (
 )
 
 
-def _stump(spark: SparkSession, sf: str, depth: int = 1, turns: int = 1, **more: object) -> tuple[BoostedModel, Dataset]:
+def _stump(spark: SparkSession, sf: str, depth: int = 1, turns: int = 1, backend: str = "arrow", **more: object) -> tuple[BoostedModel, Dataset]:
     frame = li(spark, sf).select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), "f0", "f1", "f2", "y")
     d = Dataset(frame, ("f0", "f1", "f2"), label="y")
-    return boost.train(TrainingParams(**({"max_depth": depth} | more)), d, turns).model, d
+    return boost.train(TrainingParams(**({"max_depth": depth} | more)), d, turns, backend=backend).model, d
 
 
 @query("boost_stump_round", f"{_STUMP} SELECT feature, round(nx::DOUBLE, 5) AS threshold, dl AS default_left, round(p, 4) AS prediction, count(*)::BIGINT AS n, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse FROM pred GROUP BY 1, 2, 3, 4")
@@ -544,7 +544,7 @@ def boost_stump_round(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     frame = li(spark, sf).select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), "f0", "f1", "f2", "y")
     d = Dataset(frame, ("f0", "f1", "f2"), label="y")
-    got = boost.train(TrainingParams(max_depth=3), d, 6, [("train", d)]).history_frame(spark)
+    got = boost.train(TrainingParams(max_depth=3), d, 6, [("train", d)], backend="arrow").history_frame(spark)
     step = got.withColumn("before", F.lag("value").over(Window.orderBy("iteration")))
     return step.agg(F.min(F.coalesce(F.col("value") <= F.col("before"), F.lit(True))).alias("falls"), F.count("*").alias("rounds"))
 
@@ -554,12 +554,12 @@ _LD = f"{LI}, d AS (SELECT f0, f1, f2, y, true AS tr FROM li)"
 _SUMMARY = "SELECT count(*)::BIGINT AS n, round(avg(m), 4) AS mean, round(sqrt(avg((m - y) * (m - y))), 4) AS rmse FROM {}"
 
 
-def _rounds_query(name: str, depth: int = 3, turns: int = 3, grown: dict | None = None, oracle: int | None = None, **params: object) -> None:
-    """A query of the predictions' summary after some rounds; grown: what the SQL's trees are told; oracle: its rounds, if not as many."""
+def _rounds_query(name: str, depth: int = 3, turns: int = 3, grown: dict | None = None, oracle: int | None = None, sql: list[str] | None = None, **params: object) -> None:
+    """A query of the predictions' summary after some rounds; grown: what the SQL's trees are told; oracle: its rounds, if not as many; sql: what makes r in their place."""
     own = turns if oracle is None else oracle
-    ctes = rounds("r", "d", ("f0", "f1", "f2"), depth, own, **(grown or {}))
+    ctes = sql or rounds("r", "d", ("f0", "f1", "f2"), depth, own, **(grown or {}))
 
-    @query(name, f"WITH {_LD}, {', '.join(ctes)} {_SUMMARY.format(f'r_{own}')}")
+    @query(name, f"WITH {_LD}, {', '.join(ctes)} {_SUMMARY.format('r' if sql else f'r_{own}')}")
     def _(spark: SparkSession, sf: str) -> DataFrame:
         model, d = _stump(spark, sf, depth, turns, **params)
         p, y = F.col("prediction"), F.col("y")
@@ -577,10 +577,12 @@ _rounds_query("boost_interaction", turns=2, interaction_constraints=((0, 2), (1,
 _rounds_query("boost_dart", depth=2, booster="dart", rate_drop=1.0, oracle=1)
 
 
-@query("boost_columns_sampled")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    model, d = _stump(spark, sf, 3, 5, subsample=0.7, colsample_bytree=0.7, colsample_bynode=0.7, seed=3)
-    return model.predict(d, ("row_id", "y")).agg(F.count("*").alias("n"), F.avg("prediction").alias("mean"), F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("y"), 2))).alias("rmse"))
+_rounds_query("boost_dart_half", depth=2, turns=5, booster="dart", rate_drop=0.5, skip_drop=0.3, seed=4, sql=dart_rounds("d", ("f0", "f1", "f2"), 2, 5, 0.5, 0.3, 4))
+_rounds_query("boost_columns_sampled", turns=4, colsample_bytree=0.7, colsample_bynode=0.5, seed=3, grown={"columns": sampled_columns(3, 3, 0.7, 0.5)})
+# The other backends over the same rows.
+_rounds_query("boost_catalyst_depth3", turns=2, backend="catalyst")
+_rounds_query("boost_catalyst_monotone", turns=1, monotone_constraints=(1, 1, -1), grown={"monotone": (1, 1, -1)}, backend="catalyst")
+_rounds_query("boost_task_depth3", backend="task")
 
 
 def _ev_data(spark: SparkSession, sf: str, label: str, *more: str) -> Dataset:
@@ -595,7 +597,7 @@ _KEEP = "(event_id * 2654435761 + (3 * 40503 + {turn} * 9973 + 12345)) % 4294967
 @query("boost_sampled", f"WITH {EV}, d AS (SELECT event_id, y, {_EX}, true AS tr FROM ev), {', '.join(rounds('r', 'd', ('f0', 'f1'), 2, 3, sampled=_KEEP, margin='avg(y)'))} SELECT event_id, round(m, 4) AS prediction FROM r_3")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     d = _ev_data(spark, sf, "y")
-    model = boost.train(TrainingParams(max_depth=2, subsample=0.7, seed=3, max_bin=1 << 11), d, 3).model
+    model = boost.train(TrainingParams(max_depth=2, subsample=0.7, seed=3, max_bin=1 << 11), d, 3, backend="arrow").model
     return model.predict(d, ("event_id",)).select("event_id", _r(F.col("prediction"), 4).alias("prediction"))
 
 
@@ -613,7 +615,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     d = _ev_data(spark, sf, "yb")
     fold = trees.fold_of(F.col("event_id"), 4)
     p = TrainingParams(objective="binary:logistic", max_depth=2, max_bin=1 << 11)
-    got = boost.train(p, d.select_rows(fold != 0), 5, [("test", d.select_rows(fold == 0))], patience=2)
+    got = boost.train(p, d.select_rows(fold != 0), 5, [("test", d.select_rows(fold == 0))], patience=2, backend="arrow")
     return got.history_frame(spark).select("iteration", _r(F.col("value"), 5).alias("value"))
 
 
@@ -628,7 +630,7 @@ _SOFT = [c for k in range(3) for c in tree(f"t{k}", "d", f"1e0 / 3e0 - CASE WHEN
 def _(spark: SparkSession, sf: str) -> DataFrame:
     d = _ev_data(spark, sf, "yc")
     d = d.with_(frame=d.frame.withColumn("y", F.col("y") % 3))
-    model = boost.train(TrainingParams(objective="multi:softprob", num_class=3, max_depth=2, max_bin=1 << 11), d, 1).model
+    model = boost.train(TrainingParams(objective="multi:softprob", num_class=3, max_depth=2, max_bin=1 << 11), d, 1, backend="arrow").model
     p = F.col("prediction")
     return model.predict(d, ("event_id",)).select("event_id", *[_r(p[k], 4).alias(f"p{k}") for k in range(3)])
 
@@ -636,7 +638,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("boost_rank_ndcg")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     d = _ev_data(spark, sf, "yr", "user_id").with_(qid="user_id")
-    return boost.train(TrainingParams(objective="rank:ndcg", max_depth=2), d, 3, [("train", d)]).history_frame(spark)
+    return boost.train(TrainingParams(objective="rank:ndcg", max_depth=2), d, 3, [("train", d)], backend="arrow").history_frame(spark)
 
 
 _FOLDS = [c for k in range(3) for c in (f"d{k} AS (SELECT event_id, y, {_EX}, {_FOLD.format(seed=0, folds=3)} <> {k} AS tr FROM ev)", *rounds(f"k{k}", f"d{k}", ("f0", "f1"), 2, 2))]
