@@ -35,7 +35,7 @@ SCALE = 2_000_000
 #: Bits of the field that marks frequent pairs.
 BITS = 1 << 26
 #: Bytes of text in one trie; a longer piece of text is one all the same.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 UND = "und"
 
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces.
@@ -43,6 +43,7 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[[10, 11, 12, 13, *b".,;:!?"]] = 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_HALF = np.uint64(0xFFFFFFFF)
 
 
 def _extend(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -126,12 +127,17 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
             at = to
 
 
+def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hashes of pairs: the upper half is the first word's, so that a pair's hash says which first word it has."""
+    return first & ~_HALF | _extend(first, second) & _HALF
+
+
 def _lang_hashes(names: list[str]) -> np.ndarray:
     return _hashes(pa.array([n.encode() for n in names], pa.large_binary()))
 
 
 def pairs(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(h, first, n): how often each neighbouring pair of words of a language occurs, by hash; first: the hash of language and first word."""
+    """(h, n): how often each neighbouring pair of words of a language occurs, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +145,11 @@ def pairs(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
                 if len(w) < 2:
                     continue
                 first = _extend(_lang_hashes(names)[w.lang], w.hash[w.id])[:-1]
-                h = _extend(first, w.hash[w.id[1:]])[same := w.piece[1:] == w.piece[:-1]]
-                h, at, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "first": first[same][at].view(np.int64), "n": n})
+                h, n = np.unique(_pair_hashes(first, w.hash[w.id[1:]])[w.piece[1:] == w.piece[:-1]], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n})
 
-    counted = docs.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(run, "h long, first long, n long")
-    return counted.groupBy("h").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    counted = docs.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(run, "h long, n long")
+    return counted.groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def marks(frequent: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -193,7 +198,7 @@ def trie(w: Words, langs: np.ndarray, field: np.ndarray) -> Trie:
     first = _extend(langs[w.lang], w.hash[w.id])
     pair = np.zeros(len(w), bool)
     if len(w) > 1:
-        pair[:-1] = (w.piece[1:] == w.piece[:-1]) & _marked(field, _extend(first[:-1], w.hash[w.id[1:]]))
+        pair[:-1] = (w.piece[1:] == w.piece[:-1]) & _marked(field, _pair_hashes(first[:-1], w.hash[w.id[1:]]))
     for depth in range(1, DEPTH):
         at = at[pair[np.minimum(at + depth - 1, len(w) - 1)] & (at + depth < len(w))]
         live = live[at] if depth == 1 else live[np.searchsorted(was, at)]
@@ -209,7 +214,7 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
 def _pieces(t: Trie, w: Words, names: list[str], broad: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
     """(range, the part of the trie in it, serialised): each level's nodes with all those above them, and the words that they need."""
     place = [_range_of(t.hash[0], ranges)]
-    wide = np.isin(t.hash[0], broad)
+    wide = np.isin(t.hash[0] >> np.uint64(32), broad)
     for d in range(1, DEPTH):
         place.append(np.where(wide[t.parent[d]], _range_of(t.hash[d], ranges), place[-1][t.parent[d]]) if d == 1 else place[-1][t.parent[d]])
     # A node outside its parent's range needs the parent there too, with no count of its own.
@@ -304,7 +309,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, text: str = "text", lang: st
     frequent = cut(pairs(docs, text, lang).where(F.col("n") >= least))
     field = spark.sparkContext.broadcast(marks(frequent, bits))
     # first words with more marked pairs than a quarter of a range's share
-    by_first = frequent.groupBy("first").agg(F.sum("n").alias("n"))
+    by_first = frequent.groupBy(F.shiftrightunsigned("h", 32).alias("first")).agg(F.sum("n").alias("n"))
     total = frequent.agg(F.sum("n")).collect()[0][0] or 0
     broad = spark.sparkContext.broadcast(np.array([r["first"] for r in by_first.where(F.col("n") * 4 * ranges > total).select("first").collect()], np.int64).view(np.uint64))
 
