@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradloom.dataset import Dataset
+from gradloom.dataset import Dataset, SparseDataset
 from gradloom.errors import DimensionMismatch, ModelFormatError, UnknownName
 from gradloom.functions import objectives
 from gradloom.functions.objectives import Objective
 from gradloom.params import TrainingParams
+from gradloom.plans import bins
 from gradloom.plans.kernel import Tree
 
 NODE_SCHEMA = "tree_id int, output int, node_id int, split_feature int, split_cond float, default_left boolean, left int, right int, leaf_value double, sum_hess double, split_gain double, is_categorical boolean, categories array<int>, weight double"
@@ -27,6 +28,10 @@ NODE_SCHEMA = "tree_id int, output int, node_id int, split_feature int, split_co
 CASE_TREES = 8
 
 
+def _is_array(data: Dataset | SparseDataset) -> bool:
+    return isinstance(data.frame.schema[data.base_margin].dataType, T.ArrayType)
+
+
 @dataclass
 class Linear:
     """weights: features x outputs; bias per output."""
@@ -68,6 +73,8 @@ class BoostedModel:
         """Margins (rows x outputs) of raw features, NaN where missing."""
         out = np.full((len(x), self.outputs), self.base_score)
         if self.linear is not None:
+            if isinstance(x, bins.Sparse):
+                return out + self.linear.bias + np.stack([np.bincount(x.owner, x.numbers * w[x.features], len(x)) for w in self.linear.weights.T], 1)
             return out + self.linear.bias + np.nan_to_num(x) @ self.linear.weights
         if base is not None:
             own = base.reshape(len(x), -1)
@@ -79,7 +86,7 @@ class BoostedModel:
 
     # DataFrames
 
-    def _checked(self, data: Dataset) -> Dataset:
+    def _checked(self, data: Dataset | SparseDataset) -> Dataset | SparseDataset:
         if len(data.features) != self.n_features:
             raise DimensionMismatch(f"the model has {self.n_features} features, the data {len(data.features)}")
         return data
@@ -88,27 +95,40 @@ class BoostedModel:
         """keep and column `name`, which row gives from (model, features, base margins) of a batch."""
         self._checked(data)
         model = self  # goes with the function: objectives of one's own are code
-        base = F.lit(None).cast("array<float>") if data.base_margin is None else (F.col(data.base_margin) if isinstance(data.frame.schema[data.base_margin].dataType, T.ArrayType) else F.array(data.base_margin)).cast("array<float>")
-        n, width, outputs = len(keep), self.n_features, self.outputs
+        base = F.lit(None) if data.base_margin is None else F.col(data.base_margin) if _is_array(data) else F.array(data.base_margin)
+        base = base.cast("array<double>")
+        n, width, outputs, sparse = len(keep), self.n_features, self.outputs, isinstance(data, SparseDataset)
         schema = T.StructType([*data.frame.select(*keep).schema.fields, T.StructField(name, kind)])
 
-        def of(t: T.DataType) -> pa.DataType:
-            return pa.list_(of(t.elementType)) if isinstance(t, T.ArrayType) else {"float": pa.float32(), "int": pa.int32(), "double": pa.float64()}[t.simpleString()]
+        def of(t: T.DataType, got: np.ndarray) -> pa.Array:
+            """got as an Arrow array; its further axes become lists."""
+            if not isinstance(t, T.ArrayType):
+                return pa.array(got.ravel(), {"float": pa.float32(), "int": pa.int32(), "double": pa.float64()}[t.simpleString()])
+            inner = of(t.elementType, got.reshape(-1, *got.shape[2:]))
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]), inner)
+
+        def features(batch: pa.RecordBatch) -> np.ndarray | bins.Sparse:
+            if sparse:
+                off, f = bins.flat(batch.column(n))
+                return bins.Sparse(*bins.deduplicated(off, f, bins.flat(batch.column(n + 1))[1].astype(np.float32), width), width, np.nan)
+            return np.stack([batch.column(n + f).to_numpy(zero_copy_only=False).astype(np.float32) for f in range(width)], 1) if batch.num_rows else np.zeros((0, width), np.float32)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.stack([batch.column(n + f).to_numpy(zero_copy_only=False).astype(np.float32) for f in range(width)], 1) if batch.num_rows else np.zeros((0, width), np.float32)
-                b = None
-                given = batch.column(n + width)
+                if not batch.num_rows:
+                    continue
+                x, b = features(batch), None
+                given = batch.column(batch.num_columns - 1)
                 if given.null_count < len(given):
                     b = np.full((len(given), outputs), np.nan)
                     for i, v in enumerate(given.to_pylist()):
                         if v is not None and len(v) in (1, outputs):
                             b[i] = v
                 got = row(model, x, b)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got.tolist() if got.ndim > 1 else got, of(kind))], [*batch.schema.names[:n], name])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], of(kind, got)], [*batch.schema.names[:n], name])
 
-        return data.frame.select(*keep, *[F.col(f).cast("float") for f in data.features], base.alias("_base")).mapInArrow(run, schema)
+        own = [F.col(data.indices).cast("array<int>"), F.col(data.values).cast("array<float>")] if sparse else [F.col(f).cast("float") for f in data.features]
+        return data.frame.select(*keep, *own, base.alias("_base")).mapInArrow(run, schema)
 
     def _shape(self) -> T.DataType:
         return T.FloatType() if self.outputs == 1 else T.ArrayType(T.FloatType())
@@ -116,14 +136,18 @@ class BoostedModel:
     def predict_margin(self, data: Dataset, keep: tuple[str, ...] | None = None, limit: int | None = None, name: str = "margin") -> DataFrame:
         """The row id (or keep) and each row's margin: a number, or an array for several outputs."""
         keep = keep or (data.row_id,)
-        if self.linear is None and self.outputs == 1 and self.used_trees(limit) <= CASE_TREES:
+        if self.linear is None and self.outputs == 1 and self.used_trees(limit) <= CASE_TREES and isinstance(data, Dataset):
             return self._checked(data).frame.select(*keep, self.margin_column(data, limit).cast("float").alias(name))
         many = self.outputs > 1
         return self._mapped(data, name, self._shape(), lambda m, x, b: m.np_margin(x, b, limit) if many else m.np_margin(x, b, limit)[:, 0], keep)
 
     def margin_column(self, data: Dataset, limit: int | None = None) -> Column:
         """The margin as one expression of nested CASEs, for few trees."""
-        base = F.lit(self.base_score) if data.base_margin is None else F.coalesce(F.col(data.base_margin).cast("double"), F.lit(self.base_score))
+        base = F.lit(self.base_score)
+        if data.base_margin is not None:
+            own = F.col(data.base_margin)
+            own = (F.when(F.size(own) == 1, F.get(own, F.lit(0))) if _is_array(data) else own).cast("double")
+            base = F.when(own.isNull() | F.isnan(own), base).otherwise(own)
         for t in range(self.used_trees(limit)):
             base = base + self.weights[t] * self.leaf_column(data, t, value=True)
         return base
@@ -161,7 +185,7 @@ class BoostedModel:
         """The leaf id of each row in each tree."""
         return self._mapped(data, "leaves", T.ArrayType(T.IntegerType()), lambda m, x, b: np.stack([t.leaves(x) for t in m.trees], 1).astype(np.int32), keep or (data.row_id,))
 
-    def contributions(self, data: Dataset, keep: tuple[str, ...] | None = None) -> DataFrame:
+    def contributions(self, data: Dataset | SparseDataset, keep: tuple[str, ...] | None = None) -> DataFrame:
         """Shapley contributions by output: features and, last, the bias; they add up to the margin."""
         from gradloom import shap
 
@@ -199,9 +223,9 @@ class BoostedModel:
         return zlib.compress(self.to_json().encode())
 
     @staticmethod
-    def from_bytes(data: bytes) -> BoostedModel:
+    def from_bytes(data: bytes, objective: Objective | None = None, trust: bool = False) -> BoostedModel:
         try:
-            return BoostedModel.from_json(zlib.decompress(data).decode())
+            return BoostedModel.from_json(zlib.decompress(data).decode(), objective, trust)
         except zlib.error as e:
             raise ModelFormatError("not a stored model") from e
 
@@ -221,14 +245,16 @@ class BoostedModel:
         return json.dumps(own, indent=1)
 
     @staticmethod
-    def from_json(text: str, objective: Objective | None = None) -> BoostedModel:
-        """objective replaces a stored one of one's own, which otherwise is unpickled: read only models that you trust."""
+    def from_json(text: str, objective: Objective | None = None, trust: bool = False) -> BoostedModel:
+        """A stored objective of one's own is code: it is replaced by `objective`, or run if trust is given, or else this raises."""
         try:
             d = json.loads(text)
             if d.get("format") != "gradloom-1":
                 raise ModelFormatError("not a stored model")
             p = {k: (tuple(map(tuple, v)) if k == "interaction_constraints" else tuple(v)) if isinstance(v, list) else v for k, v in d["params"].items()}
             params = TrainingParams(**p)
+            if objective is None and "code" in d and not trust:
+                raise ModelFormatError("the model has an objective of its own, which is code: give the objective, or trust=True to run what is stored")
             if objective is None:
                 objective = pickle.loads(bytes.fromhex(d["code"])) if "code" in d else objectives.create(params)  # noqa: S301
             linear = d["linear"] and Linear(np.array(d["linear"]["weights"]), np.array(d["linear"]["bias"]))
@@ -241,9 +267,9 @@ class BoostedModel:
         Path(path).write_bytes(self.to_json().encode() if path.endswith(".json") else self.to_bytes())
 
     @staticmethod
-    def load(path: str) -> BoostedModel:
+    def load(path: str, objective: Objective | None = None, trust: bool = False) -> BoostedModel:
         data = Path(path).read_bytes()
-        return BoostedModel.from_json(data.decode()) if path.endswith(".json") else BoostedModel.from_bytes(data)
+        return BoostedModel.from_json(data.decode(), objective, trust) if path.endswith(".json") else BoostedModel.from_bytes(data, objective, trust)
 
     def write_table(self, spark: SparkSession, path: str) -> None:
         """The model as Parquet: nodes to query, and its JSON to load."""
@@ -251,8 +277,8 @@ class BoostedModel:
         spark.createDataFrame([(self.to_json(),)], "json string").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @staticmethod
-    def read_table(spark: SparkSession, path: str) -> BoostedModel:
-        return BoostedModel.from_json(spark.read.parquet(f"{path}/model").collect()[0][0])
+    def read_table(spark: SparkSession, path: str, objective: Objective | None = None, trust: bool = False) -> BoostedModel:
+        return BoostedModel.from_json(spark.read.parquet(f"{path}/model").collect()[0][0], objective, trust)
 
 
 def importance(nodes: DataFrame, kind: str) -> DataFrame:

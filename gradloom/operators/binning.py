@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradloom.folders import shared_dir
+from gradloom.plans.kernel import Ragged
 
 #: Buckets that a feature's values are parted into for running sums: a power of two.
 BUCKETS = 64
@@ -92,14 +93,19 @@ def categorical_cuts(counts: DataFrame) -> DataFrame:
     return counts.select("feature", F.col("value").alias("cut"), F.lit(False).alias("sentinel"))
 
 
-def collect_cuts(cuts: DataFrame, n_features: int) -> list[np.ndarray]:
+def collect_cuts(cuts: DataFrame, n_features: int) -> Ragged:
     """Each feature's cuts, at most max_bin of them, on the driver; a feature without values has the cut 0."""
     got = cuts.select("feature", "cut").toArrow()
-    feature, cut = got["feature"].to_numpy(), got["cut"].to_numpy().astype(np.float32)
-    order = np.lexsort((cut, feature))
-    feature, cut = feature[order], cut[order]
-    bounds = np.searchsorted(feature, np.arange(n_features + 1))
-    return [np.unique(cut[a:b]) if a < b else np.zeros(1, np.float32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    none = np.arange(n_features)  # a cut for each feature, taken out again where there are others
+    feature, cut = np.append(got["feature"].to_numpy(), none).astype(np.int64), np.append(got["cut"].to_numpy().astype(np.float32), np.zeros(n_features, np.float32))
+    made = np.append(np.zeros(len(feature) - n_features, bool), np.ones(n_features, bool))
+    order = np.lexsort((made, cut, feature))
+    feature, cut, made = feature[order], cut[order], made[order]
+    counts = np.bincount(feature, ~made, n_features)
+    keep = ~made | (counts[feature] == 0)
+    keep[1:] &= ~((feature[1:] == feature[:-1]) & (cut[1:] == cut[:-1]) & ~made[:-1])
+    feature, cut = feature[keep], cut[keep]
+    return Ragged(cut, np.searchsorted(feature, np.arange(n_features + 1)))
 
 
 def bin_of(value: Column, cuts: np.ndarray, categorical: bool = False) -> Column:

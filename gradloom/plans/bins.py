@@ -90,21 +90,28 @@ class Sums:
     def add(self, bins: np.ndarray | Sparse, live: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
         """The rows `live`, which are in slots `slot`."""
         self.rows += len(live)
-        if self.dense is not None:
+        if self.dense is not None and not isinstance(bins, Sparse):
             self.dense += partial_histogram(bins, live, slot, g, h, self.slots, self.sizes)
             return
         for c, w in ((0, g[live]), (1, h[live]), (2, None)):
             self.total[:, c] += np.bincount(slot, w, self.slots)
-        of = np.full(len(g), -1)
-        of[live] = slot
         if isinstance(bins, Sparse):
+            of = np.full(len(g), -1)
+            of[live] = slot
             at = of[bins.owner]
             use = at >= 0
             key, row = at[use] * self.width + self.base[bins.features[use]] + bins.numbers[use], bins.owner[use]
         else:
-            row, f = np.nonzero(bins[live] != MISSING)
-            key, row = slot[row] * self.width + self.base[f] + bins[live][row, f], live[row]
-        self._hold(key, g[row], h[row], np.ones(len(row)))
+            own = bins[live]
+            row, f = np.nonzero(own != MISSING)
+            key, row = slot[row] * self.width + self.base[f] + own[row, f], live[row]
+        values = g[row], h[row], np.ones(len(row))
+        if self.dense is None:
+            self._hold(key, *values)
+            return
+        for c, v in enumerate(values):
+            self.dense[:, c, :-1] += np.bincount(key, v, self.slots * self.width).reshape(self.slots, -1)
+            self.dense[:, c, -1] = self.total[:, c]
 
     def _hold(self, key: np.ndarray, *values: np.ndarray) -> None:
         self.parts.append((key, *values))

@@ -538,7 +538,7 @@ def train(params: TrainingParams, data: Dataset, rounds: int, evals: list[tuple[
     sets = [data, *[d for _, d in evals]]
     frame = _prepared(p, sets, o.outputs)
     n = len(data.features)
-    checks = [F.count("*").alias("rows"), F.sum(F.col("y").isNull().cast("long")).alias("bad"), F.sum((F.col("set") == 0).cast("long")).alias("own"), F.min("y").alias("low"), F.max("y").alias("high")]
+    checks = [F.count("*").alias("rows"), F.sum((F.col("y").isNull() | F.isnan("y")).cast("long")).alias("bad"), F.sum((F.col("set") == 0).cast("long")).alias("own"), F.min("y").alias("low"), F.max("y").alias("high")]
     own = F.when(F.col("set") == 0, F.col("w"))
     s = frame.agg(*checks, F.sum(own).alias("w"), F.sum(own * F.col("y")).alias("wy")).collect()[0]
     if not s["own"]:

@@ -1,7 +1,7 @@
 """How a tree grows: which leaves are searched next, which splits are taken and in what order. No rows in here.
 
 Depthwise growth asks for a level at once. Loss-guided growth takes the leaf of the largest gain first; so that this isn't a search for each split, the children of
-the best `AHEAD` leaves of the queue are searched together, and their parents are then accepted one by one in the queue's order. Splits that are searched below but never accepted stay in the
+the best `AHEAD` leaves searched so far are searched together, and their parents are then accepted one by one in the queue's order. Splits that are searched below but never accepted stay in the
 shadow tree, by which rows are routed, and are missing from the finished one.
 """
 
@@ -47,6 +47,7 @@ class Growth:
         self.asked: list[Leaf] = [self.root]
         self.accepted: list[Leaf] = []
         self.queue: list[tuple[float, str, Leaf]] = []
+        self.fringe: list[Leaf] = []
         self.searches = 0
 
     def mask(self, leaf: Leaf) -> np.ndarray | None:
@@ -99,12 +100,15 @@ class Growth:
             return
         if self.searches == 1:
             self._push(self.root)
+        self.fringe += [leaf for leaf in self.asked if self._good(leaf)]
         self.asked = []
         while self.queue and not self.asked and self._room():
             head = self.queue[0][2]
             if head.children is None:
-                ahead = [x[2] for x in heapq.nsmallest(min(AHEAD, self._room()), (x for x in self.queue if x[2].children is None))]
-                self.asked = [child for leaf in ahead for child in self._divide(leaf)]
+                # the head, and the best of all leaves that have been searched, whether their parents are accepted yet or not
+                rest = heapq.nsmallest(min(AHEAD, self._room()) - 1, ((-leaf.split.gain, leaf.path, leaf) for leaf in self.fringe if leaf is not head))
+                self.asked = [child for leaf in (head, *(x[2] for x in rest)) for child in self._divide(leaf)]
+                self.fringe = [leaf for leaf in self.fringe if leaf.children is None]
                 continue
             heapq.heappop(self.queue)
             self.accepted.append(head)

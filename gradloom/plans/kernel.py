@@ -6,7 +6,7 @@ The same code runs inside one task, over all rows of a small table, and on the d
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -99,17 +99,36 @@ class Tree:
         return node
 
 
+class Ragged:
+    """A list of arrays kept as one, so that millions of short ones are stored and sent quickly."""
+
+    def __init__(self, values: np.ndarray, offsets: np.ndarray) -> None:
+        self.values, self.offsets = values, offsets
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def __getitem__(self, at: int | slice) -> np.ndarray | Ragged:
+        if isinstance(at, slice):
+            a, b, _ = at.indices(len(self))
+            return Ragged(self.values[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a])
+        return self.values[self.offsets[at] : self.offsets[at + 1]]
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[k] for k in range(len(self)))
+
+
 @dataclass
 class Cuts:
     """cuts[f]: ascending; exact: the values themselves, split halfway between those present; categorical features by equality."""
 
-    cuts: list[np.ndarray]
+    cuts: list[np.ndarray] | Ragged
     categorical: frozenset[int] = frozenset()
     exact: bool = False
 
     @property
     def sizes(self) -> np.ndarray:
-        return np.array([len(c) for c in self.cuts])
+        return np.diff(self.cuts.offsets) if isinstance(self.cuts, Ragged) else np.array([len(c) for c in self.cuts])
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         """Local bins of raw features (rows x features, column by column in memory), MISSING for NaN."""
@@ -208,12 +227,12 @@ class Searcher:
         self.base = np.append(0, np.cumsum(cuts.sizes))
         self.width = int(cuts.sizes.max())
         self.even = bool((cuts.sizes == self.width).all())
-        self.index = np.full((self.n, self.width), -1)
-        for f in range(self.n):
-            self.index[f, : cuts.sizes[f]] = np.arange(self.base[f], self.base[f + 1])
-        self.pad = self.index < 0
-        self.numeric = np.array([f not in cuts.categorical for f in range(self.n)])
-        self.inner = (np.arange(self.width)[None] < (cuts.sizes - 1)[:, None]) & self.numeric[:, None]
+        sizes = cuts.sizes
+        self.pad = np.arange(self.width)[None] >= sizes[:, None]
+        self.index = np.where(self.pad, -1, self.base[:-1, None] + np.arange(self.width)[None])
+        self.numeric = np.ones(self.n, bool)
+        self.numeric[list(cuts.categorical)] = False
+        self.inner = (np.arange(self.width)[None] < (sizes - 1)[:, None]) & self.numeric[:, None]
         c = list(p.monotone_constraints) + [0] * self.n
         self.direction = np.array(c[: self.n])
         self.bounded = bool(self.direction.any())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradloom import dataset, interop, shap
-from gradloom.dataset import Dataset
+from gradloom.dataset import Dataset, SparseDataset
 from gradloom.folders import shared_dir
 from gradloom.functions import gain, metrics, objectives, ranking
 from gradloom.model import BoostedModel, Linear, importance
@@ -585,6 +585,17 @@ _rounds_query("boost_catalyst_monotone", turns=1, monotone_constraints=(1, 1, -1
 _rounds_query("boost_task_depth3", backend="task")
 
 
+@query("boost_sparse_depth3", f"WITH {_LD}, {', '.join(rounds('r', 'd', ('f0', 'f1', 'f2'), 3, 3))} {_SUMMARY.format('r_3')}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells that are there, in arrays, give the trees of the table."""
+    cells = F.array_compact(F.array(*[F.when(F.col(f"f{k}").isNotNull(), F.struct(F.lit(k).alias("i"), F.col(f"f{k}").alias("v"))) for k in range(3)]))
+    frame = li(spark, sf).select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), "y", cells.alias("c"))
+    d = SparseDataset(frame.select("row_id", "y", F.col("c.i").alias("indices"), F.col("c.v").alias("values")), 3, label="y")
+    p, y = F.col("prediction"), F.col("y")
+    got = boost.train(TrainingParams(max_depth=3), d, 3).model.predict(d, ("row_id", "y"))
+    return got.agg(F.count("*").alias("n"), _r(F.avg(p), 4).alias("mean"), _r(F.sqrt(F.avg((p - y) * (p - y))), 4).alias("rmse"))
+
+
 def _ev_data(spark: SparkSession, sf: str, label: str, *more: str) -> Dataset:
     return Dataset(ev(spark, sf).select("event_id", *more, F.col("s").cast("float").alias("f0"), F.col("m").cast("float").alias("f1"), F.col(label).alias("y")), ("f0", "f1"), "event_id", "y")
 

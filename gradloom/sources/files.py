@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradloom.dataset import Dataset, from_long
+from gradloom.dataset import Dataset, SparseDataset, from_long
 from gradloom.errors import EmptyDataset
 from gradloom.operators.running import running_sums
 
@@ -56,6 +56,20 @@ def read_libsvm(spark: SparkSession, path: str) -> Dataset:
     return Dataset(wide, tuple(f"f{k}" for k in range(top + 1)), "row_id", "label")
 
 
+def read_libsvm_sparse(spark: SparkSession, path: str, n_features: int | None = None) -> SparseDataset:
+    """0-based libsvm text with a row's cells in two arrays, so that there may be millions of features; n_features: if not all of them occur."""
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#")).select(F.monotonically_increasing_id().alias("row_id"), F.split(F.trim("value"), r"\s+").alias("parts"))
+    cell = lambda kind, k: lambda part: F.coalesce(F.when(F.size(F.split(part, ":")) == 2, F.split(part, ":")[k].cast(kind)), F.raise_error(F.concat(F.lit("not an index:value pair: "), part)).cast(kind))
+    cells = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
+    frame = lines.select("row_id", F.element_at("parts", 1).cast("float").alias("label"), F.transform(cells, cell("int", 0)).alias("indices"), F.transform(cells, cell("float", 1)).alias("values"))
+    if n_features is None:
+        top = frame.agg(F.max(F.array_max("indices"))).collect()[0][0]
+        if top is None:
+            raise EmptyDataset(path)
+        n_features = top + 1
+    return SparseDataset(frame, n_features, label="label")
+
+
 def from_dense(spark: SparkSession, rows: list[list[float]], missing: float = math.nan) -> Dataset:
     """Rows of numbers held by the driver."""
     if not rows or not rows[0]:

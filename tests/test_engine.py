@@ -42,7 +42,7 @@ def margins(model, d):
 
 @pytest.mark.parametrize(
     "more",
-    [{}, {"tree_method": "exact"}, {"grow_policy": "lossguide", "max_leaves": 5}, {"booster": "dart", "rate_drop": 0.3}, {"objective": "multi:softprob", "num_class": 3}, {"objective": "rank:ndcg"}, {"subsample": 0.6, "colsample_bynode": 0.5}, {"tree_method": "approx", "max_bin": 8}],
+    [{}, {"tree_method": "exact"}, {"grow_policy": "lossguide", "max_leaves": 5}, {"objective": "rank:ndcg"}, {"subsample": 0.6, "colsample_bynode": 0.5}],
 )
 def test_one_task_and_many_agree(data, more):
     p = TrainingParams(max_depth=2, **more)
@@ -223,7 +223,7 @@ def test_log_links_survive_the_interchange(data, name):
 def test_custom_objective_keeps_its_transform(data):
     o = objectives.custom("mine", lambda x, m, y, w: ((m - y) * w, x.ones(m) * w), transform=lambda x, m: m * 2.0)
     m = boost.train(TrainingParams(objective="mine", max_depth=2), data, 2, objective=o).model
-    back = BoostedModel.from_bytes(m.to_bytes())
+    back = BoostedModel.from_bytes(m.to_bytes(), trust=True)
     p = np.array(back.predict(data).orderBy("row_id").toPandas()["prediction"], float)
     np.testing.assert_allclose(p, 2 * margins(m, data), atol=1e-5)
 
