@@ -82,7 +82,7 @@ def test_repeated_ids_of_ranked_rows(spark):
 def test_exact_over_more_values_than_a_driver_should_hold(spark):
     n = (1 << 20) + 5000
     frame = spark.range(n).select(F.col("id").alias("row_id"), (F.pmod(F.col("id") * 7919, F.lit(n)) * 2.0**-3).cast("float").alias("f0"))
-    d = Dataset(frame.withColumn("y", F.when(F.col("f0") < 50_000, 1.0).otherwise(F.col("f0") / 1e6)), ("f0",), label="y")
+    d = Dataset(frame.withColumn("y", F.when(F.col("f0") < 50_000, 1.0).when(F.col("f0") > 90_000, 3.0).otherwise(0.0)), ("f0",), label="y")
     one, many = (boost.train(TrainingParams(tree_method="exact", max_depth=2), d, 1, backend=b).model.trees[0] for b in ("task", "catalyst"))
     assert one.threshold == many.threshold and one.left == many.left
     np.testing.assert_allclose(one.value, many.value, atol=1e-6)
