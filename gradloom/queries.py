@@ -18,7 +18,7 @@ from gradloom import dataset, interop, shap
 from gradloom.dataset import Dataset, SparseDataset
 from gradloom.folders import shared_dir
 from gradloom.functions import gain, metrics, objectives, ranking
-from gradloom.model import BoostedModel, Linear, importance
+from gradloom.model import BoostedModel, Linear
 from gradloom.operators import binning, trees
 from gradloom.params import TrainingParams
 from gradloom.plans import boost, cv
@@ -685,9 +685,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("dart_weights", "SELECT 2 AS dropped, round(1e0 / 3, 9) AS new_weight, round(2e0 / 3, 9) AS kept_share")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     # Every tree is dropped in every round, so the third round drops two.
-    data = Dataset.of(spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(12)], "row_id long, f0 double, y double"), ["f0"], "row_id", label="y")
-    p = TrainingParams(booster="dart", rate_drop=1.0)
-    was, now = (boost.train(p, data, n).model.weights for n in (2, 3))
+    was, now = (_stump(spark, sf, 1, n, booster="dart", rate_drop=1.0)[0].weights for n in (2, 3))
     dropped = sum(a != b for a, b in zip(was, now))
     return spark.createDataFrame([(dropped, now[2], now[0] / was[0])], "dropped int, new_weight double, kept_share double").select("dropped", _r(F.col("new_weight"), 9).alias("new_weight"), _r(F.col("kept_share"), 9).alias("kept_share"))
 
@@ -754,18 +752,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("l_orderkey", "l_partkey", _r(F.col("margin"), 3).alias("margin"))
 
 
-_NODES = "n(f, g, h) AS (VALUES (0, 9e0, 100e0), (2, 4e0, 50e0), (1, 5e0, 100e0))"
+_INNER = " UNION ALL ".join(f"SELECT feature, gain AS g, hl + hr AS h FROM r_{t}t_b{k}" for t in range(3) for k in range(2))
+_GROWN = f"WITH {_LD}, {', '.join(rounds('r', 'd', ('f0', 'f1', 'f2'), 2, 3, eta='1e0'))}, n AS ({_INNER})"
 for _kind, _e in (("weight", "count(*)::DOUBLE"), ("gain", "avg(g)"), ("cover", "avg(h)"), ("total_gain", "sum(g)"), ("total_cover", "sum(h)")):
 
     def _imp(spark: SparkSession, sf: str, kind: str = _kind) -> DataFrame:
-        return importance(fixed_model().nodes_frame(spark), kind)
+        return _stump(spark, sf, 2, 3, eta=1.0)[0].importance(spark, kind).select("feature", _r(F.col("importance"), 3).alias("importance"))
 
-    query(f"importance_{_kind}", f"WITH {_NODES} SELECT f AS feature, {_e} AS importance FROM n GROUP BY f")(_imp)
+    query(f"importance_{_kind}", f"{_GROWN} SELECT feature, round({_e}, 3) AS importance FROM n GROUP BY feature")(_imp)
 
 
-@query("model_accessors", "SELECT 2 AS trees, 1 AS outputs, 2 AS rounds, 3 AS features, 8::BIGINT AS nodes, 5::BIGINT AS leaves")
+@query("model_accessors", f"{_GROWN} SELECT 3 AS trees, 1 AS outputs, 3 AS rounds, 3 AS features, (3 + 2 * count(*))::BIGINT AS nodes, (3 + count(*))::BIGINT AS leaves FROM n")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    m = fixed_model()
+    m, _ = _stump(spark, sf, 2, 3, eta=1.0)
     return m.nodes_frame(spark).agg(F.lit(len(m.trees)).alias("trees"), F.lit(m.outputs).alias("outputs"), F.lit(m.rounds).alias("rounds"), F.lit(m.n_features).alias("features"), F.count("*").alias("nodes"), F.sum((F.col("left") < 0).cast("long")).alias("leaves"))
 
 

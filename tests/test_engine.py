@@ -359,7 +359,7 @@ def test_dart_weights_come_from_training(spark, sf, monkeypatch):
     from gradloom import queries
 
     calls, train = [], boost.train
-    monkeypatch.setattr(boost, "train", lambda p, *a: calls.append(p.booster) or train(p, *a))
+    monkeypatch.setattr(boost, "train", lambda p, *a, **k: calls.append(p.booster) or train(p, *a, **k))
     row = queries.queries()["dart_weights"](spark, sf).collect()[0]
     assert calls == ["dart", "dart"]
     assert (row["dropped"], row["new_weight"], row["kept_share"]) == (2, round(1 / 3, 9), round(2 / 3, 9))
