@@ -10,12 +10,14 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradloom import dataset, interop, shap
 from gradloom.dataset import Dataset, SparseDataset
+from gradloom.estimator import Boosting
 from gradloom.folders import shared_dir
 from gradloom.functions import gain, metrics, objectives, ranking
 from gradloom.model import BoostedModel, Linear
@@ -585,6 +587,16 @@ _rounds_query("boost_catalyst_monotone", turns=1, monotone_constraints=(1, 1, -1
 _rounds_query("boost_task_depth3", backend="task")
 
 
+@query("ml_pipeline_depth2", f"WITH {_LD}, {', '.join(rounds('r', 'd', ('f0', 'f1', 'f2'), 2, 2))} {_SUMMARY.format('r_2')}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A pipeline of pyspark.ml, fitted, saved to the shared folder and loaded again."""
+    frame, folder = li(spark, sf).select(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), "f0", "f1", "f2", "y"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    Pipeline(stages=[Boosting(featuresCols=["f0", "f1", "f2"], labelCol="y", rounds=2, maxDepth=2, backend="arrow")]).fit(frame).save(folder)
+    p, y = F.col("prediction"), F.col("y")
+    got = PipelineModel.load(folder).transform(frame)
+    return got.agg(F.count("*").alias("n"), _r(F.avg(p), 4).alias("mean"), _r(F.sqrt(F.avg((p - y) * (p - y))), 4).alias("rmse"))
+
+
 @query("boost_sparse_depth3", f"WITH {_LD}, {', '.join(rounds('r', 'd', ('f0', 'f1', 'f2'), 3, 3))} {_SUMMARY.format('r_3')}")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The cells that are there, in arrays, give the trees of the table."""
