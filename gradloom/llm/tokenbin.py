@@ -259,7 +259,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[int]]:
-    """The ids of the document (or documents, if the id repeats): only their blocks are read, only their frames decompressed."""
+    """The ids of the document (or documents, if the id repeats): only their frames are decompressed, but the id lists and payloads of all blocks are scanned for them."""
     blocks, data, _, width = _opened(spark, folder)
     inflate, out = zstandard.ZstdDecompressor(**_dictionary(data)), []
     near = blocks.where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("shard", "block", F.posexplode("doc_ids").alias("k", "doc"), "offsets", "payload").where(F.col("doc") == doc_id)
