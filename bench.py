@@ -14,7 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = "hist_build split_scan_numeric best_split exact_best_split cuts_quantile bin_dataset rank_ndcg_grad metric_auc predict_margin shap_additivity boost_stump_round op1_toxicity op2_minhash op4_mix op5_langid op6_quality op8_embeddings op9_html".split()
+HEADLINE = "hist_build split_scan_numeric best_split exact_best_split cuts_quantile bin_dataset rank_ndcg_grad metric_auc predict_margin shap_additivity boost_stump_round op1_toxicity op2_minhash op4_mix op5_langid op6_quality op8_embeddings op9_html op11_importance op12_lines op13_phrases".split()
 
 
 def baseline_fit(spark: SparkSession) -> dict[str, float]:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradloom.functions.gain import np_threshold
 from gradloom.functions.objectives import Objective
 from gradloom.model import Linear
 from gradloom.params import TrainingParams
@@ -43,13 +44,10 @@ def sums(frame: DataFrame, o: Objective, n: int, linear: Linear, base: float, k:
 
 
 def delta(g: float, h: float, w: float, alpha: float, reg: float) -> float:
-    """The step of one coordinate under both penalties; it doesn't pass zero against the L1 penalty."""
+    """The step of one coordinate to the least of g d + h d^2 / 2 with both penalties on w + d; none where the curvature vanishes."""
     if h < 1e-5:
         return 0.0
-    g, h = g + reg * w, h + reg
-    if w - g / h >= 0:
-        return max(-(g + alpha) / h, -w)
-    return min(-(g - alpha) / h, -w)
+    return float(np_threshold(np.float64(h * w - g), alpha)) / (h + reg) - w
 
 
 def sweep(g: np.ndarray, gram: np.ndarray, weights: np.ndarray, p: TrainingParams) -> tuple[float, np.ndarray]:
