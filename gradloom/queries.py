@@ -23,10 +23,9 @@ from gradloom.functions import gain, metrics, objectives, ranking
 from gradloom.model import BoostedModel, Linear
 from gradloom.operators import binning, trees
 from gradloom.params import TrainingParams
-from gradloom.plans import boost, cv
+from gradloom.plans import boost, cv, linear
 from gradloom.plans.kernel import Tree
 from gradloom.oracle import LOGISTIC, dart_rounds, rounds, sampled_columns, tree
-from gradloom.plans.linear import sums, sweep
 from gradloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -681,17 +680,47 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return cv.aggregate(h).select("metric", "iteration", _r(F.col("test_mean"), 7).alias("test_mean"), _r(F.col("test_std"), 7).alias("test_std"))
 
 
+def _linear(p: TrainingParams, d: Dataset | SparseDataset, cells: int = linear.CELLS) -> DataFrame:
+    """(feature, weight) of one round of the linear booster from 0.5 on; -1 is the intercept."""
+    o = objectives.create(p)
+    got = linear.fit_linear(p, o, boost._prepared(p, [d], 1), len(d.features), 1, 0.5, cells)
+    found = [(-1, float(got.bias[0])), *[(int(f), float(got.weights[f, 0])) for f in np.flatnonzero(got.weights[:, 0])]]
+    return d.frame.sparkSession.createDataFrame(found, "feature int, weight double").select("feature", _r(F.col("weight")).alias("weight"))
+
+
+_LINEAR_ROUND = f"""WITH {LI}, x AS (SELECT f0::DOUBLE AS a, f1::DOUBLE AS b, coalesce(f2, 0)::DOUBLE AS c, (5e-1 - y)::FLOAT::DOUBLE AS g FROM li),
+ s AS (SELECT count(*)::DOUBLE AS n, sum(g) AS g, sum(g * a) AS ga, sum(g * b) AS gb, sum(g * c) AS gc, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc FROM x),
+ s0 AS (SELECT *, -5e-1 * g / n AS d FROM s), u1 AS (SELECT *, -(ga + d * a) AS u FROM s0), s1 AS (SELECT * EXCLUDE (u), 5e-1 * sign(u) * greatest(abs(u) - 5e0, 0e0) / (aa + 1e0) AS wa FROM u1),
+ u2 AS (SELECT *, -(gb + d * b + wa * ab) AS u FROM s1), s2 AS (SELECT * EXCLUDE (u), 5e-1 * sign(u) * greatest(abs(u) - 5e0, 0e0) / (bb + 1e0) AS wb FROM u2),
+ u3 AS (SELECT *, -(gc + d * c + wa * ac + wb * bc) AS u FROM s2), s3 AS (SELECT *, 5e-1 * sign(u) * greatest(abs(u) - 5e0, 0e0) / (cc + 1e0) AS wc FROM u3)"""
+
+
+def _linear_sql(*features: int) -> str:
+    columns = zip((-1, *features), ("d", "wa", "wb", "wc"), strict=True)
+    return f"{_LINEAR_ROUND} {' UNION ALL '.join(f'SELECT {f}::INT AS feature, round({c}, 6) + 0e0 AS weight FROM s3' for f, c in columns)}"
+
+
 @query(
     "gblinear_round",
     f"WITH {EV}, x AS (SELECT (s::FLOAT)::DOUBLE AS s, y, avg(y) OVER () AS mu FROM ev), a AS (SELECT sum((mu - y)::FLOAT::DOUBLE) AS g0, count(*)::DOUBLE AS h0, sum((mu - y)::FLOAT::DOUBLE * s) AS g1, sum(s) AS h01, sum(s * s) AS h11 FROM x), b AS (SELECT *, -5e-1 * g0 / h0 AS bias FROM a) SELECT round(bias, 6) + 0e0 AS bias, round(-5e-1 * (g1 + h01 * bias) / (h11 + 1e0), 6) + 0e0 AS weight FROM b",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    p = TrainingParams(booster="gblinear", eta=0.5)
-    e = ev(spark, sf).select("y", F.lit(1.0).alias("w"), F.array(F.col("s").cast("float")).alias("x"))
-    mu = e.agg(F.avg("y")).collect()[0][0]
-    g, gram = sums(e, objectives.create(p), 1, Linear(np.zeros((1, 1)), np.zeros(1)), mu, 0)
-    bias, w = sweep(g, gram, np.zeros(1), p)
-    return spark.createDataFrame([(bias, float(w[0]))], "bias double, weight double").select(_r(F.col("bias")).alias("bias"), _r(F.col("weight")).alias("weight"))
+    d = Dataset.of(ev(spark, sf).select("event_id", "y", "s"), ["s"], "event_id", label="y")
+    fitted = boost.train(TrainingParams(booster="gblinear", eta=0.5), d, 1).model.linear
+    return spark.createDataFrame([(float(fitted.bias[0]), float(fitted.weights[0, 0]))], "bias double, weight double").select(_r(F.col("bias")).alias("bias"), _r(F.col("weight")).alias("weight"))
+
+
+@query("gblinear_blocks", _linear_sql(0, 1, 2))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    # a block of two coordinates at a time
+    d = Dataset(li(spark, sf).withColumn("row_id", F.col("l_orderkey")), ("f0", "f1", "f2"), label="y")
+    return _linear(TrainingParams(booster="gblinear", eta=0.5, alpha=5.0), d, 4)
+
+
+@query("gblinear_sparse", _linear_sql(7, 50_000, 99_999))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = li(spark, sf).select(F.col("l_orderkey").alias("row_id"), "y", F.array(*[F.lit(f) for f in (99_999, 7, 50_000)]).alias("indices"), F.array("f2", "f0", "f1").alias("values"))
+    return _linear(TrainingParams(booster="gblinear", eta=0.5, alpha=5.0), SparseDataset(rows, 100_000, label="y"))
 
 
 @query("dart_weights", "SELECT 2 AS dropped, round(1e0 / 3, 9) AS new_weight, round(2e0 / 3, 9) AS kept_share")
