@@ -1,6 +1,7 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, components.
 
-Equal vectors are one class from the start, however many rows they have. Spherical k-means on a bounded
+Equal vectors are one class from the start, however many rows they have: rows of one 64-bit key, which a second hash tells apart; where it finds two
+vectors under one key, those get keys by another seed until none is shared. Spherical k-means on a bounded
 sample of about `SAMPLE` classes, spread over the table by hash, gives the cells' centres; their number grows with the square root of
 the classes up to `CELLS`. Every class lives in the cell of its nearest centre (its home) and visits the other cells
 whose border is so near that the closer side of a linked pair across it can be there. Home and visits are computed for every class.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,8 @@ BLOCK = 16384
 VALUES = 1 << 21
 CHUNK = 1024
 LEAST = 0.9
+#: Vectors that a task compares with all centres at once.
+ROWS = 256
 
 
 def spherical_kmeans(x: np.ndarray, k: int, steps: int = 10, seed: int = 11) -> np.ndarray:
@@ -61,12 +64,22 @@ def spherical_kmeans(x: np.ndarray, k: int, steps: int = 10, seed: int = 11) ->
 
 
 def cells_of(x: np.ndarray, c: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(home of each unit row of x, which cells it is in)."""
+    """(home of each unit row of x, which cells it is in). Arrays of rows times centres are made, none of centres times centres."""
     s = x @ c.T
     home = s.argmax(1)
-    gap = s[np.arange(len(x)), home][:, None] - s
-    border = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[home] * np.sqrt(2 - 2 * least) / 2
-    return home, gap <= border + 1e-6
+    np.subtract(s[np.arange(len(x)), home][:, None], s, out=s)  # the gaps
+    border = c[home] @ c.T
+    border = np.sqrt(np.maximum(2 - 2 * border, 0), out=border)
+    border *= np.sqrt(2 - 2 * least) / 2
+    border += 1e-6
+    return home, s <= border
+
+
+def _groups_seen(member: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which groups each row has a cell in."""
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return np.logical_or.reduceat(member[:, order], starts, axis=1)
 
 
 def _unit_rows(a: pa.Array) -> np.ndarray:
@@ -148,15 +161,35 @@ def _block(least: float):  # noqa: ANN202
     return run
 
 
+def _key(turn: int) -> Column:
+    """A hash of x; another one in each turn."""
+    return F.xxhash64("x") if turn == 0 else F.xxhash64("x", F.lit(turn))
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with key, which is null where x is; (key, id, rows, x) of each different x). No two vectors have one key.
+
+    Keys that two vectors share are collected: of n vectors about n * n / 2^65 are, three among 10^10.
+    """
+    rows, turn = rows.withColumn("key", F.when(F.col("x").isNotNull(), _key(0))), 0
+    while True:
+        other = F.xxhash64(F.lit("other"), "x")
+        found = cut(rows.where(F.col("x").isNotNull()).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("x").alias("x"), F.min(other).alias("lo"), F.max(other).alias("hi")))
+        shared = [r["key"] for r in found.where(F.col("lo") != F.col("hi")).select("key").collect()]
+        if not shared:
+            return rows, found.drop("lo", "hi")
+        turn += 1
+        rows = rows.withColumn("key", F.when(F.col("key").isin(shared), _key(turn)).otherwise(F.col("key")))
+
+
 def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", least: float = LEAST) -> DataFrame:
     """(key, n_links, component_id, kept) for each row of vectors."""
     spark = vectors.sparkSession
     # floats are dealt as they are: each task makes doubles of them
     x = F.col(column) if isinstance(vectors.schema[column].dataType.elementType, T.FloatType) else F.col(column).cast("array<double>")
     sound = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False)) & F.col(key).isNotNull()
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.when(sound, x).alias("x")).withColumn("key", F.when(F.col("x").isNotNull(), F.xxhash64("x")))
+    rows, classes = _classes(vectors.select(F.col(key).cast("long").alias("id"), F.when(sound, x).alias("x")))
     whole = rows.where(F.col("x").isNotNull())
-    classes = cut(whole.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("x").alias("x")))
     total = classes.count()
     lengths = {r["n"]: r["count"] for r in classes.groupBy(F.size("x").alias("n")).count().collect()}
     picked = classes.where(unit("key", 8) < min(1.0, SAMPLE / max(1, total))).select("key", "x").toArrow().sort_by("key")
@@ -169,23 +202,26 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
         centres[int(n)] = c, _group_cells(c, int(np.clip(np.ceil(count / min(BLOCK, max(CHUNK, VALUES / n))), 1, len(c))))
     held = spark.sparkContext.broadcast(centres)
 
+    def placed_rows(part: pa.RecordBatch, n: int) -> pa.RecordBatch:
+        if (found := held.value.get(n)) is None:
+            home, member, group = np.zeros(part.num_rows, np.int64), np.ones((part.num_rows, 1), bool), np.zeros(1, np.int64)
+        else:
+            home, member = cells_of(_unit_rows(part.column(3)), found[0], least)
+            group = found[1]
+        seen = _groups_seen(member, group)
+        off = np.append(0, np.cumsum(seen.sum(1))).astype(np.int32)
+        groups = pa.ListArray.from_arrays(pa.array(off), pa.array(np.nonzero(seen)[1].astype(np.int32)))
+        cells = pa.array([v.tobytes() for v in np.packbits(member, axis=1)], pa.binary())
+        more = [pa.array(np.full(part.num_rows, n, np.int32)), pa.array(home.astype(np.int32)), cells, pa.array(group[home].astype(np.int32)), groups]
+        return pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "length", "home", "cells", "own", "groups"])
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pa.compute.list_value_length(batch.column(3)).to_numpy()
             for n in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == n))
-                if (found := held.value.get(int(n))) is None:
-                    home, member, group = np.zeros(part.num_rows, np.int64), np.ones((part.num_rows, 1), bool), np.zeros(1, np.int64)
-                else:
-                    home, member = cells_of(_unit_rows(part.column(3)), found[0], least)
-                    group = found[1]
-                seen = member @ (group[:, None] == np.arange(group.max() + 1))
-                off = np.append(0, np.cumsum(seen.sum(1))).astype(np.int32)
-                names = [*batch.schema.names, "length", "home", "cells", "own", "groups"]
-                groups = pa.ListArray.from_arrays(pa.array(off), pa.array(np.nonzero(seen)[1].astype(np.int32)))
-                cells = pa.array([v.tobytes() for v in np.packbits(member, axis=1)], pa.binary())
-                more = [pa.array(np.full(part.num_rows, n, np.int32)), pa.array(home.astype(np.int32)), cells, pa.array(group[home].astype(np.int32)), groups]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names)
+                for i in range(0, part.num_rows, ROWS):
+                    yield placed_rows(part.slice(i, ROWS), int(n))
 
     kind = f"key long, id long, rows long, x {classes.schema['x'].dataType.simpleString()}, length int, home int, cells binary, own int, groups array<int>"
     placed = cut(classes.mapInArrow(assign, kind))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -407,6 +408,35 @@ def test_groups_and_blocks_change_nothing(spark, monkeypatch, length):
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_vectors_that_share_a_key_are_told_apart(spark, monkeypatch):
+    """With a first hash of 3 values nearly all vectors share one."""
+    own = embed_dedup._key
+    monkeypatch.setattr(embed_dedup, "_key", lambda turn: F.pmod(own(0), F.lit(3)) if turn == 0 else own(turn))
+    x = np.random.default_rng(6).normal(size=(200, 4)).astype(np.float32)
+    x[150:] = x[:50]
+    got = embed_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    assert [n for _, n in sorted((r["vec_id"], r["n_links"]) for r in got)] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+
+
+def test_placing_at_the_most_cells_needs_little_memory_and_time():
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=(embed_dedup.CELLS, 64))
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    x = c[rng.integers(len(c), size=embed_dedup.ROWS)] + 0.05 * rng.normal(size=(embed_dedup.ROWS, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    began = time.monotonic()
+    tracemalloc.start()
+    home, member = embed_dedup.cells_of(x, c)
+    seen = embed_dedup._groups_seen(member, rng.permutation(len(c)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and time.monotonic() - began < 2
+    assert member[np.arange(len(x)), home].all() and (seen.sum(1) == member.sum(1)).all()
+    group = rng.integers(0, 40, len(c))
+    assert (embed_dedup._groups_seen(member, group) == (member.astype(int) @ (group[:, None] == np.arange(40)) > 0)).all()
+
+
 def test_recall_on_the_table(spark):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     got = embed_dedup.near_vectors(spark.read.parquet(path)).agg(F.sum("n_links")).collect()[0][0]
