@@ -305,24 +305,41 @@ class Forest:
 
 
 def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 150, depth: int = 5, eta: float = 0.3, reg: float = 1.0, bins: int = 48) -> Forest:
-    """Boosted trees for logistic loss, split by histograms of gradients over quantile bins."""
+    """Boosted trees for logistic loss, split by histograms of gradients over quantile bins.
+
+    Rows of equal bins and label are one row of their weights' sum. Of two sister leaves the one of fewer rows is summed, the other is the rest of their parent.
+    """
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], "right") for f, c in enumerate(cuts)], 1)
+    same = np.unique(np.hstack([binned, y[:, None].astype(binned.dtype)]), axis=0, return_index=True, return_inverse=True)
+    binned, y, weight = binned[same[1]], y[same[1]], np.bincount(same[2].ravel(), weight)
     p = float((weight * y).sum() / weight.sum())
     base = np.log(p / (1 - p))
     z = np.full(len(y), base)
     inner, width = 2**depth - 1, x.shape[1]
     fs, ts, vs = [], [], []
     flat = binned + np.arange(width) * bins
+
+    def sums(rows: np.ndarray, slot: np.ndarray, count: int, values: tuple[np.ndarray, ...]) -> np.ndarray:
+        key = (slot[:, None] * (width * bins) + flat[rows]).ravel()
+        return np.stack([np.bincount(key, np.repeat(v[rows], width), minlength=count * width * bins).reshape(count, width, bins) for v in values])
+
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-z))
         g, h = weight * (q - y), np.maximum(weight * q * (1 - q), 1e-12)
-        f_, t_, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(y), np.int64)
+        f_, t_, b_, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.full(inner, bins), np.zeros(len(y), np.int64)
         for level in range(depth):
             start, count = 2**level - 1, 2**level
-            key = ((at - start)[:, None] * (width * bins) + flat).ravel()
-            size = count * width * bins
-            hist = [np.bincount(key, np.repeat(v, width), minlength=size).reshape(count, width, bins) for v in (g, h)]
+            if level == 0:
+                hist = sums(np.arange(len(y)), at, 1, (g, h))
+            else:
+                few = np.bincount(at - start, minlength=count).reshape(-1, 2).argmin(1) + 2 * np.arange(count // 2)
+                light = np.zeros(count, bool)
+                light[few] = True
+                rows = np.flatnonzero(light[at - start])
+                part, above = sums(rows, (at[rows] - start) // 2, count // 2, (g, h)), hist
+                hist = np.empty((2, count, width, bins))
+                hist[:, few], hist[:, few ^ 1] = part, above - part
             left = [np.cumsum(v, 2)[:, :, :-1] for v in hist]
             whole = [v.sum(2, keepdims=True) for v in hist]
             score = lambda a, b: a * a / (b + reg)
@@ -334,8 +351,8 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 150, d
             for k in range(count):
                 f, b = divmod(int(best[k]), bins - 1)
                 if gain[k, f, b] > 1e-6:
-                    f_[start + k], t_[start + k] = f, cuts[f][b]
-            at = 2 * at + 1 + (x[np.arange(len(y)), f_[at]] >= t_[at])
+                    f_[start + k], t_[start + k], b_[start + k] = f, cuts[f][b], b
+            at = 2 * at + 1 + (binned[np.arange(len(y)), f_[at]] > b_[at])
         leaf = at - inner
         value = -eta * np.bincount(leaf, g, minlength=inner + 1) / (np.bincount(leaf, h, minlength=inner + 1) + reg)
         z = z + value[leaf]
