@@ -92,6 +92,15 @@ def test_cross_validation_of_a_read_table(spark, tmp_path):
     assert len(got) == 2
 
 
+def test_folds_at_once_or_one_by_one(spark, data, monkeypatch):
+    monkeypatch.setattr(boost, "TASK_BYTES", 0)
+    one, many = (cv.cross_validate(spark, TrainingParams(max_depth=2), data, 2, 3, parallelism=n).orderBy("iteration").collect() for n in (1, 3))
+    assert len(one) == 2
+    np.testing.assert_allclose([r[2:] for r in one], [r[2:] for r in many], rtol=1e-9)
+    with pytest.raises(InvalidParameter):
+        cv.cross_validate(spark, TrainingParams(), data, 1, parallelism=0)
+
+
 def test_running_sums_cross_buckets(spark, monkeypatch):
     monkeypatch.setattr(running, "BUCKETS", 7)
     rng = np.random.default_rng(3)
