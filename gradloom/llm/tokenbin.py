@@ -7,9 +7,12 @@ share. The dictionary is trained on the ids of a bounded sample of about `SAMPLE
 A written folder holds two Parquet tables:
 
 - `dictionary`: one row (dict_sha256, dictionary, tokenizer_sha256, end_id, width);
-- `blocks`: rows (shard, block, dict_sha256, doc_ids, n_tokens, offsets, payload). Shards hold ascending ranges of
-  document ids, blocks ascending runs of about `BLOCK` bytes in them. payload is the documents' frames, one after
-  another; frame k is payload[offsets[k] : offsets[k + 1]].
+- `blocks`: rows (shard, block, before, dict_sha256, doc_ids, n_tokens, offsets, payload). Shards hold ascending ranges of
+  document ids, blocks ascending runs of about `BLOCK` bytes in them, before counts the shard's ids in earlier blocks.
+  payload is the documents' frames, one after another; frame k is payload[offsets[k] : offsets[k + 1]].
+
+Texts are encoded and compressed where they are read; only frames are dealt to the shards and sorted. The borders
+between shards are quantiles of about `BORDER` document ids a shard, chosen by hash; every row goes to its shard.
 
 Spark's own writer commits the files, so lost executors leave no torn file, and any store that Spark
 reaches will do. `read_ids` gives all ids back in order, `read_document` one document's with the dictionary and one frame.
@@ -32,20 +35,20 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradloom.llm import _text
-from gradloom.llm._shared import unit
+from gradloom.llm._shared import small_batches, unit
 
 SAMPLE = 2000
 DICTIONARY = 64 << 10
-BLOCK = 1 << 20
+BORDER = 100
+BLOCK = 1 << 18
 LEVEL = 3
-#: Places for words in a worker's table, and the ids that it holds at most before it starts anew.
-SLOTS = 1 << 22
-KNOWN = 1 << 24
+#: Places for words in a worker's table, and the ids that it holds at most before it keeps only words met again.
+SLOTS = 1 << 21
+KNOWN = 1 << 23
 PIECE = 1 << 18
 
 _GAP = np.zeros(256, bool)
@@ -55,7 +58,7 @@ _GAP[[9, 10, 13, 32]] = True
 class WordEncoder:
     """Encodes plain() arrays of texts word by word; a word met before is looked up by its hash.
 
-    The table has a slot for each value of the hash's low bits, and a word takes the place of another in its slot.
+    The table has a slot for each value of the hash's low bits. A word takes the place of another in its slot, unless that was met again since another wanted the place.
     """
 
     def __init__(self, tokenizer_json: bytes) -> None:
@@ -72,7 +75,18 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.held, self.place, self.ids = np.zeros(SLOTS, np.uint64), np.zeros((SLOTS, 2), np.int32), np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.used, self.again = 0, np.zeros(SLOTS, bool)
+
+    def forget(self) -> None:
+        """Keep only the words met again lately; all, if these alone are too many."""
+        slot = np.flatnonzero(self.again)
+        first, size = self.place[slot, 0].astype(np.int64), self.place[slot, 1].astype(np.int64)
+        held, before = self.held[slot], np.append(0, np.cumsum(size))
+        ids = self.ids[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
+        self.clear()
+        if 2 * len(ids) <= KNOWN:
+            self.held[slot], self.place[slot] = held, np.stack([before[:-1], size], 1)
+            self.ids, self.used = np.concatenate([ids, self.ids]), len(ids)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, how many each has)."""
@@ -90,7 +104,9 @@ class WordEncoder:
         h = np.maximum(h, np.uint64(1))  # 0 marks a free slot
         slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
         place = self.place[slot]
-        miss = np.flatnonzero(self.held[slot] != h)
+        found = self.held[slot] == h
+        self.again[slot[found]] = True
+        miss = np.flatnonzero(~found)
         if len(miss):
             kinds, where, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
             data, at = raw.tobytes(), miss[where]
@@ -101,7 +117,9 @@ class WordEncoder:
             new = np.stack([self.used + np.cumsum(count) - count, count], 1).astype(np.int32)
             self.used += len(flat)
             own = (kinds & np.uint64(SLOTS - 1)).astype(np.int64)
-            self.held[own], self.place[own] = kinds, new
+            free = ~self.again[own]
+            self.again[own] = False
+            self.held[own[free]], self.place[own[free]] = kinds[free], new[free]
             place[miss] = new[inverse]
         first, size = place[:, 0].astype(np.int64), place[:, 1].astype(np.int64)
         doc, n = _text.owner(off), len(off) - 1
@@ -111,7 +129,7 @@ class WordEncoder:
         out = np.full(int(out_off[-1]), end_id, np.int32)
         out[np.repeat(doc, size) + np.arange(before[-1])] = self.ids[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
         if self.used > KNOWN:
-            self.clear()
+            self.forget()
         return out_off, out
 
 
@@ -144,18 +162,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
     spark = docs.sparkSession
     spec = Path(tokenizer).read_bytes()
     held = spark.sparkContext.broadcast(spec)
-    encoder = WordEncoder(spec)
-    width = 2 if max(encoder.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+    width = 2 if max(WordEncoder(spec).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(held.value)
         for batch in batches:
             texts = _text.plain(batch.column(0))
             for a, b in _text.slices(texts, PIECE):
-                off, ids = _encoder(held.value).encode(texts.slice(a, b - a), end_id)
+                off, ids = encoder.encode(texts.slice(a, b - a), end_id)
                 data = ids.astype(f"<u{width}")
                 yield pa.RecordBatch.from_pydict({"ids": pa.array([data[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary()), "at": batch.column(1).slice(a, b - a)})
 
+    small_batches(spark)
     total = rows.count()
     sample = rows.where(unit("doc_id", 10) < min(1.0, SAMPLE / max(1, total))).select("text", F.xxhash64("doc_id", "text"))
     got = sample.mapInArrow(serialise, "ids binary, at long").toArrow().sort_by([("at", "ascending"), ("ids", "ascending")])
@@ -163,40 +182,55 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
     sha = hashlib.sha256(dictionary).hexdigest()
     table = spark.createDataFrame([(sha, bytearray(dictionary), hashlib.sha256(spec).hexdigest(), end_id, width)], "dict_sha256 string, dictionary binary, tokenizer_sha256 string, end_id long, width int")
     table.coalesce(1).write.mode("overwrite").parquet(f"{folder}/dictionary")
-    shared = spark.sparkContext.broadcast(dictionary)
-    schema = "shard int, block int, dict_sha256 string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
+    shards = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast((dictionary, _borders(rows, total, shards)))
+    schema = "shard int, block int, before long, dict_sha256 string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, (own, borders) = _encoder(held.value), shared.value
+        press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=False, **_dictionary(own))
+        for batch in batches:
+            texts = _text.plain(batch.column(1))
+            for a, b in _text.slices(texts, PIECE):
+                off, flat = encoder.encode(texts.slice(a, b - a), end_id)
+                data, docs = flat.astype(f"<u{width}"), batch.column(0).slice(a, b - a)
+                shard = np.where(docs.is_null(), 0, np.searchsorted(borders, docs.fill_null(0).to_numpy(), "right"))
+                frames = [press.compress(data[off[i] : off[i + 1]].tobytes()) for i in range(b - a)]
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "doc_id": docs, "at": batch.column(2).slice(a, b - a), "n_tokens": pa.array(np.diff(off), pa.int64()), "frame": pa.array(frames, pa.binary())})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block = TaskContext.get().partitionId(), 0
-        press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, write_checksum=False, **_dictionary(shared.value))
-        ids, tokens, frames, size = [], [], [], 0
+        shard, block, before, ids, tokens, frames, size = 0, 0, 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             offsets = np.append(0, np.cumsum([len(f) for f in frames])).astype(np.int64)
             return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "dict_sha256": [sha], "doc_ids": pa.array([ids], pa.list_(pa.int64())),
+                "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "before": pa.array([before], pa.int64()), "dict_sha256": [sha], "doc_ids": pa.array([ids], pa.list_(pa.int64())),
                 "n_tokens": pa.array([tokens], pa.list_(pa.int64())), "offsets": pa.array([offsets], pa.list_(pa.int64())), "payload": pa.array([b"".join(frames)], pa.binary()),
             })
 
         for batch in batches:
-            texts = _text.plain(batch.column(1))
-            for a, b in _text.slices(texts, PIECE):
-                off, flat = _encoder(held.value).encode(texts.slice(a, b - a), end_id)
-                data = flat.astype(f"<u{width}")
-                for i, doc in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
-                    frames.append(press.compress(data[off[i] : off[i + 1]].tobytes()))
-                    ids.append(doc)
-                    tokens.append(int(off[i + 1] - off[i]))
-                    size += len(frames[-1])
-                    if size >= BLOCK:
-                        yield flush()
-                        ids, tokens, frames, size, block = [], [], [], 0, block + 1
+            for shard, doc, n, frame in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):  # a task has one shard
+                frames.append(frame)
+                ids.append(doc)
+                tokens.append(n)
+                size += len(frame)
+                if size >= BLOCK:
+                    yield flush()
+                    block, before = block + 1, before + sum(tokens)
+                    ids, tokens, frames, size = [], [], [], 0
         if ids:
             yield flush()
 
-    ranged = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    ranged = ranged.sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.mapInArrow(pack, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
+    pressed = rows.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(framed, "shard int, doc_id long, at long, n_tokens long, frame binary")
+    dealt = pressed.repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "at").select("shard", "doc_id", "n_tokens", "frame")
+    dealt.mapInArrow(pack, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
+
+
+def _borders(rows: DataFrame, total: int, shards: int) -> np.ndarray:
+    """Ascending ids that part the rows into ranges of about equal size: a shard has those from one border up to the next."""
+    sample = rows.where(F.col("doc_id").isNotNull() & (unit("doc_id", 20) < min(1.0, BORDER * shards / max(1, total)))).select("doc_id")
+    found = np.sort(sample.toArrow()["doc_id"].to_numpy())
+    return found[np.arange(1, shards) * len(found) // shards] if len(found) else found
 
 
 def _opened(spark: SparkSession, folder: str) -> tuple[DataFrame, bytes, str, int]:
@@ -236,14 +270,10 @@ def _unpacked(blocks: DataFrame, data: bytes, sha: str, width: int, schema: str,
 
 
 def _placed(blocks: DataFrame) -> DataFrame:
-    """blocks with start, the ids of all documents before the block: sums by shard, then by block in it."""
-    per = blocks.select("shard", "block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
-    shards = per.groupBy("shard").agg(F.sum("ids").alias("ids"))
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = shards.select("shard", before.alias("base"))
-    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per.join(shards, "shard").select("shard", "block", (F.col("base") + inside).alias("start"))
-    return blocks.join(starts, ["shard", "block"])
+    """blocks with start, the ids of all documents before the block; only a sum for each shard is broadcast, so payloads stay where they are read."""
+    per = blocks.groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids"))
+    base = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocks.join(F.broadcast(per.select("shard", base.alias("base"))), "shard").withColumn("start", F.col("base") + F.col("before"))
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
