@@ -175,7 +175,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
                 yield pa.RecordBatch.from_pydict({"ids": pa.array([data[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary()), "at": batch.column(1).slice(a, b - a)})
 
     small_batches(spark)
-    total = rows.count()
+    parts = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    total, cores = sum(parts), spark.sparkContext.defaultParallelism
+    if 0 < len(parts) < cores:  # one file or row group: its texts are dealt to all cores first
+        rows = rows.repartition(cores)
     sample = rows.where(unit("doc_id", 10) < min(1.0, SAMPLE / max(1, total))).select("text", F.xxhash64("doc_id", "text"))
     got = sample.mapInArrow(serialise, "ids binary, at long").toArrow().sort_by([("at", "ascending"), ("ids", "ascending")])
     dictionary = train_dictionary(got["ids"].to_pylist())
