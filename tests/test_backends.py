@@ -144,6 +144,64 @@ def test_outputs_grow_in_the_same_jobs(data, monkeypatch):
     assert len(made) == 3 and made[0] == {0, 1, 2}
 
 
+# equal rows
+
+
+def repeated(spark, times=12):
+    """50 different rows, each of them so many times, with other ids."""
+    pdf = pd.concat([table(50, holes=0.1)] * times, ignore_index=True)
+    pdf["row_id"], pdf["w"] = range(len(pdf)), 1.0 + pdf["q"] % 2
+    return Dataset.of(spark.createDataFrame(pdf).repartition(3), [f"f{i}" for i in range(4)], "row_id", label="y", weight="w")
+
+
+@pytest.mark.parametrize(
+    ("backend", "more"),
+    [("task", {"max_bin": 8, "base_margin": "bm"}), ("task", {"tree_method": "approx", "max_bin": 8, "objective": "binary:logistic"}), ("arrow", {"max_bin": 8}), ("arrow", {"objective": "multi:softprob", "num_class": 3, "booster": "dart", "rate_drop": 0.5}), ("catalyst", {"tree_method": "exact", "min_child_weight": 20.0})],
+)
+def test_equal_rows_are_merged_with_their_sums(spark, monkeypatch, backend, more):
+    more = dict(more)
+    d = repeated(spark).with_(base_margin=more.pop("base_margin", None))
+    p = TrainingParams(max_depth=2, **more)
+    d = d.with_(label={"multi:softprob": "k", "binary:logistic": "c"}.get(p.objective, "y"))
+    held = []
+    own = boost._merged
+    monkeypatch.setattr(boost, "_merged", lambda *a: held.append(own(*a)) or held[-1])
+    other = d.select_rows(F.col("row_id") < 400)
+    one = boost.train(p, d, 2, [("other", other)], backend=backend)
+    assert held and held[0].groupBy("set").count().toPandas()["count"].max() == 50 and held[0].agg(F.sum("n")).collect()[0][0] == 1000
+    monkeypatch.setattr(boost, "MERGE_FROM", 1000)
+    many = boost.train(p, d, 2, [("other", other)], backend=backend)
+    assert len(held) == 1
+    np.testing.assert_allclose(margins(one.model, d), margins(many.model, d), atol=1e-6)
+    np.testing.assert_allclose([h[3] for h in one.history], [h[3] for h in many.history], atol=1e-6)
+
+
+def test_what_tells_equal_rows_apart_keeps_them(spark, monkeypatch):
+    held = []
+    own = boost._merged
+    monkeypatch.setattr(boost, "_merged", lambda frame, which, n: held.append(which) or own(frame, which, n))
+    d = repeated(spark).with_(label="c")
+    p = TrainingParams(objective="binary:logistic", max_depth=2, eval_metric=("auc",))
+    one = boost.train(p, d, 2, [("t", d)])
+    boost.train(p.with_(subsample=0.5, eval_metric=()), d, 1)
+    boost.train(p.with_(objective="rank:ndcg", eval_metric=()), d.with_(qid="q"), 1)
+    assert held == [[0]]
+    monkeypatch.setattr(boost, "MERGE_FROM", 1000)
+    many = boost.train(p, d, 2, [("t", d)])
+    np.testing.assert_allclose([h[3] for h in one.history], [h[3] for h in many.history], atol=1e-9)
+
+
+def test_a_table_that_no_task_should_hold_is_not_given_to_one(data, monkeypatch):
+    p = TrainingParams(max_depth=3)
+    one = margins(boost.train(p, data, 2, backend="task").model, data)
+    made = []
+    own = boost.SparkEngine
+    monkeypatch.setattr(boost, "SparkEngine", lambda *a: made.append(a[-1]) or own(*a))
+    monkeypatch.setattr(boost, "TASK_MOST", 400 * 10 * 8 - 1)
+    np.testing.assert_allclose(one, margins(boost.train(p, data, 2, backend="task").model, data), atol=1e-6)
+    assert made == ["task"]
+
+
 # sparse rows
 
 
