@@ -191,6 +191,21 @@ def test_what_tells_equal_rows_apart_keeps_them(spark, monkeypatch):
     np.testing.assert_allclose([h[3] for h in one.history], [h[3] for h in many.history], atol=1e-9)
 
 
+@pytest.mark.parametrize("backend", ["task", "arrow"])
+def test_data_that_is_evaluated_is_kept_once(data, monkeypatch, backend):
+    held = []
+    own = boost._prepared
+    monkeypatch.setattr(boost, "_prepared", lambda p, sets, outputs: held.append(len(sets)) or own(p, sets, outputs))
+    other = data.select_rows(F.col("row_id") % 3 == 0)
+    p = TrainingParams(max_depth=2)
+    got = boost.train(p, data, 2, [("train", data), ("other", other), ("again", other)], backend=backend).history
+    far = boost.train(p, data, 2, [("train", data.with_(frame=data.frame.where("row_id >= 0"))), ("other", other)], backend=backend).history
+    assert held == [2, 3] and [h[1] for h in got] == ["train", "other", "again"] * 2
+    value = {(turn, name): v for turn, name, _, v in got}
+    np.testing.assert_allclose([value[turn, name] for turn, name, *_ in far], [h[3] for h in far], atol=1e-9)
+    assert value[1, "again"] == value[1, "other"] != value[1, "train"]
+
+
 def test_a_table_that_no_task_should_hold_is_not_given_to_one(data, monkeypatch):
     p = TrainingParams(max_depth=3)
     one = margins(boost.train(p, data, 2, backend="task").model, data)
