@@ -269,6 +269,35 @@ def test_sparse_cells_may_repeat_be_unordered_or_missing(spark):
             boost.train(TrainingParams(tree_method=more.get("tree_method", "hist")), d, 1, backend=more.get("backend", "auto"))
 
 
+def test_equal_sparse_rows_are_merged(spark, monkeypatch):
+    pdf = pd.concat([table(40, holes=0.4)] * 8, ignore_index=True).assign(row_id=range(320))
+    d = sparse_of(spark, pdf, 1000, [0, 7, 500, 999])
+    p = TrainingParams(max_depth=3)
+    held = []
+    own = boost._merged
+    monkeypatch.setattr(boost, "_merged", lambda *a: held.append(own(*a)) or held[-1])
+    one = boost.train(p, d, 2, [("t", d)])
+    assert len(held) == 1 and held[0].count() == 40
+    monkeypatch.setattr(boost, "MERGE_FROM", 1000)
+    many = boost.train(p, d, 2, [("t", d)])
+    assert len(held) == 1
+    np.testing.assert_allclose(margins(one.model, d), margins(many.model, d), atol=1e-6)
+    np.testing.assert_allclose([h[3] for h in one.history], [h[3] for h in many.history], atol=1e-6)
+
+
+def test_few_trees_score_sparse_rows_without_python(spark, monkeypatch):
+    """Cells that repeat, come in any order, are NaN or aren't there; numbers of any width."""
+    pdf = table(200, holes=0.3)
+    rows = [(int(r.row_id), float(r.y), [3, 0, 1, 2, 1, 0], [r.f3, r.f0, r.f1, r.f2, 9.0, 5.0]) for r in pdf.itertuples()] + [(200, 0.0, [], []), (201, 1.0, [2], [0.4])]
+    d = SparseDataset(spark.createDataFrame(rows, "row_id long, y double, indices array<long>, values array<double>"), 4, label="y")
+    model = boost.train(TrainingParams(max_depth=3), d, 3).model
+    assert "MapInArrow" not in model.predict_margin(d)._jdf.queryExecution().toString()
+    one = margins(model, d)
+    monkeypatch.setattr("gradloom.model.CASE_TREES", 0)
+    assert "MapInArrow" in model.predict_margin(d)._jdf.queryExecution().toString()
+    np.testing.assert_allclose(one, margins(model, d), atol=1e-6)
+
+
 def test_libsvm_as_sparse(spark, tmp_path):
     pdf = table(150, holes=0.3)
     lines = [f"{y} " + " ".join(f"{i}:{v}" for i, v in enumerate(r) if v == v) for y, r in zip(pdf["y"], pdf[["f0", "f1", "f2", "f3"]].to_numpy(), strict=True)]
